@@ -1,4 +1,4 @@
 """Every registered query, gathered from the query modules."""
 
-from . import matching_queries  # noqa: F401
+from . import matching_queries, text_queries  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

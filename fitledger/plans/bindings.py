@@ -10,9 +10,14 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import spread
+
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
           "pages benchmark labels conversations").split()
 
+# Tables whose rows fan out or carry long text, so that work should start on all cores.
+HEAVY = {"lineitem", "documents", "pages"}
+
 # One text for both engines; epoch_s(x) is seconds since 1970 as a double.
 SHARED_VIEWS = {
     "b_catalog": """
@@ -73,6 +78,37 @@ SHARED_VIEWS = {
                CAST(o_orderkey % 100 AS DOUBLE) / 100 AS confidence,
                CASE WHEN o_orderkey % 6 = 0 THEN 'superseded' END AS eo_status
         FROM orders JOIN customer ON o_custkey = c_custkey""",
+    # Raw names, makes, engines and device texts in the many spellings documents use.
+    "b_raw_text": """
+        SELECT p_partkey,
+               CASE p_partkey % 14 WHEN 0 THEN concat('F150 Pickup ', p_name)
+                 WHEN 1 THEN concat(p_name, ' 2WD') WHEN 2 THEN concat(p_name, ' (', p_type, ')')
+                 WHEN 3 THEN concat('F-150/', CAST(p_size * 10 AS STRING), '/350')
+                 WHEN 4 THEN concat(p_name, ' GVWR>', CAST(p_size AS STRING), ' LBS')
+                 WHEN 5 THEN concat(p_name, ' 2.7L V6') WHEN 6 THEN concat('K1500 ', p_name, ' 4x4')
+                 WHEN 7 THEN concat(p_name, ' ', CAST(p_size AS STRING))
+                 WHEN 8 THEN concat('Civic / ', p_name, ' Coupe') WHEN 9 THEN concat('  ', p_name, '  ')
+                 WHEN 10 THEN concat('Silverado 1500 Hybrid ', p_name) WHEN 11 THEN 'E250 Van'
+                 WHEN 12 THEN concat(p_name, ' Plug-in Hybrid') ELSE concat('C2500/', p_name) END AS model_text,
+               CASE p_partkey % 7 WHEN 0 THEN p_brand WHEN 1 THEN 'VW' WHEN 2 THEN 'Harley  Davidson'
+                 WHEN 3 THEN concat(p_brand, '/Pontiac') WHEN 4 THEN 'chevy /  / GMC'
+                 WHEN 5 THEN ' CAN-AM' ELSE concat(p_name, ' Works') END AS make_text,
+               CASE p_partkey % 11 WHEN 0 THEN concat(CAST(p_size AS STRING), '.7L V8 Turbocharged')
+                 WHEN 1 THEN '(460 CID) supercharged V-8' WHEN 2 THEN '350 CID carbureted 8 cyl'
+                 WHEN 3 THEN 'up to 6.0L' WHEN 4 THEN '6-cylinder naturally aspirated 4.0 liter'
+                 WHEN 5 THEN 'I4 non-turbo' WHEN 6 THEN 'V6 5.7-liter fuel injected'
+                 WHEN 7 THEN concat(CAST(p_size + 100 AS STRING), '-cid') WHEN 8 THEN 'all engines'
+                 WHEN 9 THEN '' END AS engine_text,
+               concat(p_name, CASE p_partkey % 13 WHEN 0 THEN ' Cold Air kit' WHEN 1 THEN ' Turbocharger'
+                 WHEN 2 THEN ' CATALYTIC converter' WHEN 3 THEN ' Shorty Headers' WHEN 4 THEN ' ECU remap'
+                 WHEN 5 THEN ' ecu tuner' WHEN 6 THEN ' Fuel Injector rail' WHEN 7 THEN ' Coil pack'
+                 WHEN 8 THEN ' intake manifold' WHEN 9 THEN ' air intake turbo kit' WHEN 10 THEN ' Programmer'
+                 ELSE ' bracket' END) AS device_text,
+               CASE p_partkey % 8 WHEN 0 THEN concat(' ', p_type, '-', CAST(p_size AS STRING), ' , ,X_', p_brand)
+                 WHEN 1 THEN concat(p_name, ',', p_name) WHEN 2 THEN '3' WHEN 3 THEN '<PN>'
+                 WHEN 4 THEN concat(p_name, p_name, p_name, p_name, p_name) ELSE CAST(p_partkey AS STRING)
+                 END AS parts_text
+        FROM part""",
     "b_items": """
         SELECT o_orderkey AS id, o_custkey AS doc,
                concat('run-', CAST(o_orderkey % 40 AS STRING)) AS run_id,
@@ -219,7 +255,8 @@ class Tables:
             raise AttributeError(name)
         if name not in self._made:
             if name in TABLES:
-                self._made[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+                scan = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+                self._made[name] = spread(scan) if name in HEAVY else scan
             elif name in SPARK_VIEWS:
                 self._made[name] = self.sql(SPARK_VIEWS[name])
             else:

@@ -61,3 +61,10 @@ def dimension_join(big: DataFrame, small: DataFrame, keys: list[str], salt_on: l
     spread = big.withColumn("_salt", F.pmod(F.xxhash64(*salt_on), F.lit(salts)).cast("int"))
     copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return spread.join(copies, [*keys, "_salt"], how).drop("_salt")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Even out a scan that arrives in fewer parts than half the cores (one small file with
+    a single row group); any scan with enough parts is returned untouched, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
