@@ -6,8 +6,6 @@ expression on one row and needs no shuffle; only baselines and verdicts are join
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -129,5 +127,27 @@ def identity_events(fixed: DataFrame) -> DataFrame:
         F.lit("eo_number_corrected_from_identity").alias("action"), F.col("key_read").alias("model_read"))
 
 
-def any_of(columns: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, columns)
+
+def resolve_verdicts(df: DataFrame) -> DataFrame:
+    """Outcome of a routed record given a second opinion.
+
+    Needs ``reason`` (null: accepted without a second look), ``issues``, ``verdict``,
+    ``reasons`` (array), and for verdict ``fix`` ``fix_valid`` and ``fix_issues`` of the
+    corrected record. Adds ``outcome``, ``final_reason`` and ``notes``.
+    """
+    said = F.array_join(F.coalesce("reasons", F.array().cast("array<string>")), "; ")
+    kind = F.col("verdict")
+    unknown = ~F.coalesce(kind.isin("accept", "fix", "escalate"), F.lit(False))
+    fixed = (kind == "fix") & F.col("fix_valid") & (F.size("fix_issues") == 0)
+    accepted = F.col("reason").isNull() | fixed | ((kind == "accept") & (F.size("issues") == 0))
+    notes = (F.when(unknown, "critique output failed validation")
+             .when((kind == "fix") & ~F.col("fix_valid"), F.concat(said, F.lit(" (corrections failed validation)")))
+             .when(kind == "accept", F.concat(F.lit("gate: "), F.array_join("issues", ", "), F.lit("; critic: "), said))
+             .otherwise(said))
+    accepted = F.coalesce(accepted, F.lit(False))
+    return df.withColumns({
+        "outcome": F.when(accepted, "accepted").otherwise("escalated"),
+        "final_reason": F.when(accepted, None).when(unknown | (kind == "fix"), "validation_failure")
+        .otherwise(F.col("reason")),
+        "notes": F.when(~accepted, notes),
+    })

@@ -109,6 +109,34 @@ SHARED_VIEWS = {
                  WHEN 4 THEN concat(p_name, p_name, p_name, p_name, p_name) ELSE CAST(p_partkey AS STRING)
                  END AS parts_text
         FROM part""",
+    # Record JSON with the faults a loose producer makes.
+    "b_record_json": """
+        SELECT o_orderkey AS id,
+               CASE WHEN o_orderkey % 23 = 0 THEN '{"eo_number": "D-1", "confi'
+                    WHEN o_orderkey % 29 = 0 THEN '[1, 2]'
+                    ELSE concat('{"eo_number":',
+                 CASE o_orderkey % 17 WHEN 0 THEN 'null' WHEN 1 THEN '17'
+                   ELSE concat('"D-', CAST(o_orderkey AS STRING), '"') END,
+                 CASE o_orderkey % 7 WHEN 0 THEN ',"category":null' WHEN 1 THEN ',"category":"weird"' WHEN 2 THEN ''
+                   ELSE ',"category":"boost"' END,
+                 CASE o_orderkey % 19 WHEN 0 THEN ',"confidence":1.7' WHEN 1 THEN ',"confidence":"0.5"'
+                   WHEN 2 THEN ',"confidence":"high"' WHEN 3 THEN '' WHEN 4 THEN ',"confidence":true'
+                   ELSE concat(',"confidence":0.', CAST(o_orderkey % 90 + 10 AS STRING)) END,
+                 CASE o_orderkey % 11 WHEN 0 THEN ',"fitment":[]'
+                   WHEN 1 THEN ',"fitment":[{"year_start":"2001","induction":"NA"}]'
+                   WHEN 2 THEN ',"fitment":[{"year_start":2000},{"year_start":2000.5}]'
+                   WHEN 3 THEN ',"fitment":[{"induction":"DIESEL"}]' WHEN 4 THEN ',"fitment":{"a":1}'
+                   WHEN 5 THEN ',"fitment":[{"year_start":2000.0,"cylinders":8,"extra":[1]}]'
+                   WHEN 6 THEN ',"fitment":null' ELSE '' END,
+                 CASE o_orderkey % 13 WHEN 0 THEN ',"part_numbers":["A1",2]' WHEN 1 THEN ',"part_numbers":"A1"'
+                   WHEN 2 THEN ',"manufacturer":5' ELSE ',"part_numbers":["A1","B2"]' END,
+                 '}') END AS payload
+        FROM orders""",
+    "b_corrections": """
+        SELECT o_orderkey AS id,
+               CASE o_orderkey % 5 WHEN 0 THEN '{"category":"tune"}' WHEN 1 THEN '{"category":null,"notes":"by hand"}'
+                 WHEN 2 THEN '{"confidence":0.9,"eo_number":"D-9-9"}' WHEN 3 THEN '{"part_numbers":["Z9"]}' END AS corrections
+        FROM orders""",
     "b_items": """
         SELECT o_orderkey AS id, o_custkey AS doc,
                concat('run-', CAST(o_orderkey % 40 AS STRING)) AS run_id,
