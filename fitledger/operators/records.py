@@ -14,6 +14,11 @@ from ..functions import vocab as v
 from ..schemas import TEXT_FIELDS, ROW_INTS, ROW_TEXTS
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _part(value: Column, path: str) -> Column:
     return F.try_variant_get(value, path, "variant")
 
@@ -26,78 +31,90 @@ def _as(value: Column, kind: str) -> Column:
     return F.try_variant_get(value, "$", kind)
 
 
-def _absent(value: Column, nullable: bool = True) -> Column:
-    return _kind(value).isin("MISSING", "VOID") if nullable else _kind(value) == "MISSING"
+# A rule takes a value and its kind and says whether a lax typed reader accepts it.
+
+def _absent(_, kind: Column) -> Column:
+    return kind.isin("MISSING", "VOID")
+
+
+def _text(_, kind: Column) -> Column:
+    return kind == "STRING"
 
 
-def _is_text(value: Column) -> Column:
-    return _kind(value) == "STRING"
+def _word_of(words: list[str]):
+    return lambda value, kind: (kind == "STRING") & _as(value, "string").isin(words)
 
 
-def _number(value: Column) -> Column:
+def _number_of(value: Column, kind: Column) -> Column:
     """The number a lax reader takes from a value, null when it takes none."""
-    kind = _kind(value)
     return (F.when(kind == "STRING", F.btrim(_as(value, "string")).try_cast("double"))
             .when(kind == "BOOLEAN", _as(value, "boolean").cast("int").cast("double"))
             .when(kind.rlike("^(BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|DECIMAL)"), _as(value, "double")))
 
 
-def _is_number(value: Column) -> Column:
-    return _number(value).isNotNull()
+def _numeric(value: Column, kind: Column) -> Column:
+    return _number_of(value, kind).isNotNull()
 
 
-def _is_whole(value: Column) -> Column:
-    n = _number(value)
-    return n.isNotNull() & (n == F.floor(n))
+def _whole(value: Column, kind: Column) -> Column:
+    return _let(_number_of(value, kind), lambda n: n.isNotNull() & (n == F.floor(n)))
 
 
-def _items(value: Column) -> Column:
-    return _as(value, "array<variant>")
+def _share(value: Column, kind: Column) -> Column:
+    return _number_of(value, kind).between(0, 1)
 
 
-def _is_list(value: Column, item_ok) -> Column:
+def _optional(rule):
+    return lambda value, kind: _absent(value, kind) | rule(value, kind)
+
+
+def _list_of(rule):
     """Missing is fine (empty list); null is not; every item must pass."""
-    return (_kind(value) == "MISSING") | (
-        _kind(value).startswith("ARRAY") & F.forall(_items(value), item_ok))
+    return lambda value, kind: (kind == "MISSING") | (
+        kind.startswith("ARRAY") & F.forall(_as(value, "array<variant>"), lambda x: _holds(x, rule)))
+
+
+def _map_of(rule):
+    return lambda value, kind: (kind == "MISSING") | (kind.startswith("OBJECT") & F.forall(
+        F.map_values(_as(value, "map<string,variant>")), lambda x: _holds(x, rule)))
 
 
-def _row_ok(row: Column) -> Column:
-    ok = _kind(row).startswith("OBJECT")
-    for f in ROW_INTS:
-        ok &= _absent(_part(row, f"$.{f}")) | _is_whole(_part(row, f"$.{f}"))
-    for f in ROW_TEXTS:
-        ok &= _absent(_part(row, f"$.{f}")) | _is_text(_part(row, f"$.{f}"))
-    litres, induction = _part(row, "$.displacement_l"), _part(row, "$.induction")
-    ok &= _absent(litres) | _is_number(litres)
-    ok &= _absent(induction) | (_is_text(induction) & _as(induction, "string").isin(v.INDUCTIONS))
-    return ok & _is_list(_part(row, "$.part_numbers"), _is_text)
+def _holds(value: Column, rule) -> Column:
+    return _let(value, lambda p: _let(_kind(p), lambda k: F.coalesce(rule(p, k), F.lit(False))))
+
+
+ROW_RULES = {
+    **{f: _optional(_whole) for f in ROW_INTS}, **{f: _optional(_text) for f in ROW_TEXTS},
+    "displacement_l": _optional(_numeric), "induction": _optional(_word_of(v.INDUCTIONS)),
+    "part_numbers": _list_of(_text),
+}
+
+
+def _row(value: Column, kind: Column) -> Column:
+    ok = kind.startswith("OBJECT")
+    for name, rule in ROW_RULES.items():
+        ok &= _holds(_part(value, f"$.{name}"), rule)
+    return ok
+
+
+RECORD_RULES = {
+    "eo_number": _text, **{f: _optional(_text) for f in TEXT_FIELDS},
+    "category": _optional(_word_of(v.CATEGORIES)), "confidence": _share,
+    "supersedes": _list_of(_text), "part_numbers": _list_of(_text), "illegible_pages": _list_of(_whole),
+    "sections_confidence": _map_of(_numeric), "fitment": _list_of(_row),
+}
 
 
 def record_faults(value: Column) -> Column:
     """Names of the faulty fields of a record VARIANT, ``not_json`` or ``not_object`` for text
     that is no record at all; empty when the record is valid."""
-    def field(name: str) -> Column:
-        return _part(value, f"$.{name}")
-
-    conf, cat = field("confidence"), field("category")
-    sections = field("sections_confidence")
-    checks = [
-        ("eo_number", _is_text(field("eo_number"))),
-        *[(f, _absent(field(f)) | _is_text(field(f))) for f in TEXT_FIELDS],
-        ("category", _absent(cat) | (_is_text(cat) & _as(cat, "string").isin(v.CATEGORIES))),
-        ("confidence", F.coalesce(_number(conf).between(0, 1), F.lit(False))),
-        ("supersedes", _is_list(field("supersedes"), _is_text)),
-        ("part_numbers", _is_list(field("part_numbers"), _is_text)),
-        ("illegible_pages", _is_list(field("illegible_pages"), _is_whole)),
-        ("sections_confidence", (_kind(sections) == "MISSING") | (
-            _kind(sections).startswith("OBJECT") & F.forall(
-                F.map_values(_as(sections, "map<string,variant>")), _is_number))),
-        ("fitment", _is_list(field("fitment"), _row_ok)),
-    ]
-    faults = F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), name) for name, ok in checks]))
-    return (F.when(value.isNull(), F.array(F.lit("not_json")))
-            .when(~_kind(value).startswith("OBJECT"), F.array(F.lit("not_object")))
-            .otherwise(faults))
+    def of_object(x: Column) -> Column:
+        return F.array_compact(F.array(*[
+            F.when(~_holds(_part(x, f"$.{name}"), rule), name) for name, rule in RECORD_RULES.items()]))
+
+    return _let(value, lambda x: F.when(x.isNull(), F.array(F.lit("not_json")))
+                .when(_as(x, "map<string,variant>").isNull(), F.array(F.lit("not_object")))
+                .otherwise(of_object(x)))
 
 
 def validate_records(df: DataFrame, payload: str = "payload") -> DataFrame:
@@ -112,20 +129,23 @@ def typed_record(value: Column) -> Column:
     def text(x: Column, f: str) -> Column:
         return F.try_variant_get(x, f"$.{f}", "string").alias(f)
 
+    def number(x: Column, f: str) -> Column:
+        return _let(_part(x, f"$.{f}"), lambda p: _let(_kind(p), lambda k: _number_of(p, k)))
+
     def whole(x: Column, f: str) -> Column:
-        return _number(_part(x, f"$.{f}")).cast("int").alias(f)
+        return number(x, f).cast("int").alias(f)
 
     def texts(x: Column, f: str) -> Column:
         return F.coalesce(F.try_variant_get(x, f"$.{f}", "array<string>"),
                           F.array().cast("array<string>")).alias(f)
 
-    rows = F.transform(_items(_part(value, "$.fitment")), lambda r: F.struct(
+    rows = F.transform(F.try_variant_get(value, "$.fitment", "array<variant>"), lambda r: F.struct(
         texts(r, "part_numbers"), whole(r, "year_start"), whole(r, "year_end"), text(r, "make"),
         text(r, "model"), text(r, "trim_note"),
-        _number(_part(r, "$.displacement_l")).alias("displacement_l"), text(r, "induction"), whole(r, "cylinders")))
+        number(r, "displacement_l").alias("displacement_l"), text(r, "induction"), whole(r, "cylinders")))
     return F.struct(
         text(value, "eo_number"), *[text(value, f) for f in TEXT_FIELDS], text(value, "category"),
-        _number(_part(value, "$.confidence")).alias("confidence"), texts(value, "supersedes"),
+        number(value, "confidence").alias("confidence"), texts(value, "supersedes"),
         texts(value, "part_numbers"), F.coalesce(rows, F.array()).alias("fitment"))
 
 

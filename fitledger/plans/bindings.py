@@ -137,6 +137,23 @@ SHARED_VIEWS = {
                CASE o_orderkey % 5 WHEN 0 THEN '{"category":"tune"}' WHEN 1 THEN '{"category":null,"notes":"by hand"}'
                  WHEN 2 THEN '{"confidence":0.9,"eo_number":"D-9-9"}' WHEN 3 THEN '{"part_numbers":["Z9"]}' END AS corrections
         FROM orders""",
+    # Output lines of a batch inference job, with the gaps such output has.
+    "b_response_lines": """
+        SELECT o_orderkey AS seq, concat('{"request":{"contents":[{"role":"user","parts":[{"text":"read"},',
+                 CASE o_orderkey % 3 WHEN 0 THEN 'null,' WHEN 1 THEN '{"text":null,"fileData":null},' ELSE '' END,
+                 '{"fileData":{"fileUri":"store://docs/pdfs/d-', CAST(o_custkey AS STRING),
+                 '.pdf","mimeType":"application/pdf"}}]}]},"response":',
+                 CASE o_orderkey % 8 WHEN 0 THEN 'null'
+                   WHEN 1 THEN '{"candidates":[]}'
+                   ELSE concat('{"candidates":[{"content":{"parts":[{"text":"',
+                     replace(payload, '"', concat(chr(92), '"')), '"}]}',
+                     CASE o_orderkey % 8 WHEN 2 THEN ',"finishReason":"MAX_TOKENS"' WHEN 3 THEN '' WHEN 4 THEN ',"finishReason":null'
+                       ELSE ',"finishReason":"STOP"' END, '}]',
+                     CASE o_orderkey % 6 WHEN 0 THEN '' ELSE concat(',"usageMetadata":{"promptTokenCount":',
+                       CAST(o_orderkey % 5000 AS STRING), ',"candidatesTokenCount":', CAST(o_orderkey % 700 AS STRING), '}') END, '}')
+                 END, '}') AS line,
+               payload, o_custkey AS doc
+        FROM orders JOIN b_record_json ON id = o_orderkey""",
     "b_items": """
         SELECT o_orderkey AS id, o_custkey AS doc,
                concat('run-', CAST(o_orderkey % 40 AS STRING)) AS run_id,

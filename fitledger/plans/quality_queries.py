@@ -88,7 +88,7 @@ def identity_fix(t):
 
 
 FAULTS_SQL = """
-  SELECT id, CASE WHEN NOT json_valid(payload) THEN 'not_json' WHEN json_type(payload) <> 'OBJECT' THEN 'not_object'
+  SELECT id, CASE WHEN payload IS NULL THEN 'not_json' WHEN json_type(payload) <> 'OBJECT' THEN 'not_object'
    ELSE array_to_string(list_filter([
     CASE WHEN coalesce(json_type(payload, '$.eo_number'), 'X') <> 'VARCHAR' THEN 'eo_number' END,
     CASE WHEN coalesce(json_type(payload, '$.manufacturer'), 'NULL') NOT IN ('NULL', 'VARCHAR') THEN 'manufacturer' END,
@@ -102,7 +102,7 @@ FAULTS_SQL = """
       OR len(list_filter(json_extract_string(payload, '$.fitment[*].year_start'), lambda y: NOT regexp_matches(y, '^[0-9]+(\\.0*)?$'))) > 0
       OR len(list_filter(json_extract_string(payload, '$.fitment[*].induction'), lambda y: y NOT IN ('NA', 'TURBO', 'SC'))) > 0) THEN 'fitment' END
    ], lambda x: x IS NOT NULL), ',') END AS faults
-  FROM b_record_json"""
+  FROM (SELECT id, CASE WHEN json_valid(payload) THEN payload END AS payload FROM b_record_json)"""
 
 
 @query("validate_records", f"SELECT id, faults, faults = '' AS valid FROM ({FAULTS_SQL})")
@@ -111,7 +111,7 @@ def validate_records(t):
 
 
 @query("apply_corrections", f"""
-  WITH ok AS (SELECT j.id, j.payload, c.corrections AS c FROM b_record_json j JOIN ({FAULTS_SQL}) f ON f.id = j.id AND f.faults = ''
+  WITH ok AS (SELECT j.id, CASE WHEN json_valid(j.payload) THEN j.payload END AS payload, c.corrections AS c FROM b_record_json j JOIN ({FAULTS_SQL}) f ON f.id = j.id AND f.faults = ''
     JOIN b_corrections c ON c.id = j.id)
   SELECT id, CASE WHEN json_type(c, '$.category') IS NOT NULL THEN json_extract_string(c, '$.category')
        ELSE json_extract_string(payload, '$.category') END AS category,
