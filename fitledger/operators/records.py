@@ -11,14 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vocab as v
+from ..functions.bind import let
 from ..schemas import TEXT_FIELDS, ROW_INTS, ROW_TEXTS
 
 
-def _let(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` computed once, however often the body uses it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _part(value: Column, path: str) -> Column:
     return F.try_variant_get(value, path, "variant")
 
@@ -57,7 +53,7 @@ def _numeric(value: Column, kind: Column) -> Column:
 
 
 def _whole(value: Column, kind: Column) -> Column:
-    return _let(_number_of(value, kind), lambda n: n.isNotNull() & (n == F.floor(n)))
+    return let(_number_of(value, kind), lambda n: n.isNotNull() & (n == F.floor(n)))
 
 
 def _share(value: Column, kind: Column) -> Column:
@@ -80,7 +76,7 @@ def _map_of(rule):
 
 
 def _holds(value: Column, rule) -> Column:
-    return _let(value, lambda p: _let(_kind(p), lambda k: F.coalesce(rule(p, k), F.lit(False))))
+    return let(value, lambda p: let(_kind(p), lambda k: F.coalesce(rule(p, k), F.lit(False))))
 
 
 ROW_RULES = {
@@ -108,13 +104,10 @@ RECORD_RULES = {
 def record_faults(value: Column) -> Column:
     """Names of the faulty fields of a record VARIANT, ``not_json`` or ``not_object`` for text
     that is no record at all; empty when the record is valid."""
-    def of_object(x: Column) -> Column:
-        return F.array_compact(F.array(*[
-            F.when(~_holds(_part(x, f"$.{name}"), rule), name) for name, rule in RECORD_RULES.items()]))
-
-    return _let(value, lambda x: F.when(x.isNull(), F.array(F.lit("not_json")))
-                .when(_as(x, "map<string,variant>").isNull(), F.array(F.lit("not_object")))
-                .otherwise(of_object(x)))
+    faults = [F.when(~_holds(_part(value, f"$.{name}"), rule), name) for name, rule in RECORD_RULES.items()]
+    return (F.when(value.isNull(), F.array(F.lit("not_json")))
+            .when(_as(value, "map<string,variant>").isNull(), F.array(F.lit("not_object")))
+            .otherwise(F.array_compact(F.array(*faults))))
 
 
 def validate_records(df: DataFrame, payload: str = "payload") -> DataFrame:
@@ -130,7 +123,7 @@ def typed_record(value: Column) -> Column:
         return F.try_variant_get(x, f"$.{f}", "string").alias(f)
 
     def number(x: Column, f: str) -> Column:
-        return _let(_part(x, f"$.{f}"), lambda p: _let(_kind(p), lambda k: _number_of(p, k)))
+        return let(_part(x, f"$.{f}"), lambda p: let(_kind(p), lambda k: _number_of(p, k)))
 
     def whole(x: Column, f: str) -> Column:
         return number(x, f).cast("int").alias(f)

@@ -42,40 +42,45 @@ def mark_superseded(accepted: DataFrame, approvals: DataFrame, key: str = "doc")
 
 def lineage(starts: DataFrame, edges: DataFrame, approvals: DataFrame, depth: int = 5,
             key: str = "doc") -> DataFrame:
-    """Nodes reached from each start within ``depth`` hops, each once at its least depth.
-
-    edges: src, dst. Gives start, node, depth, exists, state, capped. All starts walk
-    together, one equi-join per hop. A hop keeps each (start, node) once, so many paths to a
-    node do not multiply; the start itself is never reported, and a cycle ends at ``depth``.
-    ``capped`` marks starts whose last hop found new nodes, so their chain may go on.
+    """Nodes reached from each start within ``depth`` hops in each direction, each once at its
+    least depth.
+
+    edges: direction, src, dst. Gives start, direction, node, depth, exists, state, capped.
+    All starts and both directions walk together, one equi-join per hop. A hop keeps each
+    (start, node) once, so many paths to a node do not multiply; the start itself is never
+    reported, and a cycle ends at ``depth``. ``capped`` marks walks whose last hop found new
+    nodes, so their chain may go on.
     """
-    hop = starts.select(F.col(key).alias("start"), F.col(key).alias("node")).withColumn("depth", F.lit(0))
+    ways = ["start", "direction", "node"]
+    hop = edges.join(starts, edges["src"] == starts[key]).select(
+        F.col("src").alias("start"), "direction", F.col("dst").alias("node"))
     hops = []
     for d in range(1, depth + 1):
-        hop = (hop.join(edges, hop["node"] == edges["src"])
-               .select("start", F.col("dst").alias("node")).filter(F.col("start") != F.col("node"))
-               .distinct())
+        if d > 1:
+            step = edges.withColumnRenamed("src", "node")
+            hop = hop.join(step, ["direction", "node"]).select("start", "direction", F.col("dst").alias("node"))
+        hop = hop.filter(F.col("start") != F.col("node")).select(*ways).distinct()
         hops.append(hop.withColumn("depth", F.lit(d)))
     found = hops[0]
     for h in hops[1:]:
         found = found.unionByName(h)
-    nearest = found.groupBy("start", "node").agg(F.min("depth").alias("depth"))
-    ends = nearest.groupBy("start").agg((F.max("depth") == depth).alias("capped"))
+    nearest = found.groupBy(*ways).agg(F.min("depth").alias("depth"))
+    ends = nearest.groupBy("start", "direction").agg((F.max("depth") == depth).alias("capped"))
     known = approvals.select(F.col(key).alias("node"), "state", F.lit(True).alias("_known"))
-    return (nearest.join(ends, "start").join(known, "node", "left")
-            .select("start", "node", "depth", F.coalesce("_known", F.lit(False)).alias("exists"),
-                    "state", "capped"))
+    return (nearest.join(ends, ["start", "direction"]).join(known, "node", "left")
+            .select(*ways, "depth", F.coalesce("_known", F.lit(False)).alias("exists"), "state", "capped"))
 
 
 def supersedes_edges(approvals: DataFrame, key: str = "doc") -> DataFrame:
     """Edges from an approval back to those it replaces."""
-    return approvals.select(F.col(key).alias("src"), F.explode("supersedes").alias("dst"))
+    return approvals.select(F.lit("back").alias("direction"), F.col(key).alias("src"),
+                            F.explode("supersedes").alias("dst"))
 
 
 def superseded_by_edges(approvals: DataFrame, key: str = "doc") -> DataFrame:
     """Edges from an approval forward to the one that replaced it."""
     return approvals.filter(F.col("superseded_by").isNotNull()).select(
-        F.col(key).alias("src"), F.col("superseded_by").alias("dst"))
+        F.lit("forward").alias("direction"), F.col(key).alias("src"), F.col("superseded_by").alias("dst"))
 
 
 def repair_missing_url(approvals: DataFrame, listing: DataFrame, key: str = "eo_number") -> DataFrame:

@@ -280,10 +280,13 @@ _DUCK_ONLY = {
 
 _EPOCH = re.compile(r"epoch_s\((\w+)\)")
 DUCK_VIEWS = {k: _EPOCH.sub(r"epoch(\1)", s) for k, s in SHARED_VIEWS.items()} | _DUCK_ONLY
+# On Spark the views that build and parse JSON per order start on all cores.
+_WIDE = {"b_record_json", "b_response_lines"}
 SPARK_VIEWS = {
     k: _EPOCH.sub(r"(CAST(unix_micros(CAST(\1 AS TIMESTAMP)) AS DOUBLE) / 1e6)", s)
     for k, s in SHARED_VIEWS.items()
 } | _SPARK_ONLY
+SPARK_VIEWS |= {k: SPARK_VIEWS[k].replace("FROM orders", "FROM orders_spread") for k in _WIDE}
 
 
 class Tables:
@@ -299,7 +302,9 @@ class Tables:
         if name.startswith("_"):
             raise AttributeError(name)
         if name not in self._made:
-            if name in TABLES:
+            if name.endswith("_spread"):
+                self._made[name] = spread(getattr(self, name.removesuffix("_spread")))
+            elif name in TABLES:
                 scan = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
                 self._made[name] = spread(scan) if name in HEAVY else scan
             elif name in SPARK_VIEWS:
@@ -316,7 +321,7 @@ class Tables:
             used[m.group(2)] = getattr(self, m.group(2))
             return f"{m.group(1)} {{{m.group(2)}}}"
 
-        names = "|".join([*TABLES, *SPARK_VIEWS])
+        names = "|".join([*TABLES, "orders_spread", *SPARK_VIEWS])
         body = text.replace("{", "{{").replace("}", "}}")
         body = re.sub(rf"\b(FROM|JOIN)\s+({names})\b", place, body)
         return self.spark.sql(body, **used)

@@ -201,11 +201,6 @@ def supersede_mark(t):
     return marked.select("doc", "state", "superseded_by")
 
 
-def chain_edges(t):
-    back = t.b_edges.filter("prev IS NOT NULL")
-    return back.select(F.col("doc").alias("src"), F.col("prev").alias("dst"))
-
-
 @query("lineage", """
   WITH RECURSIVE walk AS (
     SELECT doc AS start, prev AS node, 1 AS depth, 'back' AS direction FROM b_edges WHERE prev IS NOT NULL
@@ -216,13 +211,12 @@ def chain_edges(t):
   SELECT w.start, w.node, w.depth, w.direction, l.doc_id IS NOT NULL AS exists, max(w.depth) OVER (PARTITION BY w.start, w.direction) = 5 AS capped
   FROM walk w LEFT JOIN labels l ON l.doc_id = w.node""")
 def lineage(t):
-    edges = chain_edges(t)
+    edges = t.b_edges.filter("prev IS NOT NULL").select(F.inline(F.array(
+        F.struct(F.lit("back").alias("direction"), F.col("doc").alias("src"), F.col("prev").alias("dst")),
+        F.struct(F.lit("forward").alias("direction"), F.col("prev").alias("src"), F.col("doc").alias("dst")))))
     known = t.labels.select(F.col("doc_id").alias("doc"), F.lit("complete").alias("state"))
     starts = t.documents.select(F.col("doc_id").alias("doc"))
-    back = G.lineage(starts, edges, known).withColumn("direction", F.lit("back"))
-    turned = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    forward = G.lineage(starts, turned, known).withColumn("direction", F.lit("forward"))
-    return back.unionByName(forward).select("start", "node", "depth", "direction", "exists", "capped")
+    return G.lineage(starts, edges, known).select("start", "node", "depth", "direction", "exists", "capped")
 
 
 @query("repair_missing_url", """

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.bind import let
+
 _DATA = "$.results[0].result.data.dsr.DS[0]"
 _CELLS = "array<struct<i:bigint,s:string>>"
 
@@ -46,36 +48,43 @@ def decode_pages(pages: DataFrame, payload: str = "payload") -> DataFrame:
     Rows that are no object, or whose cells or mask have the wrong type, are skipped and leave
     the carried row as it was. Each page is folded on its own, so pages run in parallel.
     """
-    value = F.try_parse_json(F.col(payload))
-    parsed = pages.withColumns({
-        "_d0": F.coalesce(_get(value, f"{_DATA}.ValueDicts.D0", "array<string>"), F.array().cast("array<string>")),
-        "_d1": F.coalesce(_get(value, f"{_DATA}.ValueDicts.D1", "array<string>"), F.array().cast("array<string>")),
-        "_rows": _get(value, f"{_DATA}.PH[0].DM0", "array<variant>"),
-    })
-
     def resolve(cell: Column, words: Column) -> Column:
         return F.nullif(F.coalesce(F.get(words, cell["i"].cast("int")), cell["s"]), F.lit(""))
 
-    def step(acc: Column, row: Column) -> Column:
-        c_kind = F.coalesce(F.schema_of_variant(_get(row, "$.C", "variant")), F.lit("VOID"))
-        r_kind = F.coalesce(F.schema_of_variant(_get(row, "$.R", "variant")), F.lit("VOID"))
+    def kind(row: Column, field: str) -> Column:
+        return F.coalesce(F.schema_of_variant(_get(row, field, "variant")), F.lit("VOID"))
+
+    def advance(acc: Column, cells: Column, page: Column) -> Column:
+        pair = F.when(F.size(cells) >= 2, F.struct(
+            F.size(acc["out"]).alias("row_no"),
+            resolve(F.get(cells, F.lit(0)), page["d0"]).alias("eo_number"),
+            resolve(F.get(cells, F.lit(1)), page["d1"]).alias("pdf_url")))
+        return F.struct(cells.alias("carry"), F.array_append(acc["out"], pair).alias("out"))
+
+    def step(acc: Column, row: Column, page: Column) -> Column:
         mask = F.coalesce(_get(row, "$.R", "bigint"), F.lit(0).cast("bigint"))
-        carry = acc["carry"]
+        carry, c_kind = acc["carry"], kind(row, "$.C")
         readable = (F.schema_of_variant(row).startswith("OBJECT")
                     & (c_kind.startswith("ARRAY") | (c_kind == "VOID"))
-                    & (r_kind.isin("VOID", "BIGINT") | (F.size(carry) == 0)))
-        cells = F.when((mask != 0) & (F.size(carry) > 0), _merge(carry, _cells(row), mask)).otherwise(_cells(row))
-        pair = F.when(F.size(cells) >= 2, F.struct(
-            F.size(acc["out"]).alias("row_no"),
-            resolve(F.get(cells, F.lit(0)), F.col("_d0")).alias("eo_number"),
-            resolve(F.get(cells, F.lit(1)), F.col("_d1")).alias("pdf_url")))
-        return F.when(F.coalesce(readable, F.lit(False)), F.struct(
-            cells.alias("carry"), F.array_append(acc["out"], pair).alias("out"))).otherwise(acc)
-
-    start = F.struct(F.array().cast(_CELLS).alias("carry"),
-                     F.array().cast("array<struct<row_no:int,eo_number:string,pdf_url:string>>").alias("out"))
-    folded = parsed.withColumn("_pairs", F.aggregate("_rows", start, step, lambda acc: acc["out"]))
-    return (folded.select(*pages.columns, F.explode("_pairs").alias("_p")).select(*pages.columns, "_p.*")
+                    & (kind(row, "$.R").isin("VOID", "BIGINT") | (F.size(carry) == 0)))
+        cells = let(_cells(row), lambda new: F.when(
+            (mask != 0) & (F.size(carry) > 0), _merge(carry, new, mask)).otherwise(new))
+        return F.when(F.coalesce(readable, F.lit(False)), let(cells, lambda c: advance(acc, c, page))).otherwise(acc)
+
+    def fold(page: Column) -> Column:
+        start = F.struct(F.array().cast(_CELLS).alias("carry"),
+                         F.array().cast("array<struct<row_no:int,eo_number:string,pdf_url:string>>").alias("out"))
+        return F.aggregate(page["rows"], start, lambda acc, row: step(acc, row, page), lambda acc: acc["out"])
+
+    def parts(value: Column) -> Column:
+        def words(name: str) -> Column:
+            return F.coalesce(_get(value, f"{_DATA}.ValueDicts.{name}", "array<string>"),
+                              F.array().cast("array<string>"))
+        return F.struct(words("D0").alias("d0"), words("D1").alias("d1"),
+                        _get(value, f"{_DATA}.PH[0].DM0", "array<variant>").alias("rows"))
+
+    pairs = let(F.try_parse_json(F.col(payload)), lambda value: let(parts(value), fold))
+    return (pages.select(*pages.columns, F.explode(pairs).alias("_p")).select(*pages.columns, "_p.*")
             .filter("eo_number IS NOT NULL AND pdf_url IS NOT NULL"))
 
 
