@@ -77,9 +77,11 @@ def heal_plan(items: DataFrame, kind: str, cap: int, eligible: Column | None = N
     requeue = open_items.orderBy("created_at", "id").limit(cap).withColumn("action", F.lit("requeue"))
     parked = failed.filter(healed == v.HEAL_LIMIT).withColumn("action", F.lit("heal_limit_reached"))
     # Items behind the last one requeued were never looked at, so their limit is not noted yet.
-    last = requeue.agg(F.max(F.struct("created_at", "id")).alias("_last"), F.count("*").alias("_n"))
-    seen = parked.join(F.broadcast(last), (F.col("_n") < cap) | (F.struct("created_at", "id") < F.col("_last")))
-    return requeue.unionByName(seen.drop("_last", "_n"))
+    last = requeue.select(F.max(F.struct("created_at", "id"))).scalar()
+    short = requeue.select(F.count("*") < cap).scalar()
+    seen = parked.withColumns({"_short": short, "_last": last}).filter(
+        F.col("_short") | (F.struct("created_at", "id") < F.col("_last")))
+    return requeue.unionByName(seen.drop("_last", "_short"))
 
 
 def heal_updates(plan: DataFrame) -> DataFrame:
