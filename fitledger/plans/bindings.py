@@ -313,6 +313,12 @@ class Tables:
                 raise AttributeError(name)
         return self._made[name]
 
+    def over(self, view: str, **tables: DataFrame) -> DataFrame:
+        """A view over other inputs, such as a stream in place of a table."""
+        other = Tables(self.spark, self.sf_dir)
+        other._made.update(tables)
+        return getattr(other, view)
+
     def sql(self, text: str) -> DataFrame:
         """Spark SQL over tables and views named in FROM and JOIN clauses."""
         used: dict[str, DataFrame] = {}
