@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import reliable
 from .ordered import running_sum
 from .state import latest_per_key
 
@@ -35,7 +36,9 @@ def ingest_split(lines: DataFrame, items: DataFrame, extractions: DataFrame, lim
     total is the same whatever order partial sums are added in.
     """
     known = extractions.select(key).distinct().withColumn("_known", F.lit(True))
-    j = attach_items(lines, items, key).join(known, key, "left")
+    # Parsing the responses is the costly part and its outcome is looked at twice below.
+    read = reliable(lines.select(key, order, "usable", "tok_in", "tok_out"))
+    j = attach_items(read, items, key).join(known, key, "left")
     first = (j.filter("usable AND _known IS NULL").groupBy(key).agg(F.min(order).alias("_first")))
     usd = T.token_cost(F.col("tok_in"), F.col("tok_out"), batch=True).cast("decimal(18,8)")
     j = j.join(first, key, "left").withColumns({

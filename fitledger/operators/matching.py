@@ -66,7 +66,7 @@ def candidate_counts(rows: DataFrame, catalog: DataFrame) -> DataFrame:
 
 def candidate_pairs(rows: DataFrame, catalog: DataFrame) -> DataFrame:
     """(doc, row_idx, vehicle_id) for every candidate. Meant for rows already narrowed
-    down, such as unresolved rows within the fan-out limit."""
+    down; to count candidates use candidate_counts, which builds no pairs."""
     keyed = _year_bounds(rows).select(*ROW_KEY, "_lo", "_hi", make_key(F.col("make")).alias("_make"))
     cat = catalog.select("vehicle_id", F.col("year").cast("int").alias("_y"),
                          make_key(F.col("make")).alias("_make"))
@@ -85,31 +85,45 @@ def application_matches(rows: DataFrame, catalog: DataFrame,
     role 1. Each fitting pair meets under one key only, and the year range and engine
     tier are checked inside the join.
     """
-    def keys(own_role: int, other_role: int | None):
-        full = F.struct(M.fold(F.col("model")).alias("_model"), F.lit(own_role).alias("_role"))
-        role = own_role if other_role is None else other_role
-        proper = F.transform(M.boundary_prefixes(F.col("model")),
-                             lambda p: F.struct(p.alias("_model"), F.lit(role).alias("_role")))
-        return F.concat(F.array(full), proper)
-
-    named = F.length(M.fold(F.col("model"))) > 0
-    row_keys = (_year_bounds(rows).filter(named)
-                .select(*ROW_KEY, "_lo", "_hi", make_key(F.col("make")).alias("_make"),
+    joined = dimension_join(
+        _row_keys(rows).filter(F.col("_model").isNotNull()), _catalog_keys(catalog),
+        ["_make", "_model", "_role"], ROW_KEY, fits_broadcast(catalog, bound),
+        when=F.col("_y").between(F.col("_lo"), F.col("_hi")))
+    return joined.select(*ROW_KEY, "vehicle_id", _tier().alias("tier")).filter(F.col("tier").isNotNull())
+
+
+def _tier() -> Column:
+    return M.engine_tier(*(F.col(c) for c in ("_rl", "_ri", "_rc", "_cl", "_ci", "_cc")))
+
+
+def _named() -> Column:
+    return F.length(M.fold(F.col("model"))) > 0
+
+
+def _names(role: int, prefix_role: int, *more: Column) -> Column:
+    """Full folded model under ``role`` and its boundary prefixes under ``prefix_role``."""
+    def entry(name: Column, r: int) -> Column:
+        return F.struct(name.alias("_model"), F.lit(r).alias("_role"))
+
+    proper = F.transform(M.boundary_prefixes(F.col("model")), lambda p: entry(p, prefix_role))
+    return F.concat(F.array(entry(M.fold(F.col("model")), role), *more), proper)
+
+
+def _row_keys(rows: DataFrame, *keep: str) -> DataFrame:
+    """rows once per lookup name, with ``_n_keys``; a row without a model has one null name."""
+    nameless = F.array(F.struct(F.lit(None).cast("string").alias("_model"), F.lit(0).alias("_role")))
+    keyed = _year_bounds(rows).withColumn("_names", F.when(_named(), _names(0, 1)).otherwise(nameless))
+    return keyed.select(*ROW_KEY, *keep, "_lo", "_hi", make_key(F.col("make")).alias("_make"),
                         F.col("displacement_l").alias("_rl"), F.col("induction").alias("_ri"),
-                        F.col("cylinders").alias("_rc"), F.inline(keys(0, 1))))
-    cat_keys = F.concat(keys(0, None), F.array(
-        F.struct(M.fold(F.col("model")).alias("_model"), F.lit(1).alias("_role"))))
-    cat = (catalog.filter(named)
-           .select("vehicle_id", F.col("year").cast("int").alias("_y"),
-                   make_key(F.col("make")).alias("_make"), F.col("displacement_l").alias("_cl"),
-                   F.col("induction").alias("_ci"), F.col("cylinders").alias("_cc"),
-                   F.inline(cat_keys)))
-    joined = dimension_join(row_keys, cat, ["_make", "_model", "_role"], ROW_KEY,
-                            fits_broadcast(catalog, bound))
-    tier = M.engine_tier(*(F.col(c) for c in ("_rl", "_ri", "_rc", "_cl", "_ci", "_cc")))
-    return (joined.filter(F.col("_y").between(F.col("_lo"), F.col("_hi")))
-            .select(*ROW_KEY, "vehicle_id", tier.alias("tier"))
-            .filter(F.col("tier").isNotNull()))
+                        F.col("cylinders").alias("_rc"), F.size("_names").alias("_n_keys"), F.inline("_names"))
+
+
+def _catalog_keys(catalog: DataFrame) -> DataFrame:
+    full = F.struct(M.fold(F.col("model")).alias("_model"), F.lit(1).alias("_role"))
+    return catalog.filter(_named()).select(
+        "vehicle_id", F.col("year").cast("int").alias("_y"), make_key(F.col("make")).alias("_make"),
+        F.col("displacement_l").alias("_cl"), F.col("induction").alias("_ci"),
+        F.col("cylinders").alias("_cc"), F.inline(_names(0, 0, full)))
 
 
 def best_matches(matches: DataFrame) -> DataFrame:
@@ -143,23 +157,34 @@ def match_records(best: DataFrame, rows: DataFrame, approvals: DataFrame,
                     "category", "device_name", "manufacturer"))
 
 
-def unresolved_rows(rows: DataFrame, catalog: DataFrame, matches: DataFrame) -> DataFrame:
-    """Rows with no match but at least one candidate, with their candidate count."""
-    open_rows = candidate_counts(rows, catalog).filter(F.col("n_candidates") > 0)
-    return open_rows.join(matches.select(*ROW_KEY), ROW_KEY, "left_anti")
-
-
-def split_by_fanout(unresolved: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
-    """(rows to send to a resolver, rows set aside because they have too many candidates)."""
-    return (unresolved.filter(F.col("n_candidates") <= limit),
-            unresolved.filter(F.col("n_candidates") > limit))
-
+def unresolved_rows(rows: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Rows with no match but at least one candidate: doc, row_idx, make, year_start,
+    year_end, n_candidates.
 
-def resolver_requests(sendable: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Row plus its candidate ids; lists are as short as the fan-out limit applied before."""
-    ids = (candidate_pairs(sendable, catalog).groupBy(*ROW_KEY)
-           .agg(F.array_sort(F.collect_list("vehicle_id")).alias("candidate_ids")))
-    return sendable.join(ids, ROW_KEY)
+    Found without building matches: a lookup name that fits some vehicle is dropped by an
+    anti join, and a row is unresolved when all its names are left.
+    """
+    keep = ["make", "year_start", "year_end", "n_candidates"]
+    open_rows = candidate_counts(rows, catalog).filter(F.col("n_candidates") > 0)
+    fits = F.col("_y").between(F.col("_lo"), F.col("_hi")) & _tier().isNotNull()
+    left = dimension_join(_row_keys(open_rows, *keep), _catalog_keys(catalog), ["_make", "_model", "_role"],
+                          ROW_KEY, fits_broadcast(catalog), "left_anti", fits)
+    return (left.groupBy(*ROW_KEY, *keep, "_n_keys").agg(F.count("*").alias("_left"))
+            .filter(F.col("_left") == F.col("_n_keys")).drop("_left", "_n_keys"))
+
+
+def resolver_requests(unresolved: DataFrame, catalog: DataFrame, limit: int) -> DataFrame:
+    """doc, row_idx, n_candidates and the sorted ``candidate_ids`` to send to a resolver.
+    Rows with more than ``limit`` candidates are set aside: they keep their count, get no list
+    (null) and are never joined out, so no list is longer than the limit."""
+    keyed = _year_bounds(unresolved).select(*ROW_KEY, "n_candidates", "_lo", "_hi",
+                                            make_key(F.col("make")).alias("_make"))
+    cat = catalog.select("vehicle_id", F.col("year").cast("int").alias("_y"),
+                         make_key(F.col("make")).alias("_make"))
+    pairs = dimension_join(keyed, cat, ["_make"], ROW_KEY, fits_broadcast(catalog), "left",
+                           (F.col("n_candidates") <= limit) & F.col("_y").between(F.col("_lo"), F.col("_hi")))
+    return (pairs.groupBy(*ROW_KEY, "n_candidates").agg(F.array_sort(F.collect_list("vehicle_id")).alias("_ids"))
+            .select(*ROW_KEY, "n_candidates", F.when(F.size("_ids") > 0, F.col("_ids")).alias("candidate_ids")))
 
 
 def resolver_outcomes(decisions: DataFrame, unresolved: DataFrame, catalog: DataFrame,

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vocab as v
+from ..functions.bind import let
 from ..session import fits_broadcast
 
 ROW_FIELDS = ["model", "make", "year_start", "year_end", "displacement_l", "induction",
@@ -45,9 +46,12 @@ def dedupe_rows(fitment: Column) -> Column:
         F.struct(*[r[f].alias(f) for f in ROW_FIELDS],
                  F.array_sort(F.coalesce(r["part_numbers"], F.array().cast("array<string>"))).alias("p")).alias("k"),
         i.alias("i"))))
-    firsts = F.filter(keyed, lambda e, j: (j == 0) | ~F.get(keyed, j - 1)["k"].eqNullSafe(e["k"]))
-    places = F.array_sort(F.transform(firsts, lambda e: e["i"]))
-    return F.transform(places, lambda i: F.get(fitment, i))
+
+    def first_places(sorted_rows: Column) -> Column:
+        firsts = F.filter(sorted_rows, lambda e, j: (j == 0) | ~F.get(sorted_rows, j - 1)["k"].eqNullSafe(e["k"]))
+        return F.array_sort(F.transform(firsts, lambda e: e["i"]))
+
+    return F.transform(let(keyed, first_places), lambda i: F.get(fitment, i))
 
 
 def with_deduped_rows(records: DataFrame) -> DataFrame:

@@ -7,76 +7,94 @@ numbers, whole floats for integers) and name the field of every value it would r
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vocab as v
-from ..functions.bind import let
 from ..schemas import TEXT_FIELDS, ROW_INTS, ROW_TEXTS
 
 
-def _part(value: Column, path: str) -> Column:
-    return F.try_variant_get(value, path, "variant")
+# The rules are SQL text: a rule takes the names of a value and of its kind and gives the
+# condition under which a lax typed reader accepts the value.
+
+_names = count()
+
+
+def _let(value: str, body: Callable[[str], str]) -> str:
+    """SQL of ``body(value)`` with ``value`` computed once, however often the body uses it."""
+    x = f"x{next(_names)}"
+    return f"get(transform(array({value}), {x} -> {body(x)}), 0)"
 
 
-def _kind(value: Column) -> Column:
-    return F.coalesce(F.schema_of_variant(value), F.lit("MISSING"))
+def _part(value: str, path: str) -> str:
+    return f"try_variant_get({value}, '{path}', 'variant')"
 
 
-def _as(value: Column, kind: str) -> Column:
-    return F.try_variant_get(value, "$", kind)
+def _kind(value: str) -> str:
+    return f"coalesce(schema_of_variant({value}), 'MISSING')"
 
 
-# A rule takes a value and its kind and says whether a lax typed reader accepts it.
+def _as(value: str, kind: str) -> str:
+    return f"try_variant_get({value}, '$', '{kind}')"
 
-def _absent(_, kind: Column) -> Column:
-    return kind.isin("MISSING", "VOID")
 
+def _words(words: list[str]) -> str:
+    return ", ".join(f"'{w}'" for w in words)
 
-def _text(_, kind: Column) -> Column:
-    return kind == "STRING"
+
+def _text(_: str, kind: str) -> str:
+    return f"{kind} = 'STRING'"
 
 
 def _word_of(words: list[str]):
-    return lambda value, kind: (kind == "STRING") & _as(value, "string").isin(words)
+    return lambda x, k: f"({k} = 'STRING' AND {_as(x, 'string')} IN ({_words(words)}))"
 
 
-def _number_of(value: Column, kind: Column) -> Column:
+def _number_of(x: str, k: str) -> str:
     """The number a lax reader takes from a value, null when it takes none."""
-    return (F.when(kind == "STRING", F.btrim(_as(value, "string")).try_cast("double"))
-            .when(kind == "BOOLEAN", _as(value, "boolean").cast("int").cast("double"))
-            .when(kind.rlike("^(BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|DECIMAL)"), _as(value, "double")))
+    return (f"CASE WHEN {k} = 'STRING' THEN try_cast(trim({_as(x, 'string')}) AS DOUBLE) "
+            f"WHEN {k} = 'BOOLEAN' THEN CAST(CAST({_as(x, 'boolean')} AS INT) AS DOUBLE) "
+            f"WHEN {k} RLIKE '^(BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|DECIMAL)' THEN {_as(x, 'double')} END")
 
 
-def _numeric(value: Column, kind: Column) -> Column:
-    return _number_of(value, kind).isNotNull()
+def _numeric(x: str, k: str) -> str:
+    return f"({_number_of(x, k)}) IS NOT NULL"
 
 
-def _whole(value: Column, kind: Column) -> Column:
-    return let(_number_of(value, kind), lambda n: n.isNotNull() & (n == F.floor(n)))
+def _whole(x: str, k: str) -> str:
+    return _let(_number_of(x, k), lambda n: f"({n} IS NOT NULL AND {n} = floor({n}))")
 
 
-def _share(value: Column, kind: Column) -> Column:
-    return _number_of(value, kind).between(0, 1)
+def _share(x: str, k: str) -> str:
+    return f"({_number_of(x, k)}) BETWEEN 0 AND 1"
 
 
 def _optional(rule):
-    return lambda value, kind: _absent(value, kind) | rule(value, kind)
+    return lambda x, k: f"({k} IN ('MISSING', 'VOID') OR {rule(x, k)})"
+
+
+def _all_items(items: str, rule) -> str:
+    i = f"i{next(_names)}"
+    return f"forall({items}, {i} -> {_holds(i, rule)})"
 
 
 def _list_of(rule):
     """Missing is fine (empty list); null is not; every item must pass."""
-    return lambda value, kind: (kind == "MISSING") | (
-        kind.startswith("ARRAY") & F.forall(_as(value, "array<variant>"), lambda x: _holds(x, rule)))
+    return lambda x, k: (f"({k} = 'MISSING' OR (startswith({k}, 'ARRAY') AND "
+                         f"{_all_items(_as(x, 'array<variant>'), rule)}))")
 
 
 def _map_of(rule):
-    return lambda value, kind: (kind == "MISSING") | (kind.startswith("OBJECT") & F.forall(
-        F.map_values(_as(value, "map<string,variant>")), lambda x: _holds(x, rule)))
+    entries = "map_values({})"
+    return lambda x, k: (f"({k} = 'MISSING' OR (startswith({k}, 'OBJECT') AND "
+                         f"{_all_items(entries.format(_as(x, 'map<string,variant>')), rule)}))")
 
 
-def _holds(value: Column, rule) -> Column:
-    return let(value, lambda p: let(_kind(p), lambda k: F.coalesce(rule(p, k), F.lit(False))))
+def _holds(value: str, rule) -> str:
+    return _let(value, lambda p: _let(_kind(p), lambda k: f"coalesce({rule(p, k)}, false)"))
 
 
 ROW_RULES = {
@@ -86,11 +104,9 @@ ROW_RULES = {
 }
 
 
-def _row(value: Column, kind: Column) -> Column:
-    ok = kind.startswith("OBJECT")
-    for name, rule in ROW_RULES.items():
-        ok &= _holds(_part(value, f"$.{name}"), rule)
-    return ok
+def _row(x: str, k: str) -> str:
+    fields = [_holds(_part(x, f"$.{name}"), rule) for name, rule in ROW_RULES.items()]
+    return " AND ".join([f"startswith({k}, 'OBJECT')", *fields])
 
 
 RECORD_RULES = {
@@ -101,51 +117,50 @@ RECORD_RULES = {
 }
 
 
-def record_faults(value: Column) -> Column:
-    """Names of the faulty fields of a record VARIANT, ``not_json`` or ``not_object`` for text
-    that is no record at all; empty when the record is valid."""
-    faults = [F.when(~_holds(_part(value, f"$.{name}"), rule), name) for name, rule in RECORD_RULES.items()]
-    return (F.when(value.isNull(), F.array(F.lit("not_json")))
-            .when(_as(value, "map<string,variant>").isNull(), F.array(F.lit("not_object")))
-            .otherwise(F.array_compact(F.array(*faults))))
+def record_faults(value: str) -> Column:
+    """Names of the faulty fields of the record VARIANT in column ``value``, ``not_json`` or
+    ``not_object`` for text that is no record at all; empty when the record is valid."""
+    faults = ", ".join(f"CASE WHEN NOT {_holds(_part(value, f'$.{name}'), rule)} THEN '{name}' END"
+                       for name, rule in RECORD_RULES.items())
+    return F.expr(f"CASE WHEN {value} IS NULL THEN array('not_json') "
+                  f"WHEN {_as(value, 'map<string,variant>')} IS NULL THEN array('not_object') "
+                  f"ELSE array_compact(array({faults})) END")
 
 
 def validate_records(df: DataFrame, payload: str = "payload") -> DataFrame:
     """df with ``value`` (VARIANT), ``faults`` and ``valid``."""
     return (df.withColumn("value", F.try_parse_json(F.col(payload)))
-            .withColumn("faults", record_faults(F.col("value")))
+            .withColumn("faults", record_faults("value"))
             .withColumn("valid", F.size("faults") == 0))
 
 
-def typed_record(value: Column) -> Column:
-    """Struct of a valid record VARIANT with coerced scalars and empty lists for missing ones."""
-    def text(x: Column, f: str) -> Column:
-        return F.try_variant_get(x, f"$.{f}", "string").alias(f)
-
-    def number(x: Column, f: str) -> Column:
-        return let(_part(x, f"$.{f}"), lambda p: let(_kind(p), lambda k: _number_of(p, k)))
+def typed_record(value: str) -> Column:
+    """Struct of the valid record VARIANT in column ``value``, with coerced scalars and empty
+    lists for missing ones."""
+    def text(x: str, f: str) -> str:
+        return f"'{f}', try_variant_get({x}, '$.{f}', 'string')"
 
-    def whole(x: Column, f: str) -> Column:
-        return number(x, f).cast("int").alias(f)
+    def number(x: str, f: str, kind: str) -> str:
+        n = _let(_part(x, f"$.{f}"), lambda p: _let(_kind(p), lambda k: _number_of(p, k)))
+        return f"'{f}', CAST({n} AS {kind})"
 
-    def texts(x: Column, f: str) -> Column:
-        return F.coalesce(F.try_variant_get(x, f"$.{f}", "array<string>"),
-                          F.array().cast("array<string>")).alias(f)
+    def texts(x: str, f: str) -> str:
+        return f"'{f}', coalesce(try_variant_get({x}, '$.{f}', 'array<string>'), CAST(array() AS ARRAY<STRING>))"
 
-    rows = F.transform(F.try_variant_get(value, "$.fitment", "array<variant>"), lambda r: F.struct(
-        texts(r, "part_numbers"), whole(r, "year_start"), whole(r, "year_end"), text(r, "make"),
-        text(r, "model"), text(r, "trim_note"),
-        number(r, "displacement_l").alias("displacement_l"), text(r, "induction"), whole(r, "cylinders")))
-    return F.struct(
-        text(value, "eo_number"), *[text(value, f) for f in TEXT_FIELDS], text(value, "category"),
-        number(value, "confidence").alias("confidence"), texts(value, "supersedes"),
-        texts(value, "part_numbers"), F.coalesce(rows, F.array()).alias("fitment"))
+    row = ", ".join([texts("r", "part_numbers"), number("r", "year_start", "INT"), number("r", "year_end", "INT"),
+                     text("r", "make"), text("r", "model"), text("r", "trim_note"),
+                     number("r", "displacement_l", "DOUBLE"), text("r", "induction"), number("r", "cylinders", "INT")])
+    rows = f"transform(try_variant_get({value}, '$.fitment', 'array<variant>'), r -> named_struct({row}))"
+    fields = [text(value, "eo_number"), *[text(value, f) for f in TEXT_FIELDS], text(value, "category"),
+              number(value, "confidence", "DOUBLE"), texts(value, "supersedes"), texts(value, "part_numbers"),
+              f"'fitment', coalesce({rows}, array())"]
+    return F.expr(f"named_struct({', '.join(fields)})")
 
 
 def merged(value: Column, corrections: Column) -> Column:
     """Top-level merge of two record VARIANTs: a corrected field replaces the whole old one,
     an explicit null included. Gives ``map<string, variant>``."""
-    old, new = _as(value, "map<string,variant>"), _as(corrections, "map<string,variant>")
+    old, new = (F.try_variant_get(x, "$", "map<string,variant>") for x in (value, corrections))
     kept = F.map_filter(old, lambda k, _: ~F.array_contains(F.map_keys(new), k))
     return F.when(new.isNull(), old).otherwise(F.map_concat(kept, new))
 
@@ -162,7 +177,7 @@ def corrections_error(text: Column) -> Column:
     value = F.try_parse_json(t)
     return (F.when(t.isNull() | (t == ""), None)
             .when(value.isNull(), "Corrections must be valid JSON.")
-            .when(~_kind(value).startswith("OBJECT"),
+            .when(~F.schema_of_variant(value).startswith("OBJECT"),
                   "Corrections must be a JSON object of field: value pairs."))
 
 

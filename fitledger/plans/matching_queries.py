@@ -64,7 +64,7 @@ def matches(t):
 
 
 def unresolved(t):
-    return op.unresolved_rows(app_rows(t), t.b_catalog, matches(t))
+    return op.unresolved_rows(app_rows(t), t.b_catalog)
 
 
 def outcomes(t):
@@ -123,12 +123,11 @@ def unresolved_rows(t):
   FROM ({UNRESOLVED}) u JOIN ({CANDIDATES}) c ON u.doc = c.doc AND u.row_idx = c.row_idx
   GROUP BY 1, 2, 3, 4""")
 def candidate_cap(t):
-    sendable, aside = op.split_by_fanout(unresolved(t), 20)
-    cols = ["doc", "row_idx", "n_candidates"]
-    sent = op.resolver_requests(sendable, t.b_catalog).select(
-        *cols, F.lit("sent").alias("fate"), F.array_join(F.col("candidate_ids").cast("array<string>"), ",").alias("candidate_ids"))
-    return sent.unionByName(aside.select(
-        *cols, F.lit("set_aside").alias("fate"), F.lit(None).cast("string").alias("candidate_ids")))
+    sent = op.resolver_requests(unresolved(t), t.b_catalog, 20)
+    ids = F.array_join(F.col("candidate_ids").cast("array<string>"), ",")
+    return sent.select("doc", "row_idx", "n_candidates",
+                       F.when(F.col("candidate_ids").isNull(), "set_aside").otherwise("sent").alias("fate"),
+                       ids.alias("candidate_ids"))
 
 
 @query("resolver_filter", f"SELECT doc, row_idx, seq, outcome, CAST(n_valid AS BIGINT) AS n_valid FROM ({OUTCOMES})")

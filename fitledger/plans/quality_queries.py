@@ -123,7 +123,7 @@ def validate_records(t):
 def apply_corrections(t):
     ok = R.validate_records(t.b_record_json).filter("valid").select("id", "value")
     fixed = R.apply_corrections(ok.join(t.b_corrections, "id"))
-    rec = fixed.withColumn("r", R.typed_record(F.col("value")))
+    rec = fixed.withColumn("r", R.typed_record("value"))
     return rec.select("id", "r.category", "r.eo_number", "r.confidence",
                       F.when(F.array_contains("r.part_numbers", "Z9"), F.array_join("r.part_numbers", ",")).otherwise("").alias("new_parts"), "valid")
 
@@ -243,7 +243,7 @@ def audit_outcome(t):
     needs_fix = F.col("reason").isNotNull() & (F.col("verdict") == "fix")
     value = F.parse_json(F.to_json(F.struct("eo_number", "confidence", "category", "part_numbers", "fitment")))
     fixed = R.apply_corrections(judged.withColumn("value", F.when(needs_fix, value)))
-    rec = fixed.withColumn("r", R.typed_record(F.col("value")))
+    rec = fixed.withColumn("r", R.typed_record("value"))
     out = rec.withColumns({
         "fix_valid": F.col("valid"),
         "fix_issues": Q.gate_issues(F.col("r.eo_number"), F.col("r.fitment"), F.col("r.part_numbers"), F.col("r.category"))})

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Rows up to which a dimension is broadcast on request. The count is taken with
@@ -47,20 +49,35 @@ def fits_broadcast(df: DataFrame, bound: int = BROADCAST_ROW_BOUND) -> bool:
 
 
 def dimension_join(big: DataFrame, small: DataFrame, keys: list[str], salt_on: list[str],
-                   small_fits: bool, how: str = "inner", salts: int = 16) -> DataFrame:
+                   small_fits: bool, how: str = "inner", when: Column | None = None,
+                   salts: int = 16) -> DataFrame:
     """Join a large side to a dimension whose keys may be badly skewed on the large side.
 
     ``small_fits`` is the outcome of ``fits_broadcast``: when true the dimension is
     broadcast and the large side is not shuffled at all. Otherwise the large side is
     spread over ``salts`` parts per key by a hash of ``salt_on`` and the dimension is
     repeated once per part, so one hot key is worked on by ``salts`` tasks. Both forms
-    give the same rows. ``how`` is inner or left.
+    give the same rows. ``when`` is a further condition over the columns of both sides;
+    ``how`` is inner, left, left_semi or left_anti.
     """
+    right = small.withColumnsRenamed({k: f"_dim_{k}" for k in keys})
+    match = [F.col(k) == F.col(f"_dim_{k}") for k in keys] + ([] if when is None else [when])
+    drop = [f"_dim_{k}" for k in keys]
     if small_fits:
-        return big.join(F.broadcast(small), keys, how)
-    spread = big.withColumn("_salt", F.pmod(F.xxhash64(*salt_on), F.lit(salts)).cast("int"))
-    copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return spread.join(copies, [*keys, "_salt"], how).drop("_salt")
+        right = F.broadcast(right)
+    else:
+        big = big.withColumn("_salt", F.pmod(F.xxhash64(*salt_on), F.lit(salts)).cast("int"))
+        right = right.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        match.append(F.col("_salt") == F.col("_part"))
+        drop += ["_salt", "_part"]
+    return big.join(right, reduce(and_, match), how).drop(*drop)
+
+
+def reliable(df: DataFrame) -> DataFrame:
+    """df computed once and kept in the shared checkpoint folder, so that costly input is not
+    computed again per use and a lost executor does not start it over."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
 
 
 def spread(df: DataFrame) -> DataFrame:

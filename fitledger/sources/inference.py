@@ -61,11 +61,11 @@ def read_responses(lines: DataFrame, line: str = "line") -> DataFrame:
         "tok_out": F.coalesce("_j.response.usageMetadata.candidatesTokenCount", F.lit(0).cast("long")),
     })
     usable = (F.col("_j.response").isNotNull() & F.coalesce(F.col("_finish") == "STOP", F.lit(False))
-              & F.col("_value").isNotNull() & (F.size(record_faults(F.col("_value"))) == 0))
+              & F.col("_value").isNotNull() & (F.size(record_faults("_value")) == 0))
     return (parsed.filter(F.col("_uri").isNotNull())
             .withColumns({"eo_number": key_from_uri(F.col("_uri")), "finish_reason": F.col("_finish"),
                           "usable": usable})
-            .withColumn("record", F.when(F.col("usable"), typed_record(F.col("_value"))))
+            .withColumn("record", F.when(F.col("usable"), typed_record("_value")))
             .drop("_j", "_uri", "_value", "_finish"))
 
 
