@@ -19,22 +19,23 @@ def present(c: Column) -> Column:
     return F.when(c.cast("string").isin("", "0", "0.0"), None).otherwise(c)
 
 
+def extends(longer: Column, shorter: Column) -> Column:
+    """Folded name ``longer`` is ``shorter``, or goes on with a space, ``-`` or ``/`` after it."""
+    after = F.substr(longer, F.length(shorter) + 1, F.lit(1))
+    return longer.startswith(shorter) & after.isin("", " ", "-", "/")
+
+
 def model_matches(a: Column, b: Column) -> Column:
-    """One name is the other, or starts it and is followed by a space, ``-`` or ``/``."""
+    """One name extends the other; empty names match nothing."""
     a, b = fold(a), fold(b)
-    shorter = F.when(F.length(a) <= F.length(b), a).otherwise(b)
-    longer = F.when(F.length(a) <= F.length(b), b).otherwise(a)
-    after = F.substr(longer, F.length(shorter) + 1, F.lit(1))
-    return (a != "") & (b != "") & longer.startswith(shorter) & after.isin("", " ", "-", "/")
+    return (a != "") & (b != "") & (extends(b, a) | extends(a, b))
 
 
-def boundary_prefixes(model: Column) -> Column:
-    """Proper prefixes of a folded model that end right before a space, ``-`` or ``/``."""
-    m = fold(model)
-    cuts = F.filter(F.sequence(F.lit(1), F.length(m) - 1),
-                    lambda i: F.substr(m, i + 1, F.lit(1)).isin(" ", "-", "/"))
-    return F.when(m.rlike(r"^.+[ \-/]"), F.transform(cuts, lambda i: F.substr(m, F.lit(1), i))
-                  ).otherwise(F.array().cast("array<string>"))
+def first_word(folded: Column) -> Column:
+    """Text before the first space, ``-`` or ``/``; null for an empty name. Names that match
+    share it: the shorter one ends at a boundary of the longer one, so both have the same
+    first boundary."""
+    return F.when(folded != "", F.regexp_extract(folded, "^[^ /-]*", 0))
 
 
 def engine_tier(row_l: Column, row_ind: Column, row_cyl: Column,

@@ -78,52 +78,38 @@ def application_matches(rows: DataFrame, catalog: DataFrame,
                         bound: int = BROADCAST_ROW_BOUND) -> DataFrame:
     """(doc, row_idx, vehicle_id, tier) for every row and vehicle that fit.
 
-    The two-way prefix rule is turned into equality: a name matches a longer one exactly
-    when it equals one of the longer one's boundary prefixes. The catalog is listed once
-    per boundary prefix (role 0) and once under its full name for rows that are longer
-    (role 1); a row looks up its full name under role 0 and its own proper prefixes under
-    role 1. Each fitting pair meets under one key only, and the year range and engine
-    tier are checked inside the join.
+    Rows and vehicles meet under (make, first word of the model). The year range, cheapest to
+    test and most selective, comes first among the other conditions, then the two-way prefix
+    rule and the engine tier; all are evaluated inside the join.
     """
-    joined = dimension_join(
-        _row_keys(rows).filter(F.col("_model").isNotNull()), _catalog_keys(catalog),
-        ["_make", "_model", "_role"], ROW_KEY, fits_broadcast(catalog, bound),
-        when=F.col("_y").between(F.col("_lo"), F.col("_hi")))
-    return joined.select(*ROW_KEY, "vehicle_id", _tier().alias("tier")).filter(F.col("tier").isNotNull())
+    joined = dimension_join(_row_keys(rows), _catalog_keys(catalog), ["_make", "_word"], ROW_KEY,
+                            fits_broadcast(catalog, bound), when=_fits())
+    return joined.select(*ROW_KEY, "vehicle_id", _tier().alias("tier"))
 
 
 def _tier() -> Column:
     return M.engine_tier(*(F.col(c) for c in ("_rl", "_ri", "_rc", "_cl", "_ci", "_cc")))
 
 
-def _named() -> Column:
-    return F.length(M.fold(F.col("model"))) > 0
-
-
-def _names(role: int, prefix_role: int, *more: Column) -> Column:
-    """Full folded model under ``role`` and its boundary prefixes under ``prefix_role``."""
-    def entry(name: Column, r: int) -> Column:
-        return F.struct(name.alias("_model"), F.lit(r).alias("_role"))
-
-    proper = F.transform(M.boundary_prefixes(F.col("model")), lambda p: entry(p, prefix_role))
-    return F.concat(F.array(entry(M.fold(F.col("model")), role), *more), proper)
+def _fits() -> Column:
+    names = M.extends(F.col("_cm"), F.col("_rm")) | M.extends(F.col("_rm"), F.col("_cm"))
+    return F.col("_y").between(F.col("_lo"), F.col("_hi")) & names & _tier().isNotNull()
 
 
 def _row_keys(rows: DataFrame, *keep: str) -> DataFrame:
-    """rows once per lookup name, with ``_n_keys``; a row without a model has one null name."""
-    nameless = F.array(F.struct(F.lit(None).cast("string").alias("_model"), F.lit(0).alias("_role")))
-    keyed = _year_bounds(rows).withColumn("_names", F.when(_named(), _names(0, 1)).otherwise(nameless))
-    return keyed.select(*ROW_KEY, *keep, "_lo", "_hi", make_key(F.col("make")).alias("_make"),
-                        F.col("displacement_l").alias("_rl"), F.col("induction").alias("_ri"),
-                        F.col("cylinders").alias("_rc"), F.size("_names").alias("_n_keys"), F.inline("_names"))
+    model = M.fold(F.col("model"))
+    return _year_bounds(rows).select(
+        *ROW_KEY, *keep, "_lo", "_hi", make_key(F.col("make")).alias("_make"), model.alias("_rm"),
+        M.first_word(model).alias("_word"), F.col("displacement_l").alias("_rl"),
+        F.col("induction").alias("_ri"), F.col("cylinders").alias("_rc"))
 
 
 def _catalog_keys(catalog: DataFrame) -> DataFrame:
-    full = F.struct(M.fold(F.col("model")).alias("_model"), F.lit(1).alias("_role"))
-    return catalog.filter(_named()).select(
+    model = M.fold(F.col("model"))
+    return catalog.select(
         "vehicle_id", F.col("year").cast("int").alias("_y"), make_key(F.col("make")).alias("_make"),
-        F.col("displacement_l").alias("_cl"), F.col("induction").alias("_ci"),
-        F.col("cylinders").alias("_cc"), F.inline(_names(0, 0, full)))
+        model.alias("_cm"), M.first_word(model).alias("_word"), F.col("displacement_l").alias("_cl"),
+        F.col("induction").alias("_ci"), F.col("cylinders").alias("_cc"))
 
 
 def best_matches(matches: DataFrame) -> DataFrame:
@@ -159,18 +145,11 @@ def match_records(best: DataFrame, rows: DataFrame, approvals: DataFrame,
 
 def unresolved_rows(rows: DataFrame, catalog: DataFrame) -> DataFrame:
     """Rows with no match but at least one candidate: doc, row_idx, make, year_start,
-    year_end, n_candidates.
-
-    Found without building matches: a lookup name that fits some vehicle is dropped by an
-    anti join, and a row is unresolved when all its names are left.
-    """
+    year_end, n_candidates. An anti join on the matching condition; no match is built."""
     keep = ["make", "year_start", "year_end", "n_candidates"]
     open_rows = candidate_counts(rows, catalog).filter(F.col("n_candidates") > 0)
-    fits = F.col("_y").between(F.col("_lo"), F.col("_hi")) & _tier().isNotNull()
-    left = dimension_join(_row_keys(open_rows, *keep), _catalog_keys(catalog), ["_make", "_model", "_role"],
-                          ROW_KEY, fits_broadcast(catalog), "left_anti", fits)
-    return (left.groupBy(*ROW_KEY, *keep, "_n_keys").agg(F.count("*").alias("_left"))
-            .filter(F.col("_left") == F.col("_n_keys")).drop("_left", "_n_keys"))
+    return dimension_join(_row_keys(open_rows, *keep), _catalog_keys(catalog), ["_make", "_word"], ROW_KEY,
+                          fits_broadcast(catalog), "left_anti", _fits()).select(*ROW_KEY, *keep)
 
 
 def resolver_requests(unresolved: DataFrame, catalog: DataFrame, limit: int) -> DataFrame:
