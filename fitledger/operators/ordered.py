@@ -10,35 +10,45 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _carry_in(totals: DataFrame, keys: list[str], value: Column, name: str) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    return totals.withColumn(name, value.over(w))
+def _cut(df: DataFrame, keys: list[str], chunk: Column) -> DataFrame:
+    """df with ``_k``, keys and chunk as one struct: rows of null keys stay together and are
+    not lost when totals are joined back."""
+    return df.withColumn("_k", F.struct(*keys, chunk.alias("_chunk")))
+
+
+def _before(totals: DataFrame, keys: list[str], value: Column) -> DataFrame:
+    w = Window.partitionBy(*[F.col(f"_k.{k}") for k in keys]).orderBy("_k._chunk").rowsBetween(
+        Window.unboundedPreceding, -1)
+    return totals.select("_k", value.over(w).alias("_before"))
 
 
 def running_sum(df: DataFrame, keys: list[str], order: list[str], value: str, chunk: Column,
                 name: str = "cum") -> DataFrame:
     """df with ``name``: sum of ``value`` up to and including the row, per ``keys``."""
-    cut = df.withColumn("_chunk", chunk)
-    totals = cut.groupBy(*keys, "_chunk").agg(F.sum(value).alias("_t"))
-    before = _carry_in(totals, keys, F.sum("_t"), "_before").drop("_t")
-    inside = Window.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
+    cut = _cut(df, keys, chunk)
+    before = _before(cut.groupBy("_k").agg(F.sum(value).alias("_t")), keys, F.sum("_t"))
+    inside = Window.partitionBy("_k").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     zero = F.lit(0)
-    return (cut.withColumn("_in", F.sum(value).over(inside)).join(before, [*keys, "_chunk"])
+    return (cut.withColumn("_in", F.sum(value).over(inside)).join(before, "_k")
             .withColumn(name, F.coalesce("_in", zero) + F.coalesce("_before", zero))
-            .drop("_chunk", "_in", "_before"))
+            .drop("_k", "_in", "_before"))
 
 
 def last_known_before(df: DataFrame, keys: list[str], order: list[str], value: str, chunk: Column,
                       name: str = "prev") -> DataFrame:
     """df with ``name``: the latest non-null ``value`` before the row, per ``keys``. ``value``
     must not decrease along the order, which makes the latest one the greatest one."""
-    cut = df.withColumn("_chunk", chunk)
-    totals = cut.groupBy(*keys, "_chunk").agg(F.max(value).alias("_t"))
-    before = _carry_in(totals, keys, F.max("_t"), "_before").drop("_t")
-    inside = Window.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return (cut.withColumn("_in", F.max(value).over(inside)).join(before, [*keys, "_chunk"])
-            .withColumn(name, F.coalesce("_in", "_before")).drop("_chunk", "_in", "_before"))
+    cut = _cut(df, keys, chunk)
+    before = _before(cut.groupBy("_k").agg(F.max(value).alias("_t")), keys, F.max("_t"))
+    inside = Window.partitionBy("_k").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return (cut.withColumn("_in", F.max(value).over(inside)).join(before, "_k")
+            .withColumn(name, F.coalesce("_in", "_before")).drop("_k", "_in", "_before"))
+
+
+def running_count(df: DataFrame, keys: list[str], order: list[str], chunk: Column, name: str) -> DataFrame:
+    """df with ``name``: 1, 2, ... per ``keys`` in order."""
+    ones = df.withColumn("_one", F.lit(1).cast("long"))
+    return running_sum(ones, keys, order, "_one", chunk, name).drop("_one")
 
 
 def budget_prefix(df: DataFrame, keys: list[str], order: list[str], cost: str, limit, chunk: Column) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vocab as v
+from .ordered import running_count
 
 
 def latest_per_key(df: DataFrame, key: str | list[str], order: list[str]) -> DataFrame:
@@ -153,10 +154,10 @@ def replace_by_key(existing: DataFrame, processed: DataFrame, new: DataFrame, ke
     return existing.join(processed.select(key).distinct(), key, "left_anti").unionByName(new)
 
 
-def number_versions(extractions: DataFrame, key: str = "doc") -> DataFrame:
-    """extractions with ``version``: 1, 2, ... in order of creation. Versions of one record."""
-    w = Window.partitionBy(key).orderBy("created_at", "id")
-    return extractions.withColumn("version", F.row_number().over(w))
+def number_versions(extractions: DataFrame, key: str = "doc", span: int = 30 * 86400) -> DataFrame:
+    """extractions with ``version``: 1, 2, ... per key in order of creation. Counted by spans of
+    ``span`` seconds, so that a key with very many versions is not one task's work."""
+    return running_count(extractions, [key], ["created_at", "id"], F.floor(F.col("created_at") / span), "version")
 
 
 def constrained_topk(approvals: DataFrame, registry: DataFrame, n: int, key: str = "doc") -> DataFrame:

@@ -222,9 +222,16 @@ SHARED_VIEWS = {
                concat('device ', CAST(l_linenumber AS STRING)) AS device_name,
                concat('maker ', CAST(l_suppkey % 10 AS STRING)) AS manufacturer
         FROM lineitem""",
-    # Every document replaces the one before it of the same language and source.
+    # A catalog in the terms of the records: one vehicle per document.
+    "b_doc_catalog": """
+        SELECT doc_id AS vehicle_id, CAST(1880 + length(text) % 170 AS INT) AS year, lang AS make,
+               split_part(text, ' ', 1) AS model, CAST(length(text) % 60 AS DOUBLE) / 10 AS displacement_l,
+               CASE WHEN length(text) % 2 = 0 THEN 'NA' END AS induction,
+               CAST(4 + length(text) % 3 AS INT) AS cylinders
+        FROM documents""",
+    # Most documents replace the one forty places before them: chains of many lengths.
     "b_edges": """
-        SELECT doc_id AS doc, lag(doc_id) OVER (PARTITION BY lang, source ORDER BY doc_id) AS prev
+        SELECT doc_id AS doc, CASE WHEN doc_id % 6 > 0 AND doc_id >= 40 THEN doc_id - 40 END AS prev
         FROM documents""",
 }
 

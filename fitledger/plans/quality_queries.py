@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import quality as Q
 from ..operators import records as R
 from ..operators import scoring as S
+from . import daily
 from .registry import query
 
 ISSUES_SQL = """
@@ -40,15 +41,8 @@ def shifted(t):
 
 
 def routed(t):
-    base = shifted(t).select("doc", F.col("part_numbers").alias("base_pns"),
-                             F.size("fitment").alias("base_rows"), F.lit(True).alias("has_base"))
-    j = t.b_records.join(base, "doc", "left")
-    return j.select(
-        "doc", "eo_number", "confidence", "category", "part_numbers", "fitment",
-        Q.gate_issues(F.col("eo_number"), F.col("fitment"), F.col("part_numbers"), F.col("category")).alias("issues"),
-        Q.divergence(F.col("part_numbers"), F.size("fitment"), F.col("base_pns"), F.col("base_rows"),
-                     F.coalesce("has_base", F.lit(False))).alias("div"), "draw",
-    ).withColumn("reason", Q.route_reason(F.col("issues"), F.col("div"), F.col("confidence"), F.col("draw")))
+    base = shifted(t).select("doc", "part_numbers", F.size("fitment").alias("fitment_count"))
+    return daily.route(t.b_records, base)
 
 
 @query("gate_issues", ISSUES_SQL)
@@ -164,7 +158,7 @@ def change_set(t):
      (SELECT doc, unnest(x) AS w FROM p) x FULL JOIN (SELECT doc, unnest(y) AS w FROM p) y USING (doc, w)),
   d AS (SELECT doc, sha256(coalesce(string_agg(w, '|' ORDER BY w) FILTER (NOT iny), '')) AS added, sha256(coalesce(string_agg(w, '|' ORDER BY w) FILTER (NOT inx), '')) AS removed,
      sha256(coalesce(string_agg(w, '|' ORDER BY w) FILTER (inx AND iny), '')) AS kept FROM w GROUP BY doc)
-  SELECT p.doc, device_name_changed, manufacturer_changed, category_changed, new_rows, base_rows, new_rows AS new_rows_with_parts, added, removed, kept
+  SELECT p.doc, device_name_changed, manufacturer_changed, category_changed, CAST(new_rows AS INT) AS new_rows, CAST(base_rows AS INT) AS base_rows, CAST(new_rows AS INT) AS new_rows_with_parts, added, removed, kept
   FROM p JOIN d ON p.doc = d.doc""")
 def record_diff(t):
     j = as_struct(t.b_records, "rec").join(as_struct(shifted(t), "base"), "doc", "left")
@@ -222,7 +216,7 @@ def record_checks(t):
     return S.record_checks(t.b_records).select("doc", "eo_format", "required_fields")
 
 
-@query("audit_outcome", f"""
+AUDIT_SQL = f"""
   WITH r AS (SELECT r.*, x.category, x.eo_number, CASE r.doc % 4 WHEN 0 THEN 'accept' WHEN 1 THEN 'fix' WHEN 2 THEN 'escalate' ELSE 'maybe' END AS verdict
     FROM ({ROUTE_SQL}) r JOIN b_records x ON x.doc = r.doc),
   f AS (SELECT *, CASE doc % 3 WHEN 0 THEN true WHEN 1 THEN false ELSE true END AS fix_ok,
@@ -234,20 +228,21 @@ def record_checks(t):
       WHEN verdict = 'fix' AND NOT fix_ok THEN 'p. 1; p. 2 (corrections failed validation)'
       WHEN verdict = 'accept' THEN concat('gate: ', replace(issues, ',', ', '), '; critic: p. 1; p. 2')
       ELSE 'p. 1; p. 2' END AS notes
-  FROM o""")
+  FROM o"""
+
+
+def verdicts(t):
+    """Second opinions on every document, some with corrections that do not validate."""
+    return t.documents.select(
+        F.col("doc_id").alias("doc"),
+        F.expr("CASE doc_id % 4 WHEN 0 THEN 'accept' WHEN 1 THEN 'fix' WHEN 2 THEN 'escalate' ELSE 'maybe' END").alias("verdict"),
+        F.expr("""CASE doc_id % 3 WHEN 0 THEN '{"category":"intake"}' WHEN 1 THEN '{"confidence":7}' ELSE '{"eo_number":"D-9-9"}' END""").alias("corrections"),
+        F.array(F.lit("p. 1"), F.lit("p. 2")).alias("reasons"))
+
+
+@query("audit_outcome", AUDIT_SQL)
 def audit_outcome(t):
-    verdict = F.expr("CASE doc % 4 WHEN 0 THEN 'accept' WHEN 1 THEN 'fix' WHEN 2 THEN 'escalate' ELSE 'maybe' END")
-    patch = F.expr("""CASE doc % 3 WHEN 0 THEN '{"category":"intake"}' WHEN 1 THEN '{"confidence":7}' ELSE '{"eo_number":"D-9-9"}' END""")
-    judged = routed(t).withColumns({"verdict": verdict, "corrections": patch,
-                                    "reasons": F.array(F.lit("p. 1"), F.lit("p. 2"))})
-    needs_fix = F.col("reason").isNotNull() & (F.col("verdict") == "fix")
-    value = F.parse_json(F.to_json(F.struct("eo_number", "confidence", "category", "part_numbers", "fitment")))
-    fixed = R.apply_corrections(judged.withColumn("value", F.when(needs_fix, value)))
-    rec = fixed.withColumn("r", R.typed_record("value"))
-    out = rec.withColumns({
-        "fix_valid": F.col("valid"),
-        "fix_issues": Q.gate_issues(F.col("r.eo_number"), F.col("r.fitment"), F.col("r.part_numbers"), F.col("r.category"))})
-    return Q.resolve_verdicts(out).select("doc", "outcome", "final_reason", "notes")
+    return daily.audit(routed(t), verdicts(t)).select("doc", "outcome", "final_reason", "notes")
 
 
 @query("trajectory_check", """

@@ -76,20 +76,30 @@ def bootstrap_corpus(t):
     return D.bootstrap_corpus(files, known, "run1").select("eo_number", "gcs_uri", "item_id")
 
 
-@query("baseline_import", """
-  WITH p AS (SELECT p_partkey, concat('D-', p_size, '-', p_brand) AS eo_number, p_name, p_type, p_partkey % 150 AS m,
-      row_number() OVER (PARTITION BY p_size, p_brand ORDER BY p_partkey DESC) AS rn FROM part),
-  n AS (SELECT l_partkey, count(*) AS n, string_agg(DISTINCT CAST(l_suppkey AS VARCHAR), ',' ORDER BY CAST(l_suppkey AS VARCHAR)) AS pns FROM lineitem GROUP BY 1)
-  SELECT eo_number, p_name AS device_name, s_name AS manufacturer, p_type AS category, coalesce(pns, '') AS part_numbers, coalesce(n, 0) AS fitment_count
-  FROM p LEFT JOIN supplier ON s_suppkey = m LEFT JOIN n ON l_partkey = p_partkey WHERE rn = 1""")
-def baseline_import(t):
+WINNERS_SQL = """SELECT * FROM (SELECT p_partkey, concat('D-', p_size, '-', p_brand) AS eo_number, p_name, p_type, p_partkey % 150 AS m,
+   row_number() OVER (PARTITION BY p_size, p_brand ORDER BY p_partkey DESC) AS rn FROM part) WHERE rn = 1"""
+
+
+def baseline(t):
     parts = t.part.select(F.col("p_partkey").alias("part_id"), F.concat(F.lit("D-"), "p_size", F.lit("-"), "p_brand").alias("eo_number"),
                           F.col("p_name").alias("device_name"), F.col("p_type").alias("category"), (F.col("p_partkey") % 150).alias("manufacturer_id"))
     makers = t.supplier.select(F.col("s_suppkey").alias("manufacturer_id"), F.col("s_name").alias("manufacturer"))
-    fits = t.lineitem.select(F.col("l_partkey").alias("part_id"))
-    numbers = t.lineitem.select(F.col("l_partkey").alias("part_id"), F.col("l_suppkey").cast("string").alias("number")).distinct()
-    out = B.import_baseline(parts, makers, fits, numbers)
-    return out.withColumn("part_numbers", F.array_join(F.array_sort("part_numbers"), ","))
+    return B.import_baseline(parts, makers, t.lineitem.select(F.col("l_partkey").alias("part_id")))
+
+
+@query("baseline_import", f"""
+  SELECT eo_number, p_name AS device_name, s_name AS manufacturer, p_type AS category, coalesce(n, 0) AS fitment_count
+  FROM ({WINNERS_SQL}) LEFT JOIN supplier ON s_suppkey = m
+  LEFT JOIN (SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_partkey = p_partkey""")
+def baseline_import(t):
+    return baseline(t).drop("part_id")
+
+
+@query("baseline_numbers", f"""
+  SELECT eo_number, concat(l_partkey, '-', l_suppkey) AS number FROM ({WINNERS_SQL}) JOIN lineitem ON l_partkey = p_partkey""")
+def baseline_numbers(t):
+    numbers = t.lineitem.select(F.col("l_partkey").alias("part_id"), F.concat("l_partkey", F.lit("-"), "l_suppkey").alias("number"))
+    return B.baseline_numbers(baseline(t), numbers)
 
 
 @query("catalog_import", """
@@ -235,7 +245,7 @@ def repair_status(t):
 @query("approval_detail", """
   WITH it AS (SELECT * FROM b_items QUALIFY row_number() OVER (PARTITION BY doc ORDER BY created_at DESC, id DESC) = 1)
   SELECT a.doc, a.state, CASE WHEN starts_with(a.pdf_url, 'https://') THEN a.pdf_url END AS link, a.manufacturer, a.device_name,
-    coalesce(a.category, r.category) AS category, a.confidence, len(b.lines) AS baseline_rows, it.status AS item_status,
+    coalesce(a.category, r.category) AS category, a.confidence, CAST(len(b.lines) AS INT) AS baseline_rows, it.status AS item_status,
     CASE WHEN it.doc IS NOT NULL THEN coalesce(it.last_error, '') END AS last_error, it.attempts, it.stage
   FROM b_approvals a LEFT JOIN b_records r ON r.doc = a.doc LEFT JOIN b_records b ON b.doc + 1 = a.doc LEFT JOIN it ON it.doc = a.doc""")
 def approval_detail(t):

@@ -104,7 +104,7 @@ def recent_runs(t):
 
 
 @query("run_events", """
-  SELECT run_id, event_id, place, n > 100 AS truncated FROM (SELECT run_id, event_id, row_number() OVER (PARTITION BY run_id ORDER BY ts, event_id) AS place,
+  SELECT run_id, event_id, CAST(place AS INT) AS place, n > 100 AS truncated FROM (SELECT run_id, event_id, row_number() OVER (PARTITION BY run_id ORDER BY ts, event_id) AS place,
     count(*) OVER (PARTITION BY run_id) AS n FROM b_events WHERE ts IS NOT NULL) WHERE place <= 100""")
 def run_events(t):
     return P.run_events(t.b_events, 100).select("run_id", "event_id", "place", "truncated")
@@ -206,7 +206,7 @@ def part_index(t):
 
 
 @query("vehicle_parts", """
-  SELECT doc, section, section_label, row_number() OVER (PARTITION BY section, section_label ORDER BY device_name, manufacturer, doc) AS place FROM (
+  SELECT doc, section, section_label, CAST(row_number() OVER (PARTITION BY section, section_label ORDER BY device_name, manufacturer, doc) AS INT) AS place FROM (
    SELECT *, CASE WHEN category IS NULL THEN 10 WHEN category = 'intake' THEN 1 WHEN category = 'boost' THEN 2 WHEN category = 'other' THEN 8 ELSE 9 END AS section,
      CASE WHEN category IS NULL THEN 'Uncategorized' ELSE upper(category[1:1]) || category[2:] END AS section_label FROM b_matches WHERE vehicle_id = 42)""")
 def vehicle_parts(t):
