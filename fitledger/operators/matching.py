@@ -35,7 +35,7 @@ def _year_bounds(rows: DataFrame) -> DataFrame:
     })
 
 
-def candidate_counts(rows: DataFrame, catalog: DataFrame) -> DataFrame:
+def candidate_counts(rows: DataFrame, catalog: DataFrame, bound: int = BROADCAST_ROW_BOUND) -> DataFrame:
     """rows plus ``n_candidates``: catalog vehicles of the make inside the year range.
 
     Counted from a cumulative year profile per make, so no candidate pair is built.
@@ -58,19 +58,19 @@ def candidate_counts(rows: DataFrame, catalog: DataFrame) -> DataFrame:
             F.get("_cum", y - F.col("_first")))
 
     keyed = _year_bounds(rows).withColumn("_make", make_key(F.col("make")))
-    joined = dimension_join(keyed, profile, ["_make"], ROW_KEY, fits_broadcast(profile), "left")
+    joined = dimension_join(keyed, profile, ["_make"], ROW_KEY, fits_broadcast(profile, bound), "left")
     n = F.greatest(upto(F.col("_hi")) - upto(F.col("_lo") - 1), F.lit(0).cast("long"))
     return joined.withColumn("n_candidates", F.coalesce(n, F.lit(0).cast("long"))).drop(
         "_make", "_first", "_last", "_cum", "_lo", "_hi")
 
 
-def candidate_pairs(rows: DataFrame, catalog: DataFrame) -> DataFrame:
+def candidate_pairs(rows: DataFrame, catalog: DataFrame, bound: int = BROADCAST_ROW_BOUND) -> DataFrame:
     """(doc, row_idx, vehicle_id) for every candidate. Meant for rows already narrowed
     down; to count candidates use candidate_counts, which builds no pairs."""
     keyed = _year_bounds(rows).select(*ROW_KEY, "_lo", "_hi", make_key(F.col("make")).alias("_make"))
     cat = catalog.select("vehicle_id", F.col("year").cast("int").alias("_y"),
                          make_key(F.col("make")).alias("_make"))
-    pairs = dimension_join(keyed, cat, ["_make"], ROW_KEY, fits_broadcast(catalog))
+    pairs = dimension_join(keyed, cat, ["_make"], ROW_KEY, fits_broadcast(catalog, bound))
     return pairs.filter(F.col("_y").between(F.col("_lo"), F.col("_hi"))).select(*ROW_KEY, "vehicle_id")
 
 
@@ -143,31 +143,34 @@ def match_records(best: DataFrame, rows: DataFrame, approvals: DataFrame,
                     "category", "device_name", "manufacturer"))
 
 
-def unresolved_rows(rows: DataFrame, catalog: DataFrame) -> DataFrame:
+def unresolved_rows(rows: DataFrame, catalog: DataFrame, bound: int = BROADCAST_ROW_BOUND) -> DataFrame:
     """Rows with no match but at least one candidate: doc, row_idx, make, year_start,
     year_end, n_candidates. An anti join on the matching condition; no match is built."""
     keep = ["make", "year_start", "year_end", "n_candidates"]
-    open_rows = candidate_counts(rows, catalog).filter(F.col("n_candidates") > 0)
+    open_rows = candidate_counts(rows, catalog, bound).filter(F.col("n_candidates") > 0)
     return dimension_join(_row_keys(open_rows, *keep), _catalog_keys(catalog), ["_make", "_word"], ROW_KEY,
-                          fits_broadcast(catalog), "left_anti", _fits()).select(*ROW_KEY, *keep)
+                          fits_broadcast(catalog, bound), "left_anti", _fits()).select(*ROW_KEY, *keep)
 
 
-def resolver_requests(unresolved: DataFrame, catalog: DataFrame, limit: int) -> DataFrame:
+def resolver_requests(unresolved: DataFrame, catalog: DataFrame, limit: int,
+                      bound: int = BROADCAST_ROW_BOUND) -> DataFrame:
     """doc, row_idx, n_candidates and the sorted ``candidate_ids`` to send to a resolver.
     Rows with more than ``limit`` candidates are set aside: they keep their count, get no list
     (null) and are never joined out, so no list is longer than the limit."""
+    # Rows over the limit get a null key and meet no vehicle at all.
+    sent = F.col("n_candidates") <= limit
     keyed = _year_bounds(unresolved).select(*ROW_KEY, "n_candidates", "_lo", "_hi",
-                                            make_key(F.col("make")).alias("_make"))
+                                            F.when(sent, make_key(F.col("make"))).alias("_make"))
     cat = catalog.select("vehicle_id", F.col("year").cast("int").alias("_y"),
                          make_key(F.col("make")).alias("_make"))
-    pairs = dimension_join(keyed, cat, ["_make"], ROW_KEY, fits_broadcast(catalog), "left",
-                           (F.col("n_candidates") <= limit) & F.col("_y").between(F.col("_lo"), F.col("_hi")))
+    pairs = dimension_join(keyed, cat, ["_make"], ROW_KEY, fits_broadcast(catalog, bound), "left",
+                           F.col("_y").between(F.col("_lo"), F.col("_hi")))
     return (pairs.groupBy(*ROW_KEY, "n_candidates").agg(F.array_sort(F.collect_list("vehicle_id")).alias("_ids"))
             .select(*ROW_KEY, "n_candidates", F.when(F.size("_ids") > 0, F.col("_ids")).alias("candidate_ids")))
 
 
 def resolver_outcomes(decisions: DataFrame, unresolved: DataFrame, catalog: DataFrame,
-                      floor: float = v.CONFIDENCE_FLOOR) -> DataFrame:
+                      floor: float = v.CONFIDENCE_FLOOR, bound: int = BROADCAST_ROW_BOUND) -> DataFrame:
     """One row per decision about an unresolved row, with ``outcome``:
 
     review    confidence under the floor
@@ -179,24 +182,26 @@ def resolver_outcomes(decisions: DataFrame, unresolved: DataFrame, catalog: Data
     """
     spans = _year_bounds(unresolved).select(*ROW_KEY, "_lo", "_hi",
                                             make_key(F.col("make")).alias("_make"))
-    known = decisions.join(spans, ROW_KEY)
+    proposed = decisions.join(spans, ROW_KEY).select(
+        *ROW_KEY, "seq", "rationale", "confidence", "_lo", "_hi", "_make",
+        F.posexplode_outer("vehicle_ids").alias("_pos", "vehicle_id"))
     cat = catalog.select("vehicle_id", F.col("year").cast("int").alias("_y"),
                          make_key(F.col("make")).alias("_cmake"))
-    proposed = known.select(*ROW_KEY, "seq", "_lo", "_hi", "_make",
-                            F.posexplode("vehicle_ids").alias("_pos", "vehicle_id"))
-    fits = fits_broadcast(catalog)
-    valid = (dimension_join(proposed, cat, ["vehicle_id"], [*ROW_KEY, "seq"], fits)
-             .filter((F.col("_make") == F.col("_cmake")) & F.col("_y").between(F.col("_lo"), F.col("_hi")))
-             .groupBy(*ROW_KEY, "seq")
-             .agg(F.transform(F.array_sort(F.collect_list(F.struct("_pos", "vehicle_id"))),
-                              lambda e: e["vehicle_id"]).alias("valid_ids")))
-    n_valid = F.coalesce(F.size("valid_ids"), F.lit(0))
+    checked = dimension_join(
+        proposed, cat, ["vehicle_id"], [*ROW_KEY, "seq"], fits_broadcast(catalog, bound), "left",
+        (F.col("_make") == F.col("_cmake")) & F.col("_y").between(F.col("_lo"), F.col("_hi")))
+
+    def ids(when: Column) -> Column:
+        """Ids of a decision in proposed order; as many as the decision names."""
+        placed = F.array_sort(F.collect_list(F.when(when, F.struct("_pos", "vehicle_id"))))
+        return F.transform(placed, lambda e: e["vehicle_id"])
+
+    grouped = checked.groupBy(*ROW_KEY, "seq", "rationale", "confidence").agg(
+        ids(F.col("vehicle_id").isNotNull()).alias("vehicle_ids"), ids(F.col("_cmake").isNotNull()).alias("valid_ids"))
     outcome = (F.when(F.col("confidence") < floor, "review")
-               .when((F.size("vehicle_ids") > 0) & (n_valid <= 0), "rejected")
+               .when((F.size("vehicle_ids") > 0) & (F.size("valid_ids") == 0), "rejected")
                .otherwise("accepted"))
-    return (known.join(valid, [*ROW_KEY, "seq"], "left")
-            .select(*ROW_KEY, "seq", "vehicle_ids", "rationale", "confidence",
-                    outcome.alias("outcome"), "valid_ids"))
+    return grouped.withColumn("outcome", outcome)
 
 
 def resolver_reviews(outcomes: DataFrame) -> DataFrame:
@@ -211,13 +216,13 @@ def merge_resolved(best: DataFrame, outcomes: DataFrame) -> DataFrame:
     order adds a vehicle that is still missing, at tier generic."""
     added = (outcomes.filter(F.col("outcome") == "accepted")
              .select("doc", "row_idx", "seq", F.explode("valid_ids").alias("vehicle_id"))
-             .groupBy("doc", "vehicle_id").agg(F.min(F.struct("seq", "row_idx")).alias("_first"))
-             .join(best.select("doc", "vehicle_id"), ["doc", "vehicle_id"], "left_anti"))
-    kept = best.select("doc", "vehicle_id", "tier", "row_idx",
-                       F.lit(v.METHOD_DETERMINISTIC).alias("method"))
-    return kept.unionByName(added.select(
-        "doc", "vehicle_id", F.lit("generic").alias("tier"), F.col("_first.row_idx").alias("row_idx"),
-        F.lit(v.METHOD_RESOLVED).alias("method")))
+             .groupBy("doc", "vehicle_id").agg(F.min(F.struct("seq", "row_idx")).alias("_first")))
+    # Both sides are grouped by (doc, vehicle_id), so this join needs no further shuffle.
+    both = best.select("doc", "vehicle_id", "tier", "row_idx").join(added, ["doc", "vehicle_id"], "full_outer")
+    return both.select(
+        "doc", "vehicle_id", F.coalesce("tier", F.lit("generic")).alias("tier"),
+        F.coalesce("row_idx", "_first.row_idx").alias("row_idx"),
+        F.when(F.col("tier").isNotNull(), v.METHOD_DETERMINISTIC).otherwise(v.METHOD_RESOLVED).alias("method"))
 
 
 def match_counts(approvals: DataFrame, best: DataFrame) -> DataFrame:

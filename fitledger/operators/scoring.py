@@ -21,48 +21,52 @@ def set_f1(a: Column, b: Column) -> Column:
         F.size(F.array_intersect(a, b)).cast("double") * 2 / both)
 
 
-def keyed_rows(records: DataFrame, key: str = "doc") -> DataFrame:
-    """Last row per (record, year_start, folded model): later duplicates overwrite."""
-    rows = records.select(key, F.posexplode("fitment").alias("_pos", "_r"))
-    return (rows.groupBy(key, F.col("_r.year_start").alias("_year"),
-                         F.lower(F.coalesce("_r.model", F.lit(""))).alias("_model"))
-            .agg(F.max_by("_r.part_numbers", "_pos").alias("pns")))
+def _entries(records: DataFrame, key: str, side: str) -> DataFrame:
+    """One entry for the record itself (``_head``) and one per (year_start, folded model); of
+    rows with one key the last one stays. A single pass over the records."""
+    def entry(head: bool, year: Column, model: Column, pos: Column, pns: Column, about) -> Column:
+        facts = F.struct(pns.alias("pns"), *[c.alias(n) for n, c in about.items()])
+        return F.struct(F.lit(head).alias("_head"), year.cast("int").alias("_year"), model.alias("_model"),
+                        pos.cast("int").alias("_pos"), facts.alias("_f"))
+
+    facts = {"eo_number": F.col("eo_number"), "manufacturer": F.col("manufacturer"), "category": F.col("category"),
+             "n_rows": F.coalesce(F.size("fitment"), F.lit(0))}
+    none = {n: F.lit(None).cast("int" if n == "n_rows" else "string") for n in facts}
+    head = entry(True, F.lit(None), F.lit(""), F.lit(0), F.col("part_numbers"), facts)
+    rows = F.transform("fitment", lambda r, i: entry(
+        False, r["year_start"], F.lower(F.coalesce(r["model"], F.lit(""))), i, r["part_numbers"], none))
+    all_entries = F.when(F.col("fitment").isNull(), F.array(head)).otherwise(F.concat(F.array(head), rows))
+    return (records.select(key, F.inline(all_entries)).groupBy(key, "_head", "_year", "_model")
+            .agg(F.max_by("_f", "_pos").alias(side)))
 
 
 def score_records(expected: DataFrame, got: DataFrame, key: str = "doc") -> DataFrame:
     """Per expected record: scalar share, part-number F1, association F1 over every expected
-    key, row delta, and matched and total keys. Unrounded."""
-    e_keys = keyed_rows(expected, key).select(
-        key, "_year", "_model", F.col("pns").alias("_e"))
-    g_keys = keyed_rows(got, key).select(
-        F.col(key).alias("_gk"), F.col("_year").alias("_gy"), F.col("_model").alias("_gm"),
-        F.col("pns").alias("_g"), F.lit(True).alias("_hit"))
-    pairs = e_keys.join(g_keys, (F.col(key) == F.col("_gk")) & (F.col("_model") == F.col("_gm"))
-                        & F.col("_year").eqNullSafe(F.col("_gy")), "left")
-    assoc = pairs.groupBy(key).agg(
-        F.sum(F.when(F.col("_hit"), set_f1(F.col("_e"), F.col("_g"))).otherwise(0.0)).alias("_assoc"),
-        F.count("_hit").alias("_matched"), F.count("*").alias("_keys"))
-
-    def side(df: DataFrame, p: str) -> DataFrame:
-        return df.select(key, *[F.col(c).alias(p + c) for c in
-                                ("eo_number", "manufacturer", "category", "part_numbers")],
-                         F.coalesce(F.size("fitment"), F.lit(0)).alias(p + "rows"),
-                         F.lit(True).alias(p + "is"))
-
-    j = side(expected, "e_").join(side(got, "g_"), key, "left").join(assoc, key, "left")
-    missing = F.col("g_is").isNull()
-    same = [F.col(f"e_{c}").eqNullSafe(F.col(f"g_{c}")).cast("int")
-            for c in ("eo_number", "manufacturer", "category")]
-    empty_ok = F.when(F.col("g_rows") == 0, 1.0).otherwise(0.0)
-    return j.select(
+    key, row delta, and matched and total keys. Unrounded. A record that was not produced
+    scores zero and has all its raw rows as total."""
+    e = _entries(expected, key, "_e")
+    g = _entries(got, key, "_g").select(
+        F.col(key).alias("_gk"), F.col("_head").alias("_gh"), F.col("_year").alias("_gy"), F.col("_model").alias("_gm"), "_g")
+    pairs = e.join(g, (F.col(key) == F.col("_gk")) & (F.col("_head") == F.col("_gh"))
+                   & (F.col("_model") == F.col("_gm")) & F.col("_year").eqNullSafe(F.col("_gy")), "left")
+    head, hit = F.col("_head"), F.col("_g").isNotNull()
+    f1 = set_f1(F.col("_e.pns"), F.col("_g.pns"))
+    same = [F.col(f"_e.{c}").eqNullSafe(F.col(f"_g.{c}")).cast("int") for c in ("eo_number", "manufacturer", "category")]
+    s = pairs.groupBy(key).agg(
+        F.max(F.when(head & hit, True)).alias("_got"),
+        F.max(F.when(head & hit, (same[0] + same[1] + same[2]) / 3)).alias("_scalar"),
+        F.max(F.when(head & hit, f1)).alias("_pn"),
+        F.max(F.when(head, F.col("_e.n_rows"))).alias("_en"), F.max(F.when(head, F.col("_g.n_rows"))).alias("_gn"),
+        F.sum(F.when(~head, F.when(hit, f1).otherwise(0.0))).alias("_assoc"),
+        F.count(F.when(~head & hit, 1)).alias("_matched"), F.count(F.when(~head, 1)).alias("_keys"))
+    missing = F.col("_got").isNull()
+    empty_ok = F.when(F.col("_gn") == 0, 1.0).otherwise(0.0)
+    return s.select(
         key,
-        F.when(missing, 0.0).otherwise((same[0] + same[1] + same[2]) / 3).alias("scalar"),
-        F.when(missing, 0.0).otherwise(set_f1(F.col("e_part_numbers"), F.col("g_part_numbers"))).alias("pn_f1"),
-        F.when(missing, 0.0).when(F.coalesce("_keys", F.lit(0)) == 0, empty_ok)
-        .otherwise(F.col("_assoc") / F.col("_keys")).alias("assoc_f1"),
-        (F.coalesce("g_rows", F.lit(0)) - F.col("e_rows")).alias("fit_delta"),
-        F.when(missing, 0).otherwise(F.coalesce("_matched", F.lit(0))).cast("long").alias("matched"),
-        F.when(missing, F.col("e_rows")).otherwise(F.coalesce("_keys", F.lit(0))).cast("long").alias("total"))
+        F.coalesce("_scalar", F.lit(0.0)).alias("scalar"), F.coalesce("_pn", F.lit(0.0)).alias("pn_f1"),
+        F.when(missing, 0.0).when(F.col("_keys") == 0, empty_ok).otherwise(F.col("_assoc") / F.col("_keys")).alias("assoc_f1"),
+        (F.coalesce("_gn", F.lit(0)) - F.col("_en")).alias("fit_delta"), F.col("_matched").alias("matched"),
+        F.when(missing, F.col("_en").cast("long")).otherwise(F.col("_keys")).alias("total"))
 
 
 def score_summary(scores: DataFrame, by: str = "source") -> DataFrame:

@@ -61,12 +61,13 @@ def test_matches_equal_brute_force_broadcast_and_salted(spark):
     for a, v in itertools.product(rows, cat):
         if (a[2] or "").lower() == (v[2] or "").lower() and (a[4] or 0) <= v[1] <= (a[5] or 9999):
             candidates.setdefault((a[0], a[1]), []).append(v[0])
-    open_rows = op.unresolved_rows(r, c)
-    assert {(x.doc, x.row_idx): x.n_candidates for x in open_rows.collect()} == {
-        k: len(ids) for k, ids in candidates.items() if k not in hits}
-    for x in op.resolver_requests(open_rows, c, 15).collect():
-        ids = sorted(candidates[(x.doc, x.row_idx)])
-        assert x.candidate_ids == (ids if len(ids) <= 15 else None)
+    for bound in (1000, 1):
+        open_rows = op.unresolved_rows(r, c, bound)
+        assert {(x.doc, x.row_idx): x.n_candidates for x in open_rows.collect()} == {
+            k: len(ids) for k, ids in candidates.items() if k not in hits}
+        for x in op.resolver_requests(open_rows, c, 15, bound).collect():
+            ids = sorted(candidates[(x.doc, x.row_idx)])
+            assert x.candidate_ids == (ids if len(ids) <= 15 else None)
 
 
 def test_first_decision_wins_and_deterministic_stays(spark):
