@@ -26,7 +26,8 @@ def _entries(records: DataFrame, key: str, side: str) -> DataFrame:
     rows with one key the last one stays. A single pass over the records."""
     def entry(head: bool, year: Column, model: Column, pos: Column, pns: Column, about) -> Column:
         facts = F.struct(pns.alias("pns"), *[c.alias(n) for n, c in about.items()])
-        return F.struct(F.lit(head).alias("_head"), year.cast("int").alias("_year"), model.alias("_model"),
+        slot = F.struct(F.lit(head).alias("head"), year.cast("int").alias("year"), model.alias("model"))
+        return F.struct(F.lit(head).alias("_head"), slot.alias("_slot"),
                         pos.cast("int").alias("_pos"), facts.alias("_f"))
 
     facts = {"eo_number": F.col("eo_number"), "manufacturer": F.col("manufacturer"), "category": F.col("category"),
@@ -36,7 +37,7 @@ def _entries(records: DataFrame, key: str, side: str) -> DataFrame:
     rows = F.transform("fitment", lambda r, i: entry(
         False, r["year_start"], F.lower(F.coalesce(r["model"], F.lit(""))), i, r["part_numbers"], none))
     all_entries = F.when(F.col("fitment").isNull(), F.array(head)).otherwise(F.concat(F.array(head), rows))
-    return (records.select(key, F.inline(all_entries)).groupBy(key, "_head", "_year", "_model")
+    return (records.select(key, F.inline(all_entries)).groupBy(key, "_head", "_slot")
             .agg(F.max_by("_f", "_pos").alias(side)))
 
 
@@ -45,12 +46,12 @@ def score_records(expected: DataFrame, got: DataFrame, key: str = "doc") -> Data
     key, row delta, and matched and total keys. Unrounded. A record that was not produced
     scores zero and has all its raw rows as total."""
     e = _entries(expected, key, "_e")
-    g = _entries(got, key, "_g").select(
-        F.col(key).alias("_gk"), F.col("_head").alias("_gh"), F.col("_year").alias("_gy"), F.col("_model").alias("_gm"), "_g")
-    pairs = e.join(g, (F.col(key) == F.col("_gk")) & (F.col("_head") == F.col("_gh"))
-                   & (F.col("_model") == F.col("_gm")) & F.col("_year").eqNullSafe(F.col("_gy")), "left")
+    g = _entries(got, key, "_g")
+    # The key struct makes null years equal, and both sides are already spread by it.
+    pairs = e.join(g, [key, "_head", "_slot"], "left")
     head, hit = F.col("_head"), F.col("_g").isNotNull()
-    f1 = set_f1(F.col("_e.pns"), F.col("_g.pns"))
+    pairs = pairs.withColumn("_f1", set_f1(F.col("_e.pns"), F.col("_g.pns")))
+    f1 = F.col("_f1")
     same = [F.col(f"_e.{c}").eqNullSafe(F.col(f"_g.{c}")).cast("int") for c in ("eo_number", "manufacturer", "category")]
     s = pairs.groupBy(key).agg(
         F.max(F.when(head & hit, True)).alias("_got"),

@@ -58,6 +58,12 @@ def test_running_sum_is_independent_of_chunks(spark):
     assert all(r.m <= 100 for r in within)
 
 
+def test_running_sum_keeps_rows_of_null_keys(spark):
+    df = spark.createDataFrame([(None, 1, 5), (None, 2, 6), ("a", 3, 7), (None, 40, 1)], "k string, id long, x long")
+    got = {r.id: r.cum for r in O.running_sum(df, ["k"], ["id"], "x", F.floor(F.col("id") / 10)).collect()}
+    assert got == {1: 5, 2: 11, 3: 7, 40: 12}
+
+
 def test_timeline_gap_skips_unknown_times(spark):
     df = spark.createDataFrame([(1, "r", "a", 10.0), (2, "r", "a", None), (3, "r", "a", 14.0), (4, "r", None, 15.0)],
                                "event_id long, run_id string, doc string, ts double")
