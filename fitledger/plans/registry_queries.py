@@ -153,7 +153,7 @@ def response_ingest(t):
 
 def ingest_inputs(t):
     lines = N.read_responses(t.b_response_lines.select("seq", "line"))
-    items = t.b_items.filter(F.col("doc") % 7 > 0).withColumn("eo_number", F.concat(F.lit("D-"), "doc"))
+    items = t.b_items.filter("stage <> 'review'").withColumn("eo_number", F.concat(F.lit("D-"), "doc"))
     stored = t.customer.filter(F.col("c_nationkey") < 4).select(F.concat(F.lit("D-"), "c_custkey").alias("eo_number"))
     return lines, items, stored
 
@@ -166,7 +166,7 @@ def ingest_pending(t):
 
 
 SPLIT_SQL = f"""
-  WITH n AS (SELECT doc, arg_max(id, (created_at, id)) AS item_id FROM b_items WHERE doc % 7 > 0 GROUP BY 1),
+  WITH n AS (SELECT doc, arg_max(id, (created_at, id)) AS item_id FROM b_items WHERE stage <> 'review' GROUP BY 1),
   l AS (SELECT r.*, n.item_id, r.doc IN (SELECT c_custkey FROM customer WHERE c_nationkey < 4) AS known,
      CAST((tok_in * 0.75 + tok_out * 3.75) / 2e6 AS DECIMAL(18, 8)) AS usd FROM ({responses_sql()}) r JOIN n ON n.doc = r.doc),
   f AS (SELECT doc, min(seq) AS first FROM l WHERE usable AND NOT known GROUP BY 1),
@@ -272,9 +272,9 @@ def backlog_head(t):
   SELECT id, CASE WHEN o IN (0, 1) THEN 'done' WHEN o = 2 THEN 'pending' WHEN o = 3 THEN CASE WHEN attempts + 1 >= 3 THEN 'failed' ELSE 'pending' END ELSE status END AS status,
     CASE o WHEN 0 THEN 'complete' WHEN 1 THEN 'review' ELSE stage END AS stage, CASE WHEN o = 3 THEN attempts + 1 ELSE attempts END AS attempts,
     CASE WHEN o = 3 THEN left(repeat(concat('boom ', id, ' '), 90), 500) ELSE last_error END AS last_error
-  FROM (SELECT *, id % 5 AS o FROM b_items)""")
+  FROM (SELECT *, CASE WHEN status = 'done' THEN 9 ELSE least(id % 5, 3) END AS o FROM b_items)""")
 def attempt_update(t):
-    outcomes = t.b_items.filter("id % 5 < 4").select(
+    outcomes = t.b_items.filter("status <> 'done'").select(
         "id", F.expr("CASE id % 5 WHEN 0 THEN 'complete' WHEN 1 THEN 'needs_review' WHEN 2 THEN 'budget' ELSE 'error' END").alias("outcome"),
         F.expr("repeat(concat('boom ', id, ' '), 90)").alias("error"))
     return S.attempt_update(t.b_items, outcomes).select("id", "status", "stage", "attempts", "last_error")
@@ -294,9 +294,9 @@ def heal_requeue(t):
     return S.heal_plan(t.b_items, "transient", v.TRANSIENT_CAP).select("id", "action")
 
 
-@query("refetch_requeue", f"SELECT id, action FROM ({heal_sql('corrupt_source', 10, 'doc % 3 > 0')})")
+@query("refetch_requeue", f"SELECT id, action FROM ({heal_sql('corrupt_source', 10, 'attempts > 0')})")
 def refetch_requeue(t):
-    has_url = F.col("doc") % 3 > 0
+    has_url = F.col("attempts") > 0
     return S.heal_plan(t.b_items, "corrupt_source", v.CORRUPT_CAP, has_url).select("id", "action")
 
 
@@ -339,9 +339,9 @@ def manual_retry(t):
 @query("merge_upsert", """
   SELECT coalesce(a.doc, d.doc_id) AS doc, CASE WHEN d.doc_id % 2 = 0 THEN d.lang ELSE a.state END AS state,
      CASE WHEN d.doc_id % 3 = 0 THEN NULL ELSE a.category END AS category
-  FROM (SELECT doc, state, category FROM b_approvals WHERE doc % 10 > 0) a FULL JOIN documents d ON d.doc_id = a.doc""")
+  FROM (SELECT doc, state, category FROM b_approvals WHERE category IS NOT NULL) a FULL JOIN documents d ON d.doc_id = a.doc""")
 def merge_upsert(t):
-    current = t.b_approvals.filter("doc % 10 > 0").select("doc", "state", "category")
+    current = t.b_approvals.filter("category IS NOT NULL").select("doc", "state", "category")
     changes = t.documents.select(F.col("doc_id").alias("doc"), F.col("lang").alias("state"), (F.col("doc_id") % 2 == 0).alias("has_state"),
                                  F.lit(None).cast("string").alias("category"), (F.col("doc_id") % 3 == 0).alias("has_category"))
     return S.merge_upsert(current, changes)
@@ -349,9 +349,9 @@ def merge_upsert(t):
 
 @query("replace_matches", """
   SELECT doc, vehicle_id, tier FROM b_matches WHERE doc NOT IN (SELECT doc_id FROM documents)
-  UNION ALL SELECT doc_id, n_chars, 'exact' FROM documents WHERE doc_id % 2 = 0""")
+  UNION ALL SELECT doc_id, n_chars, 'exact' FROM documents WHERE lang = 'en'""")
 def replace_matches(t):
-    new = t.documents.filter("doc_id % 2 = 0").select(F.col("doc_id").alias("doc"), F.col("n_chars").alias("vehicle_id"), F.lit("exact").alias("tier"))
+    new = t.documents.filter("lang = 'en'").select(F.col("doc_id").alias("doc"), F.col("n_chars").alias("vehicle_id"), F.lit("exact").alias("tier"))
     return S.replace_by_key(t.b_matches.select("doc", "vehicle_id", "tier"), t.documents.select(F.col("doc_id").alias("doc")), new)
 
 
@@ -384,14 +384,14 @@ def with_predecessors(t):
 
 
 @query("constrained_topk", """
-  WITH e AS (SELECT doc, first_seen, doc % 401 = 0 AS star FROM b_approvals WHERE state IN ('complete', 'superseded') AND doc % 2 = 0),
+  WITH e AS (SELECT doc, first_seen, doc % 401 = 0 AS star FROM b_approvals WHERE state IN ('complete', 'superseded') AND pdf_url IS NOT NULL),
   w AS (SELECT * FROM e ORDER BY first_seen DESC, doc LIMIT 25), s AS (SELECT * FROM e WHERE star ORDER BY first_seen DESC, doc LIMIT 1)
   SELECT * FROM w WHERE (SELECT bool_or(star) FROM w) AND EXISTS (SELECT 1 FROM s)
   UNION ALL SELECT * FROM (SELECT * FROM w ORDER BY first_seen DESC, doc LIMIT 24) WHERE NOT (SELECT bool_or(star) FROM w) AND EXISTS (SELECT 1 FROM s)
   UNION ALL SELECT * FROM s WHERE NOT (SELECT bool_or(star) FROM w)""")
 def constrained_topk(t):
     a = t.b_approvals.select("doc", "state", "first_seen", F.expr("CASE WHEN doc % 401 = 0 THEN array(doc) ELSE array(-1L) END").alias("supersedes"))
-    return S.constrained_topk(a, t.b_approvals.filter("doc % 2 = 0"), 25)
+    return S.constrained_topk(a, t.b_approvals.filter("pdf_url IS NOT NULL"), 25)
 
 
 def state_tables(t):
