@@ -33,10 +33,14 @@ def build_session(app: str = "fitledger", master: str | None = None, **conf: str
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder named by ``spark.checkpoint.dir``; one is made only where the
-    session names none (local tests)."""
+    """Shared folder named by ``spark.checkpoint.dir``. A session in one process may go without
+    the setting and gets a folder of its own; on a cluster, where executors do not see each
+    other's disks, a missing setting is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="fitledger-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)
