@@ -16,8 +16,6 @@ from ..session import checkpoint_dir
 # White space of the word and line rules: blank and \t \n \v \f \r.
 BLANKS = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
-# str.translate table that lower-cases A-Z and nothing else.
-ASCII_LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,8 +40,8 @@ def ascii_lower(text: Column) -> Column:
 
 
 def lower_ascii(text: str) -> str:
-    """The same for a Python string; ``lower`` is right, and faster, where all is ASCII."""
-    return text.lower() if text.isascii() else text.translate(ASCII_LOWER)
+    """The same for a Python string; bytes.lower touches ASCII letters only."""
+    return text.lower() if text.isascii() else text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
 
 
 # What str.split() takes for a blank besides BLANKS.

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import host_quality, language_id, license_scan, line_dedup, mixing, token_counts, toxicity, warc
+from . import decontaminate, host_quality, language_id, license_scan, line_dedup, mixing, token_counts, toxicity, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -17,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_toxicity": lambda spark, sf: toxicity.toxicity(table(spark, sf, "documents"), table(spark, sf, "labels")),
     "op7_host_quality": lambda spark, sf: host_quality.quality_digest(table(spark, sf, "documents")),
     "op8_language_id": lambda spark, sf: language_id.language_digest(table(spark, sf, "documents")),
+    "op9_decontaminate": lambda spark, sf: decontaminate.contaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark")),
     "op10_line_dedup": lambda spark, sf: line_dedup.line_digest(table(spark, sf, "documents"), min_docs=10, min_chars=1),
 }
 
