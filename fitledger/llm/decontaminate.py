@@ -26,6 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bloom import bloom, held
 from .common import chunks, stored
 from .wordhash import ALNUM, mix, text_chunks, word_hashes
 
@@ -35,7 +36,6 @@ LEAST_ITEM = 6
 LEAST_RUN = 12
 # Words kept on both sides of a hit; hits closer than this belong to one stretch.
 REACH = 64
-FILTER_BITS = 25
 # Words hashed at once, so that the arrays stay in the processor's cache.
 BLOCK = 32_768
 
@@ -62,11 +62,6 @@ def masks_for(lengths: set[int]) -> list[str]:
     return [*MASKS, *("1" * n for n in sorted(lengths) if LEAST_ITEM <= n < longest)]
 
 
-def filter_place(h: np.ndarray, k: int) -> np.ndarray:
-    """One of a hash's three places in the filter."""
-    return (h >> np.uint64((0, 20, 64 - FILTER_BITS)[k])) & np.uint64(2**FILTER_BITS - 1)
-
-
 def benchmark_items(benchmark: DataFrame) -> DataFrame:
     """item_key, item_id and hashed words of every item with enough of them."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,7 +77,7 @@ def benchmark_items(benchmark: DataFrame) -> DataFrame:
 
 
 def item_seeds(items: DataFrame, masks: list[str]) -> DataFrame:
-    """(hash, item_key, item_pos) of every seed of every item, and its places in the filter."""
+    """(hash, item_key, item_pos) of every seed of every item."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches, 500):
             keys, pos, found = [], [], []
@@ -96,32 +91,11 @@ def item_seeds(items: DataFrame, masks: list[str]) -> DataFrame:
                         pos.append(np.arange(len(h)))
                         found.append(h)
             h = np.concatenate([np.empty(0, np.uint64), *found])
-            at = np.stack([filter_place(h, k) for k in range(3)]).astype(np.int64).T
             yield pa.RecordBatch.from_arrays(
-                [pa.array(h.view(np.int64)), pa.array(keys, pa.int64()), pa.array(np.concatenate([np.empty(0, np.int64), *pos]).astype(np.int32)),
-                 pa.array(list(at), pa.list_(pa.int64()))], names=["hash", "item_key", "item_pos", "bits"])
-
-    return items.select("item_key", "item_tokens").mapInArrow(run, "hash long, item_key long, item_pos int, bits array<long>")
-
-
-def seed_filter(seeds: DataFrame) -> np.ndarray:
-    """The Bloom filter, 2**FILTER_BITS bits whatever the size of the benchmark."""
-    bit = seeds.select(F.explode("bits").alias("at")).select((F.col("at") + 1).alias("bit"))
-    blocks = bit.groupBy(F.bitmap_bucket_number("bit").alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("map")).collect()
-    out = np.zeros(2**FILTER_BITS // 8, np.uint8)
-    for r in blocks:
-        start = (r.block - 1) * 4096
-        out[start:start + 4096] |= np.frombuffer(bytes(r.map), np.uint8)
-    return out
-
+                [pa.array(h.view(np.int64)), pa.array(keys, pa.int64()), pa.array(np.concatenate([np.empty(0, np.int64), *pos]).astype(np.int32))],
+                names=["hash", "item_key", "item_pos"])
 
-def passes(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """Indexes of the hashes that the filter may hold."""
-    some = np.arange(len(h))
-    for k in range(3):
-        at = filter_place(h[some], k)
-        some = some[((bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)]
-    return some
+    return items.select("item_key", "item_tokens").mapInArrow(run, "hash long, item_key long, item_pos int")
 
 
 STRETCH = "stretch long, doc_id long, begin int, tokens array<long>, hits array<struct<pos:int,hash:long>>"
@@ -141,7 +115,7 @@ def stretches(docs: DataFrame, masks: list[str], bits: np.ndarray) -> DataFrame:
             for mask in masks:
                 for start in range(0, len(tokens), BLOCK):
                     h = seed_hashes(tokens[start:start + BLOCK + len(mask) - 1], mask)
-                    some = passes(shared.value, h)
+                    some = np.flatnonzero(held(shared.value, h))
                     first = some + start
                     inside = own[first] == own[first + len(mask) - 1]
                     pos.append(first[inside])
@@ -206,9 +180,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     short = {r.n for r in items.select(F.size("item_tokens").alias("n")).filter(F.col("n") < max(map(len, MASKS))).distinct().collect()}
     masks = masks_for(short)
     seeds = stored(item_seeds(items, masks), "item-seeds")
-    found = stored(stretches(docs, masks, seed_filter(seeds)), "stretches")
+    found = stored(stretches(docs, masks, bloom(seeds.select("hash").distinct(), "hash")), "stretches")
     hits = found.select("stretch", F.explode("hits").alias("h")).select("stretch", F.col("h.pos").alias("pos"), F.col("h.hash").alias("hash"))
-    pairs = hits.join(seeds.select("hash", "item_key", "item_pos"), "hash").select(
+    pairs = hits.join(seeds, "hash").select(
         "stretch", "item_key", (F.col("pos") - F.col("item_pos")).alias("shift")).distinct()
     # repeated rows have equal stretches
     once = found.select("stretch", "doc_id", "begin", "tokens").dropDuplicates(["stretch"])

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, host_quality, language_id, license_scan, line_dedup, mixing, token_counts, toxicity, warc
+from . import decontaminate, host_quality, jaccard_join, language_id, license_scan, line_dedup, mixing, token_counts, toxicity, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_counts": lambda spark, sf: token_counts.token_counts(table(spark, sf, "documents")),
     "op4_mixing": lambda spark, sf: mixing.mix_digest(table(spark, sf, "documents")),
     "op5_toxicity": lambda spark, sf: toxicity.toxicity(table(spark, sf, "documents"), table(spark, sf, "labels")),
+    "op6_jaccard_join": lambda spark, sf: jaccard_join.jaccard_components(table(spark, sf, "documents")),
     "op7_host_quality": lambda spark, sf: host_quality.quality_digest(table(spark, sf, "documents")),
     "op8_language_id": lambda spark, sf: language_id.language_digest(table(spark, sf, "documents")),
     "op9_decontaminate": lambda spark, sf: decontaminate.contaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark")),
