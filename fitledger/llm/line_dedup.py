@@ -19,7 +19,6 @@ Defined results
 
 from __future__ import annotations
 
-import hashlib
 import zlib
 from collections.abc import Iterator
 
@@ -195,7 +194,7 @@ def line_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_f
             .mapInArrow(_pack, "doc_id long, text_hash long, n_lines int, keep_bitmap binary"))
 
 
-def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in chunks(batches, 1000):
         kept, total, gone = [], [], []
         for text, bitmap in zip(b.column("text").to_pylist(), b.column("keep_bitmap").to_pylist(), strict=True):
@@ -205,17 +204,18 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total.append(len(lines))
             gone.append(keep.count(False))
         yield pa.RecordBatch.from_arrays(
-            [b.column("doc_id"), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())],
-            names=["doc_id", "n_lines", "n_dropped", "kept_text"])
+            [b.column("row"), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())],
+            names=["row", "n_lines", "n_dropped", "kept_text"])
 
 
-def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """(doc_id, n_lines, n_dropped, kept_text) for every row of ``docs``."""
-    left = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_hash"))
+def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the ``carry`` columns, n_lines, n_dropped and kept_text for every row of ``docs``."""
+    left = docs.select(F.struct(F.col("doc_id").cast("long").alias("doc_id"), *carry).alias("row"), "text", F.xxhash64("text").alias("text_hash"))
     right = bitmaps.select(F.col("doc_id").alias("b_id"), F.col("text_hash").alias("b_hash"), "keep_bitmap")
-    joined = left.join(right, left.doc_id.eqNullSafe(right.b_id) & (left.text_hash == right.b_hash), "left")
-    return joined.select("doc_id", "text", "keep_bitmap").mapInArrow(
-        _digest, "doc_id long, n_lines long, n_dropped long, kept_text string")
+    joined = left.join(right, F.col("row.doc_id").eqNullSafe(F.col("b_id")) & (F.col("text_hash") == F.col("b_hash")), "left")
+    row = joined.schema["row"].dataType.simpleString()
+    return joined.select("row", "text", "keep_bitmap").mapInArrow(
+        _apply, f"row {row}, n_lines long, n_dropped long, kept_text string").select("row.*", "n_lines", "n_dropped", "kept_text")
 
 
 def line_digest(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataFrame:
