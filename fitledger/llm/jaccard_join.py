@@ -16,7 +16,8 @@ Steps
 4. Dense nodes among themselves are counted once more, on whole sets: shingles rare there come first, and
    their lists are short again. Nodes whose prefix still reaches common shingles share nothing but
    these with some partners. For them no list is paired up: see ``_leaders``.
-5. Every candidate pair is verified on whole sets; components are found by large-star and small-star steps.
+5. A histogram of each set over a few buckets bounds the difference of two sets from below; pairs that it leaves
+   are verified on whole sets. Components are found by large-star and small-star steps.
 
 Defined results
 * Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased, by 64-bit hash. Null, empty and blank texts have
@@ -42,6 +43,7 @@ SHINGLE = 3
 COMMON, WARM = 64, 8
 # Expected candidates beyond which a document lengthens its prefix by one, two and three.
 COSTS = (300, 900, 2700)
+BUCKETS = 128
 SIGNED = np.int64
 
 
@@ -65,6 +67,11 @@ def signature(tokens: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(tokens.tobytes()) - 2**63
 
 
+def histogram(tokens: np.ndarray) -> bytes:
+    """Shingles in each bucket, 255 at most; capping only makes differences smaller."""
+    return np.minimum(np.bincount((tokens & np.uint64(BUCKETS - 1)).astype(SIGNED), minlength=BUCKETS), 255).astype(np.uint8).tobytes()
+
+
 def prefix_size(n):
     """First shingles of which linked sets share one: n - ceil(0.9 n) + 1."""
     return n // 10 + 1
@@ -96,42 +103,39 @@ LONGS = pa.list_(pa.int64())
 
 
 def heads(docs: DataFrame) -> DataFrame:
-    """doc_id, sig (null for the empty set), n and head of every document."""
+    """doc_id, sig (null for the empty set), n, head and hist of every document."""
     def fn(batches):
         for b in text_chunks(batches):
             sets = shingle_sets(b.column("text"))
             yield [b.column("doc_id"), [signature(s) if len(s) else None for s in sets], list(map(len, sets)),
-                   [s[:head_size(len(s))].view(SIGNED) for s in sets]]
+                   [s[:head_size(len(s))].view(SIGNED) for s in sets], list(map(histogram, sets))]
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        _arrow(fn, "doc_id sig n head", [pa.int64(), pa.int64(), pa.int32(), LONGS]), "doc_id long, sig long, n int, head array<long>")
+        _arrow(fn, "doc_id sig n head hist", [pa.int64(), pa.int64(), pa.int32(), LONGS, pa.binary()]),
+        "doc_id long, sig long, n int, head array<long>, hist binary")
 
 
 def node_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(sig, n, tokens) of ``nodes`` (sig, rep), whole sets read from their representatives' texts.
 
-    A filter of fixed size picks the texts in the scan, so texts are not shuffled."""
-    wanted = docs.sparkSession.sparkContext.broadcast(bloom(nodes.select(F.xxhash64("sig", "rep").alias("h")), "h"))
-    doc_sig = "doc_id long, sig long, n int, tokens binary"
+    A filter of fixed size over sig xor (rep rotated) picks the texts in the scan, so texts are not
+    shuffled; what it lets through by mistake is a set too, and does no harm."""
+    rep = F.coalesce("rep", F.lit(-1).cast("long"))
+    turned = F.shiftleft(rep, 23).bitwiseOR(F.shiftrightunsigned(rep, 41))
+    wanted = docs.sparkSession.sparkContext.broadcast(bloom(nodes.select(F.col("sig").bitwiseXOR(turned).alias("h")), "h"))
 
-    def sets(batches):
+    def fn(batches):
         for b in text_chunks(batches):
             found = shingle_sets(b.column("text"))
-            yield [b.column("doc_id"), [signature(s) if len(s) else None for s in found], list(map(len, found)),
-                   [s.tobytes() for s in found]]
+            sigs = np.array([signature(s) if len(s) else 0 for s in found], SIGNED).view(np.uint64)
+            ids = b.column("doc_id").fill_null(-1).to_numpy(zero_copy_only=False).view(np.uint64)
+            h = sigs ^ ((ids << np.uint64(23)) | (ids >> np.uint64(41)))
+            keep = [i for i in np.flatnonzero(held(wanted.value, h)).tolist() if len(found[i])]
+            yield [sigs.view(SIGNED)[keep], [len(found[i]) for i in keep], [found[i].tobytes() for i in keep]]
 
-    # Spark's own hash decides, so the filter sits in a second step on the narrow key
-    def pick(batches):
-        for b in batches:
-            keep = pa.array(held(wanted.value, b.column("h").to_numpy(zero_copy_only=False).view(np.uint64)))
-            yield [b.column(c).filter(keep) for c in ("doc_id", "sig", "n", "tokens")]
-
-    types = [pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-    found = (docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_arrow(sets, "doc_id sig n tokens", types), doc_sig)
-             .select("*", F.xxhash64("sig", "doc_id").alias("h")).mapInArrow(_arrow(pick, "doc_id sig n tokens", types), doc_sig))
-    ids = nodes.select(F.col("sig").alias("w_sig"), "rep").distinct()
-    exact = found.join(ids, (F.col("sig") == F.col("w_sig")) & F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
-    return stored(exact.select("sig", "n", "tokens").dropDuplicates(["sig"]), "sets")
+    found = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
+        _arrow(fn, "sig n tokens", [pa.int64(), pa.int32(), pa.binary()]), "sig long, n int, tokens binary")
+    return stored(found.dropDuplicates(["sig"]), "sets")
 
 
 def _counted(tokens: DataFrame, least: int) -> DataFrame:
@@ -210,6 +214,23 @@ def _check(batches):
         yield [b.column("a").filter(ok), b.column("b").filter(ok)]
 
 
+def _possible(batches):
+    for b in batches:
+        a, other = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, BUCKETS).astype(np.int16) for c in ("hist_a", "hist_b"))
+        sizes = b.column("n_a").to_numpy() + b.column("n_b").to_numpy()
+        # linked sets differ by a tenth of their union at most, which is (n_a + n_b) / 19
+        ok = pa.array(19 * np.abs(a - other).sum(1, dtype=SIGNED) <= sizes)
+        yield [b.column("a").filter(ok), b.column("b").filter(ok)]
+
+
+def possible(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose histograms allow a link."""
+    a = reps.select(F.col("sig").alias("a"), F.col("hist").alias("hist_a"), F.col("n").alias("n_a"))
+    b = reps.select(F.col("sig").alias("b"), F.col("hist").alias("hist_b"), F.col("n").alias("n_b"))
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "hist_a", "hist_b", "n_a", "n_b").mapInArrow(
+        _arrow(_possible, "a b", [pa.int64(), pa.int64()]), "a long, b long")
+
+
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose whole sets are similar."""
     a = sets.select(F.col("sig").alias("a"), F.col("tokens").alias("tokens_a"))
@@ -241,7 +262,7 @@ def _against_leader(local):
     return _arrow(fn, "c sig linked far partner grey", [pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), LONGS, LONGS])
 
 
-def _leaders(entries: DataFrame, sets: DataFrame, local) -> list[DataFrame]:
+def _leaders(entries: DataFrame, sets: DataFrame, reps: DataFrame, local) -> list[DataFrame]:
     """Links between nodes that share none but common shingles of their prefixes.
 
     ``entries`` (token, sig, rare) are the common shingles of those prefixes: whoever links shares
@@ -267,7 +288,7 @@ def _leaders(entries: DataFrame, sets: DataFrame, local) -> list[DataFrame]:
         joined = stored(entries.join(block, F.col("token") == F.col("b_token")).select("token", "sig", "rare", "c", "k"), "block-members")
         few, joined = joined.filter(F.col("k") <= COMMON), joined.filter(F.col("k") > COMMON).drop("k")
         mates = few.select("token", F.col("sig").alias("a")).join(few.select("token", F.col("sig").alias("b")), "token").filter("a < b")
-        links.append(verified(mates.select("a", "b").distinct(), sets))
+        links.append(verified(possible(mates.select("a", "b").distinct(), reps), sets))
         leader = sets.select(F.col("sig").alias("c"), F.col("tokens").alias("tokens_c"))
         members = joined.select("c", "sig").distinct().filter("c != sig")
         seen = stored(members.join(sets.select("sig", "tokens"), "sig").join(leader, "c").select("c", "sig", "tokens_c", "tokens")
@@ -278,7 +299,7 @@ def _leaders(entries: DataFrame, sets: DataFrame, local) -> list[DataFrame]:
         x = near.select("c", F.col("sig").alias("x"), F.explode("partner").alias("e"))
         y = near.filter(~F.col("linked")).select("c", F.col("sig").alias("y"), F.explode("grey").alias("e"))
         pairs = x.join(y, ["c", "e"]).filter("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        links.append(verified(pairs, sets))
+        links.append(verified(possible(pairs, reps), sets))
         rest = seen.filter(~F.col("linked")).select(F.col("c").alias("r_c"), F.col("sig").alias("r_sig"), "far")
         entries = stored(joined.join(rest, (F.col("c") == F.col("r_c")) & (F.col("sig") == F.col("r_sig")))
                          .select("token", "sig", "rare", F.col("far").alias("lead")), "block-rest")
@@ -305,25 +326,25 @@ def links(docs: DataFrame, head: DataFrame) -> DataFrame:
     """Edges (a, b) between signatures that connect what is linked; ``head`` is the stored table of ``heads``."""
     sc = docs.sparkSession.sparkContext
     full = head.filter(F.col("sig").isNotNull())
-    reps = full.groupBy("sig").agg(F.min("doc_id").alias("rep"))
+    reps = stored(full.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("hist").alias("hist")), "reps")
     counts = stored(_counted(full.select(F.explode("head").alias("token")), WARM), "head-counts")
     common = sc.broadcast(bloom(counts.filter(F.col("df") > COMMON), "token"))
     warm = sc.broadcast(bloom(counts, "token"))
-    entries = stored(full.select("sig", "n", "head").mapInArrow(_plain(common, warm), ENTRY), "plain")
+    entries = full.select("sig", "n", "head").mapInArrow(_plain(common, warm), ENTRY)
     # copies repeat entries; a list has COMMON rows at most, so one shuffle by token serves all that follows
     plain = entries.filter(F.col("token").isNotNull()).repartition("token").dropDuplicates(["token", "sig"])
-    dense = entries.filter(F.col("token").isNull()).select("sig").distinct().join(reps, "sig")
-    dense_sets = node_sets(docs, stored(dense, "dense"))
+    dense = stored(entries.filter(F.col("token").isNull()).select("sig").distinct().join(reps.select("sig", "rep"), "sig"), "dense")
+    dense_sets = node_sets(docs, dense)
     tokens = dense_sets.mapInArrow(_arrow(lambda bs: ([np.frombuffer(b"".join(b.column("tokens").to_pylist()), SIGNED)] for b in bs),
                                           "token", [pa.int64()]), "token long")
     local = sc.broadcast(bloom(_counted(tokens, COMMON), "token"))
     rows = stored(dense_sets.mapInArrow(_dense(common, local), DENSE), "dense-entries")
     rare = rows.filter("kind = 2")
     pairs = (_pairs(plain, plain, True).unionByName(_pairs(plain, rows.filter("kind = 1"), False)).unionByName(_pairs(rare, rare, True)))
-    pairs = stored(pairs.distinct(), "pairs")
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct().join(reps, "sig")
+    pairs = stored(possible(stored(pairs.distinct(), "pairs"), reps), "possible")
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct().join(reps.select("sig", "rep"), "sig")
     edges = [verified(pairs, node_sets(docs, stored(nodes, "nodes")))]
-    edges += _leaders(rows.filter("kind = 3").select("token", "sig", "rare", F.lit(True).alias("lead")), dense_sets, local)
+    edges += _leaders(rows.filter("kind = 3").select("token", "sig", "rare", F.lit(True).alias("lead")), dense_sets, reps, local)
     out = edges[0]
     for e in edges[1:]:
         out = out.unionByName(e)
