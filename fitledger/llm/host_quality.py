@@ -114,7 +114,7 @@ def host_rates(flags: DataFrame) -> DataFrame:
     prior = whole.select(
         mean.alias("mean"),
         # alpha + beta; without spread the prior outweighs any host
-        F.when(spread > 0, F.greatest(F.lit(0.0), mean * (1 - mean) / spread - 1)).otherwise(F.lit(1e18)).alias("weight"))
+        F.when(spread > 0, F.greatest(F.lit(0.0), F.try_divide(mean * (1 - mean), spread) - 1)).otherwise(F.lit(1e18)).alias("weight"))
     rate = (F.col("k") + F.col("mean") * F.col("weight")) / (F.col("n") + F.col("weight"))
     # one row on the right
     return hosts.join(F.broadcast(prior)).select(

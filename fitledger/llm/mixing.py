@@ -35,7 +35,7 @@ def sizes(docs: DataFrame) -> DataFrame:
     """doc_id, source, size and quality weight. Texts whose words are 3 to 13 characters long on
     average weigh 1, others a half."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    mean = F.length("text") / F.col("size")
+    mean = F.try_divide(F.length("text"), F.col("size"))
     return docs.select("doc_id", "source", "text", size.alias("size")).select(
         "doc_id", "source", "size", F.when(mean.between(4, 14), 1.0).otherwise(0.5).alias("weight"))
 
@@ -72,7 +72,7 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: i
                    # a source name that is never null, for joins and windows on the same keys
                    .withColumn("sk", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))), "mix-sizes")
     targets = source_targets(sized, weights, share, most).withColumn("sk", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))).drop("source")
-    epochs = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(most))).otherwise(0)
+    epochs = F.when(F.col("source_size") > 0, F.least(F.floor(F.try_divide(F.col("target"), F.col("source_size").cast("double"))), F.lit(most))).otherwise(0)
     ahead = W.partitionBy("sk").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     buckets = (sized.groupBy("sk", "bucket").agg(F.sum("size").alias("bucket_size"))
                .withColumn("ahead", F.coalesce(F.sum("bucket_size").over(ahead), F.lit(0)))

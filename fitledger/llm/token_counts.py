@@ -36,7 +36,7 @@ PRE_TOKEN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[{DIGIT}]|[^\s{LET
 # Anything else needs the library's normalizer: other scripts, combining marks, the dotted capital I, controls.
 NOT_SIMPLE = re.compile("[^\\t-\\r\\x20-\\x7e\\xa1-\\u012f\\u0131-\\u0148\\u014a-\\u017f]")
 FREQUENT = 20_000
-SAMPLE_DOCS = 2_000
+SAMPLE_DOCS = 500
 CACHE = 500_000
 LIMIT = 2048
 
@@ -92,16 +92,12 @@ class Counts:
 
 def frequent_lengths(docs: DataFrame, path: str | None = None, sample_docs: int = SAMPLE_DOCS, size: int = FREQUENT) -> dict[str, int]:
     """At most ``size`` pre-tokens, the commonest of ``sample_docs`` texts, with their numbers of tokens."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, seen = Counts(path, {}), Counter()
-        for b in chunks(batches, 200):
-            for text in b.column("text").to_pylist():
-                seen.update(counts.pre_tokens(text or "") or ())
-        top = [p for p, _ in seen.most_common(size)]
-        yield pa.RecordBatch.from_arrays([pa.array(top, pa.string()), pa.array(_lengths(counts.tokenizer, top), pa.int32())], names=["p", "n"])
-
-    rows = docs.select("text").limit(sample_docs).coalesce(1).mapInArrow(run, "p string, n int").collect() if sample_docs else []
-    return {r.p: r.n for r in rows}
+    counts, seen = Counts(path, {}), Counter()
+    # head() reads one partition after another until it has enough; nothing is shuffled
+    for r in docs.select("text").head(sample_docs) if sample_docs else ():
+        seen.update(counts.pre_tokens(r.text or "") or ())
+    top = [p for p, _ in seen.most_common(size)]
+    return dict(zip(top, _lengths(counts.tokenizer, top), strict=True))
 
 
 def token_counts(docs: DataFrame, path: str | None = None, limit: int = LIMIT, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
