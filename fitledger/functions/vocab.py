@@ -32,7 +32,6 @@ HEAL_LIMIT = 3
 TRANSIENT_CAP = 25
 CORRUPT_CAP = 10
 LEASE_SECONDS = 600
-ERROR_TEXT_MAX = 500
 PRICE_IN_PER_MTOK = 0.75
 PRICE_OUT_PER_MTOK = 3.75
 CORPUS_DOCUMENTS = 6055

@@ -119,9 +119,7 @@ def best_matches(matches: DataFrame) -> DataFrame:
     hash-based and combines on the map side before the shuffle.
     """
     firsts = [F.min(F.when(F.col("tier") == t, F.col("row_idx"))).alias(f"_{t}") for t in v.TIERS]
-    best_tier = F
-    for t in v.TIERS:
-        best_tier = best_tier.when(F.col(f"_{t}").isNotNull(), t)
+    best_tier = F.coalesce(*[F.when(F.col(f"_{t}").isNotNull(), t) for t in v.TIERS])
     return (matches.groupBy("doc", "vehicle_id").agg(*firsts)
             .select("doc", "vehicle_id", best_tier.alias("tier"),
                     F.coalesce(*[F.col(f"_{t}") for t in v.TIERS]).alias("row_idx")))
@@ -129,7 +127,8 @@ def best_matches(matches: DataFrame) -> DataFrame:
 
 def match_records(best: DataFrame, rows: DataFrame, approvals: DataFrame,
                   method: str = v.METHOD_DETERMINISTIC) -> DataFrame:
-    """Denormalised records: the row's part numbers, or the document's when it has none.
+    """Denormalised records: the row's part numbers, or the document's when it has none. A ``method``
+    that ``best`` brings along is kept.
 
     approvals: doc, part_numbers, category, device_name, manufacturer
     """
@@ -137,7 +136,7 @@ def match_records(best: DataFrame, rows: DataFrame, approvals: DataFrame,
     docs = approvals.select("doc", F.col("part_numbers").alias("_doc_pns"),
                             "category", "device_name", "manufacturer")
     return (best.join(row_parts, ROW_KEY).join(docs, "doc", "left")
-            .select("doc", "vehicle_id", "tier", F.lit(method).alias("method"),
+            .select("doc", "vehicle_id", "tier", (F.col("method") if "method" in best.columns else F.lit(method).alias("method")),
                     F.when(F.size("_row_pns") > 0, F.col("_row_pns"))
                     .otherwise(F.col("_doc_pns")).alias("part_numbers"),
                     "category", "device_name", "manufacturer"))

@@ -93,7 +93,7 @@ def distinct_list(c: Column) -> Column:
 def divergence(parts: Column, n_rows: Column, base_parts: Column, base_rows: Column,
                has_base: Column) -> Column:
     """Mean of part-number dissimilarity (1 - Jaccard) and row-count dissimilarity; zero
-    without a baseline. Unrounded."""
+    without a baseline. Rounded to three digits, ties to even, as the ceiling is compared with that."""
     a, b = distinct_list(parts), distinct_list(base_parts)
     shared = F.size(F.array_intersect(a, b)).cast("double")
     union = F.size(a) + F.size(b) - shared
@@ -101,7 +101,7 @@ def divergence(parts: Column, n_rows: Column, base_parts: Column, base_rows: Col
     nb = F.coalesce(base_rows, F.lit(0))
     most = F.greatest(n_rows, nb)
     rows = F.when(most == 0, 1.0).otherwise(F.least(n_rows, nb) / most)
-    return F.when(has_base, ((1 - pn) + (1 - rows)) / 2).otherwise(0.0)
+    return F.when(has_base, F.bround(((1 - pn) + (1 - rows)) / 2, 3)).otherwise(0.0)
 
 
 def repeatable_draw(key: Column, seed: int = 0) -> Column:

@@ -58,9 +58,9 @@ def resolved_reviews(reviews: DataFrame, size: int = 20) -> DataFrame:
 
 
 def facet_filter(catalog: DataFrame, make=None, model=None, induction=None, year=None, year_min=None,
-                 year_max=None, size: int | None = 200) -> DataFrame:
+                 year_max=None, size: int | None = None) -> DataFrame:
     """Vehicles that meet every facet given. An exact year disables the year range; a vehicle
-    without a year fails either bound."""
+    without a year fails either bound. All of them, or the first ``size`` by year and id."""
     for column, x in (("make", make), ("model", model), ("induction", induction)):
         if x:
             catalog = catalog.filter(F.col(column) == x)

@@ -50,7 +50,7 @@ def attempt_update(items: DataFrame, outcomes: DataFrame, max_attempts: int = v.
         "stage": F.when(F.col("outcome") == "complete", "complete")
         .when(F.col("outcome") == "needs_review", "review").otherwise(F.col("stage")),
         "attempts": F.when(failed, tries).otherwise(F.col("attempts")),
-        "last_error": F.when(failed, F.substring("error", 1, v.ERROR_TEXT_MAX)).otherwise(F.col("last_error")),
+        "last_error": F.when(failed, F.col("error")).otherwise(F.col("last_error")),
     }).drop("outcome", "error")
 
 
@@ -137,10 +137,15 @@ def manual_retry(requests: DataFrame, items: DataFrame, key: str = "doc") -> Dat
         .otherwise(F.concat(F.lit("not failed (status="), "status", F.lit(")"))))
 
 
-def merge_upsert(current: DataFrame, changes: DataFrame, key: str = "doc") -> DataFrame:
+def merge_upsert(current: DataFrame, changes: DataFrame, key: str = "doc", order: str | None = None) -> DataFrame:
     """Table after a partial upsert. changes: key, and per column c a flag ``has_c`` next to
-    ``c``; a column whose flag is not true keeps its value, a null with the flag overwrites."""
+    ``c``; a column whose flag is not true keeps its value, a null with the flag overwrites.
+    Where keys repeat, ``order`` names the column that tells which change came last: each column
+    takes the last change that flags it."""
     cols = [c for c in current.columns if c != key]
+    if order:
+        changes = changes.groupBy(key).agg(*[
+            x for c in cols for x in (F.max_by(c, F.when(F.col("has_" + c), F.col(order))).alias(c), F.max("has_" + c).alias("has_" + c))])
     new = changes.select(F.col(key).alias("_k"), *[
         x for c in cols for x in (F.col(c).alias("n_" + c), F.col("has_" + c).alias("h_" + c))])
     j = current.join(new, current[key] == new["_k"], "full_outer")

@@ -23,8 +23,8 @@ ISSUES_SQL = """
     FROM b_record_rows GROUP BY doc) rows ON rows.doc = r.doc"""
 DIVERGENCE_SQL = """
   SELECT doc, CASE WHEN base IS NULL THEN 0.0 ELSE
-     ((1 - CASE WHEN len(a) + len(b) = 0 THEN 1.0 ELSE shared / (len(a) + len(b) - shared) END)
-      + (1 - CASE WHEN greatest(na, nb) = 0 THEN 1.0 ELSE CAST(least(na, nb) AS DOUBLE) / greatest(na, nb) END)) / 2 END AS div
+     round_even(((1 - CASE WHEN len(a) + len(b) = 0 THEN 1.0 ELSE shared / (len(a) + len(b) - shared) END)
+      + (1 - CASE WHEN greatest(na, nb) = 0 THEN 1.0 ELSE CAST(least(na, nb) AS DOUBLE) / greatest(na, nb) END)) / 2, 3) END AS div
   FROM (SELECT r.doc, b.doc AS base, r.part_numbers AS a, coalesce(b.part_numbers, []) AS b, len(r.lines) AS na,
           coalesce(len(b.lines), 0) AS nb, CAST(len(list_intersect(r.part_numbers, b.part_numbers)) AS DOUBLE) AS shared
         FROM b_records r LEFT JOIN b_records b ON b.doc + 1 = r.doc)"""

@@ -271,7 +271,7 @@ def backlog_head(t):
 @query("attempt_update", """
   SELECT id, CASE WHEN o IN (0, 1) THEN 'done' WHEN o = 2 THEN 'pending' WHEN o = 3 THEN CASE WHEN attempts + 1 >= 3 THEN 'failed' ELSE 'pending' END ELSE status END AS status,
     CASE o WHEN 0 THEN 'complete' WHEN 1 THEN 'review' ELSE stage END AS stage, CASE WHEN o = 3 THEN attempts + 1 ELSE attempts END AS attempts,
-    CASE WHEN o = 3 THEN left(repeat(concat('boom ', id, ' '), 90), 500) ELSE last_error END AS last_error
+    CASE WHEN o = 3 THEN repeat(concat('boom ', id, ' '), 90) ELSE last_error END AS last_error
   FROM (SELECT *, CASE WHEN status = 'done' THEN 9 ELSE least(id % 5, 3) END AS o FROM b_items)""")
 def attempt_update(t):
     outcomes = t.b_items.filter("status <> 'done'").select(

@@ -138,8 +138,8 @@ def cascade_lists(t):
 
 
 @query("facet_filter", """
-  SELECT * FROM (SELECT 'exact' AS kind, vehicle_id FROM b_catalog WHERE make = 'Brand#7' AND year = 1990 ORDER BY year, vehicle_id LIMIT 200)
-  UNION ALL SELECT * FROM (SELECT 'range', vehicle_id FROM b_catalog WHERE induction = 'NA' AND year >= 1980 AND year <= 2000 ORDER BY year, vehicle_id LIMIT 200)""")
+  SELECT * FROM (SELECT 'exact' AS kind, vehicle_id FROM b_catalog WHERE make = 'Brand#7' AND year = 1990)
+  UNION ALL SELECT * FROM (SELECT 'range', vehicle_id FROM b_catalog WHERE induction = 'NA' AND year >= 1980 AND year <= 2000)""")
 def facet_filter(t):
     exact = H.facet_filter(t.b_catalog, make="Brand#7", year=1990, year_min=2010)
     span = H.facet_filter(t.b_catalog, induction="NA", year_min=1980, year_max=2000)

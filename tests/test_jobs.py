@@ -105,3 +105,12 @@ def test_empty_new_set_still_deletes_and_upsert_nulls(spark):
     assert {r.doc: r.v for r in S.merge_upsert(old, ch).collect()} == {1: None, 2: "y", 3: "n"}
 
 
+
+
+def test_upsert_takes_the_last_change_of_each_column(spark):
+    current = spark.createDataFrame([(1, "a", "b"), (2, "c", "d")], "doc long, x string, y string")
+    changes = spark.createDataFrame(
+        [(1, 1, "x1", True, None, False), (1, 2, None, False, "y2", True), (1, 3, None, True, "no", False), (3, 1, "x3", True, None, False)],
+        "doc long, seq int, x string, has_x boolean, y string, has_y boolean")
+    got = sorted(map(tuple, S.merge_upsert(current, changes, order="seq").collect()))
+    assert got == [(1, None, "y2"), (2, "c", "d"), (3, "x3", None)]
