@@ -33,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .bloom import bloom, held
@@ -240,69 +241,103 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _against_leader(local):
-    """Each member beside its block's leader: linked or not, far or not, and the prefixes of the
+    """Each member beside one leader: linked or not, far or not, its weight, and the prefixes of the
     difference of their common shingles (see ``_leaders``)."""
     def fn(batches):
         for b in batches:
-            out = [[] for _ in range(6)]
+            out = [[] for _ in range(7)]
             columns = [b.column(c).to_pylist() for c in ("c", "sig", "tokens_c", "tokens")]
             for c, sig, blob_c, blob in zip(*columns, strict=True):
                 leader, own = np.frombuffer(blob_c, np.uint64), np.frombuffer(blob, np.uint64)
                 both = np.intersect1d(leader, own, assume_unique=True).size
                 union = len(leader) + len(own) - both
                 linked = 100 * both >= 90 * union
-                rare = own[~held(local.value, own)]
-                differ = np.setxor1d(leader[held(local.value, leader)], np.setdiff1d(own, rare, assume_unique=True), assume_unique=True)
-                as_partner = max(0, (len(differ) - len(rare) + 1) // 2)
-                as_grey = 0 if linked else max(0, min(len(differ), len(own) // 9 - len(rare) + 1))
-                row = (c, sig, linked, 100 * both < 80 * union, differ[:as_partner].view(SIGNED), differ[:as_grey].view(SIGNED))
+                centre, mine = leader[held(local.value, leader)], own[held(local.value, own)]
+                differ, r = np.setxor1d(centre, mine, assume_unique=True), len(own) - len(mine)
+                spare = 19 * (len(differ) + r - (len(leader) - len(centre))) + len(leader) - len(own)
+                as_partner = max(0, len(differ) - max(0, spare // 38))
+                as_grey = 0 if linked else max(0, min(len(differ), len(own) // 9 - r + 1))
+                row = (c, sig, linked, 100 * both < 80 * union, 19 * (len(differ) + r) - len(own),
+                       differ[:as_partner].view(SIGNED), differ[:as_grey].view(SIGNED))
                 for column, value in zip(out, row, strict=True):
                     column.append(value)
             yield out
-    return _arrow(fn, "c sig linked far partner grey", [pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), LONGS, LONGS])
+    return _arrow(fn, "c sig linked far weight partner grey",
+                  [pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), LONGS, LONGS])
+
+
+AGAINST = "c long, sig long, linked boolean, far boolean, weight long, partner array<long>, grey array<long>"
+# Linked sizes differ by a factor of 0.9 at most, so they are in one band or in neighbours.
+BAND = 0.895
+
+
+def _fitting(entries: DataFrame) -> DataFrame:
+    """Entries that can still link inside their block: some partner's size and rare shingles allow it."""
+    block = entries.groupBy("block").agg(F.min("rare").alias("r_min"), F.max("n").alias("n_max"), F.max("far").alias("any_far"),
+                                         F.min(19 * F.col("rare") - F.col("n")).alias("lightest"), F.count("*").alias("m"))
+    block = block.filter((F.col("m") > 1) & F.col("any_far") & (F.col("lightest") <= 0)).withColumnRenamed("block", "f_block")
+    return entries.join(block, F.col("block") == F.col("f_block")).filter(
+        19 * (F.col("rare") + F.col("r_min")) <= F.col("n") + F.col("n_max")).select(*entries.columns)
 
 
 def _leaders(entries: DataFrame, sets: DataFrame, reps: DataFrame, local) -> list[DataFrame]:
     """Links between nodes that share none but common shingles of their prefixes.
 
-    ``entries`` (token, sig, rare) are the common shingles of those prefixes: whoever links shares
-    one, so all links lie inside blocks of equal token. Blocks of at most COMMON nodes are paired up. A larger
-    one has a leader, the node with the fewest rare shingles, and every member is compared with the leader
-    only. Jaccard distance d is a metric, so
-    * members within 0.1 of the leader are linked through it;
-    * a member further than 0.2 (far) cannot link with those, and is left for the next round, with those
-      in between (grey) and a far leader;
-    * what is left are pairs with a grey y. With E the difference to the leader's common shingles and r the number
-      of rare ones, such a pair differs by r_x + r_y + |E_x xor E_y| <= t, where t is a tenth of the union, at most
-      n_y / 9. As y is not linked, |E_y| + r_y > t, so |E_x and E_y| > (|E_x| + r_x) / 2 and at least
-      |E_y| + r_y - t: sorted alike, prefixes of E of that length must share a shingle, and candidates come from
-      an equi-join on those. Copies that only replace words have |E| = r or less: their prefix is empty.
+    ``entries`` (token, sig, n, rare) are the common shingles of those prefixes. Whoever links shares one and is of like
+    size, so all links lie inside blocks of equal token and neighbouring size bands. With r the number of rare shingles,
+    linked nodes, which share no rare one here, differ by r_x + r_y at least, and by t = (n_x + n_y) / 19 at most. So one of the two is
+    *light*, 19 r <= n, and nodes too heavy for every partner in their block leave it. Blocks of at most COMMON nodes are paired up.
+    A larger one has leaders, the light nodes with the fewest rare shingles: one in the first round and twice as many in
+    every further one. Every member is compared with the leaders only. Jaccard distance d is a metric, so
+    * members within 0.1 of a leader are linked through it, and no pair of theirs is left for another round;
+    * a member further than 0.2 (far) cannot link with those. The next round sees who is linked to no leader, as long
+      as a block has far members: two nodes that are near one leader are settled in its round;
+    * what is left are pairs with a y that is near but not linked (grey). With E the difference to the leader's common
+      shingles, D = |E| + r, such a pair differs by D_x + D_y - 2 |E_x and E_y| <= t, t at most n_y / 9. As y is not linked,
+      D_y + r_c > (n_y + n_c) / 19, so |E_x and E_y| > (D_x - r_c + (n_c - n_x) / 19) / 2 and at least D_y - t:
+      sorted alike, prefixes of E of that length must share a shingle, and candidates come from an equi-join on those.
+      Copies that only replace words have |E| = r or less: their prefix is short or empty;
+    * two E may have nothing in common only if D_x + D_y <= t. Such nodes are linked, and so is each of them with
+      the node of smallest weight 19 D - n: links to that one node stand for all of these.
     """
     links = []
+    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(-float(np.log(BAND))))
+    blocks = F.array(F.xxhash64("token", band), F.xxhash64("token", band + 1))
+    entries = entries.select(F.explode(blocks).alias("block"), "sig", "n", "rare", F.lit(True).alias("far"))
+    entries, leaders = stored(_fitting(entries.distinct()), "block-nodes"), 1
     while True:
-        block = entries.groupBy("token").agg(F.min(F.struct(~F.col("lead"), "rare", "sig")).alias("m"), F.count("*").alias("k"),
-                                             F.max("lead").alias("any"))
-        block = stored(block.filter((F.col("k") > 1) & F.col("any")).select(F.col("token").alias("b_token"), F.col("m.sig").alias("c"), "k"), "blocks")
-        if block.isEmpty():
+        # leaving makes others too heavy for what stays
+        entries = _fitting(entries)
+        size = entries.groupBy("block").agg(F.count("*").alias("k")).withColumnRenamed("block", "s_block")
+        joined = stored(entries.join(size, F.col("block") == F.col("s_block")).drop("s_block").filter("k > 1"), "block-members")
+        if joined.isEmpty():
             return links
-        joined = stored(entries.join(block, F.col("token") == F.col("b_token")).select("token", "sig", "rare", "c", "k"), "block-members")
-        few, joined = joined.filter(F.col("k") <= COMMON), joined.filter(F.col("k") > COMMON).drop("k")
-        mates = few.select("token", F.col("sig").alias("a")).join(few.select("token", F.col("sig").alias("b")), "token").filter("a < b")
-        links.append(verified(possible(mates.select("a", "b").distinct(), reps), sets))
+        few, many = joined.filter(F.col("k") <= COMMON), joined.filter(F.col("k") > COMMON)
+        a = few.select("block", F.col("sig").alias("a"), F.col("n").alias("n_a"), F.col("rare").alias("r_a"))
+        b = few.select("block", F.col("sig").alias("b"), F.col("n").alias("n_b"), F.col("rare").alias("r_b"))
+        mates = a.join(b, "block").filter("a < b and 10 * least(n_a, n_b) >= 9 * greatest(n_a, n_b) and 19 * (r_a + r_b) <= n_a + n_b")
+        pairs = mates.select("a", "b")
+        rank = F.row_number().over(W.partitionBy("block").orderBy("rare", "sig"))
+        first = many.filter("19 * rare <= n").withColumn("i", rank).filter(F.col("i") <= leaders)
+        first = first.select(F.col("block").alias("l_block"), F.col("sig").alias("c"))
+        members = many.join(first, F.col("block") == F.col("l_block")).select("block", "c", "sig", "n", "rare")
         leader = sets.select(F.col("sig").alias("c"), F.col("tokens").alias("tokens_c"))
-        members = joined.select("c", "sig").distinct().filter("c != sig")
-        seen = stored(members.join(sets.select("sig", "tokens"), "sig").join(leader, "c").select("c", "sig", "tokens_c", "tokens")
-                      .mapInArrow(_against_leader(local), "c long, sig long, linked boolean, far boolean, partner array<long>, grey array<long>"),
-                      "against-leader")
-        links.append(seen.filter("linked").select(F.col("c").alias("a"), F.col("sig").alias("b")))
+        seen = stored(members.select("c", "sig").distinct().join(sets.select("sig", "tokens"), "sig").join(leader, "c")
+                      .select("c", "sig", "tokens_c", "tokens").mapInArrow(_against_leader(local), AGAINST), "against-leader")
         near = seen.filter(~F.col("far"))
+        least = near.groupBy("c").agg(F.min(F.struct("weight", "sig")).alias("m"))
+        inner = near.join(least, "c").filter(F.col("weight") + F.col("m.weight") <= 0)
         x = near.select("c", F.col("sig").alias("x"), F.explode("partner").alias("e"))
         y = near.filter(~F.col("linked")).select("c", F.col("sig").alias("y"), F.explode("grey").alias("e"))
-        pairs = x.join(y, ["c", "e"]).filter("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        links.append(verified(possible(pairs, reps), sets))
-        rest = seen.filter(~F.col("linked")).select(F.col("c").alias("r_c"), F.col("sig").alias("r_sig"), "far")
-        entries = stored(joined.join(rest, (F.col("c") == F.col("r_c")) & (F.col("sig") == F.col("r_sig")))
-                         .select("token", "sig", "rare", F.col("far").alias("lead")), "block-rest")
+        pairs = pairs.unionByName(x.join(y, ["c", "e"]).filter("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
+        links += [seen.filter("linked").select(F.col("c").alias("a"), F.col("sig").alias("b")),
+                  inner.select(F.col("m.sig").alias("a"), F.col("sig").alias("b")),
+                  stored(verified(possible(pairs.distinct(), reps), sets), "block-links")]
+        # a leader is linked to itself
+        state = members.join(seen.select("c", "sig", "linked", "far"), ["c", "sig"]).groupBy("block", "sig").agg(
+            F.first("n").alias("n"), F.first("rare").alias("rare"), F.max("far").alias("far"), F.max("linked").alias("linked"))
+        entries = stored(state.filter(~F.col("linked")).drop("linked"), "block-rest")
+        leaders *= 2
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -344,7 +379,7 @@ def links(docs: DataFrame, head: DataFrame) -> DataFrame:
     pairs = stored(possible(stored(pairs.distinct(), "pairs"), reps), "possible")
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct().join(reps.select("sig", "rep"), "sig")
     edges = [verified(pairs, node_sets(docs, stored(nodes, "nodes")))]
-    edges += _leaders(rows.filter("kind = 3").select("token", "sig", "rare", F.lit(True).alias("lead")), dense_sets, reps, local)
+    edges += _leaders(rows.filter("kind = 3").select("token", "sig", "n", "rare"), dense_sets, reps, local)
     out = edges[0]
     for e in edges[1:]:
         out = out.unionByName(e)
