@@ -173,13 +173,24 @@ def _label(model: Model | None):
 
 
 def training_rows(docs: DataFrame, per_lang: int) -> list:
-    """At most ``per_lang`` texts of each language outside the held-out fold."""
+    """At most ``per_lang`` texts of each language outside the held-out fold: those whose ids have the
+    smallest hashes. A hash's level is its number of binary digits, so each level holds about twice
+    the ids of the one below. Counts per language and level tell up to which level ids are ranked,
+    and the rank meets a few times ``per_lang`` ids of a language however many rows it has."""
     learn = F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_fold(F.col("doc_id"), FOLDS) != HELD_OUT)
+    h = F.xxhash64("doc_id").bitwiseAND(F.lit(2**63 - 1))
+    rows = docs.filter(learn).withColumn("level", F.floor(F.log2(h + F.lit(1.0))).cast("int"))
+    # at most 64 levels a language; distinct ids, as one id may stand in very many rows
+    counts = rows.groupBy("lang", "level").agg(F.approx_count_distinct("doc_id").alias("n"))
+    below = F.coalesce(F.sum("n").over(W.partitionBy("lang").orderBy("level").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    # twice the texts, which makes up for the approximate counts
+    levels = counts.withColumn("below", below).filter(F.col("below") < 2 * per_lang).select("lang", "level")
+    few = rows.join(F.broadcast(levels), ["lang", "level"], "left_semi")
     rank = W.partitionBy("lang").orderBy("h", "doc_id")
-    # ids first; Spark keeps per_lang ids a task and language before it shuffles
-    chosen = (docs.filter(learn).select(F.col("doc_id").cast("long"), "lang", F.xxhash64("doc_id").alias("h"))
+    chosen = (few.select(F.col("doc_id").cast("long"), "lang", h.alias("h")).distinct()
               .withColumn("r", F.row_number().over(rank)).filter(F.col("r") <= per_lang).select(F.col("doc_id").alias("l_id")).distinct())
-    return (docs.filter(learn).select(F.col("doc_id").cast("long"), "text", "lang").join(chosen, F.col("doc_id") == F.col("l_id"))
+    # both broadcasts are bounded by the number of languages, as the model is: 64 levels, per_lang ids
+    return (docs.filter(learn).select(F.col("doc_id").cast("long"), "text", "lang").join(F.broadcast(chosen), F.col("doc_id") == F.col("l_id"))
             .groupBy("doc_id").agg(F.max(F.struct("text", "lang")).alias("x")).select("doc_id", "x.text", "x.lang").collect())
 
 

@@ -25,7 +25,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op2_license_scan": license_scan.LICENSE_SQL,
     "op4_mixing": mixing.MIX_SQL,
-    "op5_toxicity": lambda spark, sf: toxicity.toxicity(table(spark, sf, "documents"), table(spark, sf, "labels")),
     "op7_host_quality": host_quality.QUALITY_SQL,
     "op10_line_dedup": line_dedup.LINE_SQL,
 }
