@@ -180,8 +180,10 @@ def training_rows(docs: DataFrame, per_lang: int) -> list:
     learn = F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_fold(F.col("doc_id"), FOLDS) != HELD_OUT)
     h = F.xxhash64("doc_id").bitwiseAND(F.lit(2**63 - 1))
     rows = docs.filter(learn).withColumn("level", F.floor(F.log2(h + F.lit(1.0))).cast("int"))
-    # at most 64 levels a language; distinct ids, as one id may stand in very many rows
-    counts = rows.groupBy("lang", "level").agg(F.approx_count_distinct("doc_id").alias("n"))
+    # at most 64 levels a language; distinct ids, as one id may stand in very many rows. They are hashed anew:
+    # the sketch hashes as ``h`` does, and ids of one level have hashes with equal leading bits, which it needs to differ.
+    other = F.xxhash64("doc_id", F.lit("level"))
+    counts = rows.groupBy("lang", "level").agg(F.approx_count_distinct(other).alias("n"))
     below = F.coalesce(F.sum("n").over(W.partitionBy("lang").orderBy("level").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     # twice the texts, which makes up for the approximate counts
     levels = counts.withColumn("below", below).filter(F.col("below") < 2 * per_lang).select("lang", "level")
