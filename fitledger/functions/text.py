@@ -13,11 +13,15 @@ from pyspark.sql import functions as F
 
 from . import vocab as v
 
-_BLANKS = " \t\n\r\x0b\x0c"
+# White space in the Unicode sense, no-break spaces included: they are common in text taken from PDF files.
+_BLANKS = (" \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B)))
+           + "\u2028\u2029\u202f\u205f\u3000")
+# Java patterns with Unicode classes, and with the line feed as the only line end.
+_UNICODE = "(?Ud)"
 
 
 def strip(c: Column) -> Column:
-    """Trim spaces, tabs and line ends on both sides."""
+    """Trim white space on both sides."""
     return F.btrim(c, F.lit(_BLANKS))
 
 
@@ -37,10 +41,7 @@ def starts_with_any(c: Column, words: list[str]) -> Column:
 
 def first_rule(c: Column, rules: list[tuple[str, list[str]]], otherwise: Column) -> Column:
     """First rule any of whose words occurs in ``c``."""
-    out = F
-    for value, words in rules:
-        out = out.when(contains_any(c, words), F.lit(value))
-    return out.otherwise(otherwise)
+    return F.coalesce(*[F.when(contains_any(c, words), F.lit(value)) for value, words in rules], otherwise)
 
 
 def _group(c: Column, pattern: str, group: int = 1) -> Column:
@@ -49,12 +50,17 @@ def _group(c: Column, pattern: str, group: int = 1) -> Column:
 
 
 def normalize_model(c: Column) -> Column:
-    """Canonical model name: specs and body or drivetrain words off, then word renames."""
+    """Canonical model name: specs and body or drivetrain words off, then word renames. The suffix rule
+    is applied until nothing changes: once for a name on one line, at most twice for each line otherwise."""
     m = strip(c)
-    for pattern in (v.MODEL_TRAILING_PARENS, v.MODEL_WEIGHT_SPEC, v.MODEL_DISPLACEMENT_SPEC,
-                    v.MODEL_TRAILING_DIGITS, v.MODEL_SUFFIX):
-        m = F.regexp_replace(m, pattern, "")
-    words = F.split(strip(m), r"\s+")
+    for pattern in (v.MODEL_TRAILING_PARENS, v.MODEL_WEIGHT_SPEC, v.MODEL_DISPLACEMENT_SPEC, v.MODEL_TRAILING_DIGITS):
+        m = F.regexp_replace(m, _UNICODE + pattern, "")
+
+    def cut(name: Column) -> Column:
+        return strip(F.regexp_replace(name, _UNICODE + v.MODEL_SUFFIX, ""))
+
+    m = F.when(m.contains("\n"), F.aggregate(F.split(m, "\n"), m, lambda name, _: cut(cut(name)))).otherwise(cut(m))
+    words = F.split(m, _UNICODE + r"\s+")
     renamed = F.transform(words, lambda w: F.coalesce(lookup(w, v.MODEL_WORDS), w))
     return strip(F.array_join(renamed, " "))
 
@@ -120,7 +126,7 @@ def categorize(c: Column) -> Column:
 
 def normalize_make(c: Column) -> Column:
     """Lower case with every run of hyphens and spaces as one space."""
-    return F.regexp_replace(F.lower(strip(c)), r"[-\s]+", " ")
+    return F.regexp_replace(F.lower(strip(c)), _UNICODE + r"[-\s]+", " ")
 
 
 def _plain_make(name: str) -> str:

@@ -84,8 +84,9 @@ def superseded_by_edges(approvals: DataFrame, key: str = "doc") -> DataFrame:
 
 
 def repair_missing_url(approvals: DataFrame, listing: DataFrame, key: str = "eo_number") -> DataFrame:
-    """Fill a missing address from the listing, leave every other address alone."""
-    found = listing.filter(F.coalesce("pdf_url", F.lit("")) != "").select(key, F.col("pdf_url").alias("_found"))
+    """Fill a missing address from the listing, leave every other address alone. Where a listing
+    repeats a key, its smallest address counts; ``merge_pages`` settles repeats by page order."""
+    found = listing.filter(F.coalesce("pdf_url", F.lit("")) != "").groupBy(key).agg(F.min("pdf_url").alias("_found"))
     return (approvals.join(found, key, "left")
             .withColumn("pdf_url", F.coalesce(F.nullif("pdf_url", F.lit("")), F.col("_found"), F.col("pdf_url")))
             .drop("_found"))

@@ -115,15 +115,19 @@ def requeue_reviews(reviews: DataFrame, reasons: list[str], run_id: str, now: Co
     return closed, reset, items
 
 
-def review_outcomes(decisions: DataFrame, reviews: DataFrame) -> DataFrame:
-    """decisions with ``result``: not_found, conflict (no longer open), rejected,
-    invalid (corrections give no valid record; nothing changes) or approved, and the review
-    and approval states that follow, null where nothing changes.
-    decisions: id, action, valid"""
-    j = decisions.join(reviews.select("id", "doc", F.col("status").alias("_status")), "id", "left")
-    result = (F.when(F.col("_status").isNull(), "not_found").when(F.col("_status") != "open", "conflict")
+def review_outcomes(decisions: DataFrame, reviews: DataFrame, order: list[str]) -> DataFrame:
+    """decisions with ``result``: not_found, conflict (no longer open, or closed by an earlier
+    decision), rejected, invalid (corrections give no valid record; nothing changes) or approved,
+    and the review and approval states that follow, null where nothing changes.
+    decisions: id, action, valid and the columns of ``order``, which tell in what order the
+    decisions about one review came"""
+    at = F.struct(*order)
+    closing = (F.col("action") == "reject") | F.col("valid")
+    first = decisions.filter(closing).groupBy("id").agg(F.min(at).alias("_first"))
+    j = (decisions.join(reviews.select("id", "doc", F.col("status").alias("_status")), "id", "left").join(first, "id", "left"))
+    result = (F.when(F.col("_status").isNull(), "not_found").when((F.col("_status") != "open") | (at > F.col("_first")), "conflict")
               .when(F.col("action") == "reject", "rejected").when(~F.col("valid"), "invalid").otherwise("approved"))
-    j = j.withColumn("result", result).drop("_status")
+    j = j.withColumn("result", result).drop("_status", "_first")
     return j.withColumns({
         "review_status": F.when(F.col("result").isin("rejected", "approved"), F.col("result")),
         "approval_state": F.when(F.col("result") == "rejected", "failed").when(F.col("result") == "approved", "complete")})

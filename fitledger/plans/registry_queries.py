@@ -325,7 +325,7 @@ def requeue_reviews(t):
 def resolve_reviews(t):
     decisions = t.labels.select(F.col("doc_id").alias("id"), F.expr("if(doc_id % 3 = 0, 'reject', 'approve')").alias("action"),
                                 (F.col("quality") > 0).alias("valid"))
-    return S.review_outcomes(decisions, t.b_reviews).select("id", "result")
+    return S.review_outcomes(decisions, t.b_reviews, ["id"]).select("id", "result")
 
 
 @query("manual_retry", """

@@ -69,7 +69,7 @@ OUTCOME = "CASE WHEN action IN ('failed_both_rungs', 'discover_failed', 'escalat
   SELECT id, status, attempts, heals AS heal_count FROM f QUALIFY row_number() OVER (PARTITION BY id ORDER BY p DESC) = 1""")
 def stream_retry_state(t):
     outcomes = events_stream(t).filter("doc IS NOT NULL AND ts IS NOT NULL").select(
-        F.col("doc").alias("id"), "ts", "event_id", F.expr(OUTCOME).alias("outcome"))
+        F.col("doc").alias("id"), T.epoch_timestamp(F.col("ts")).alias("at"), "ts", "event_id", F.expr(OUTCOME).alias("outcome"))
     return T.drain_updates(T.retry_state(outcomes), ["id"], "retry")
 
 

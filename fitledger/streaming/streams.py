@@ -84,34 +84,58 @@ def activity_sessions(events: DataFrame, gap: str = "20 seconds", late: str = "1
 
 def live_feed(events: DataFrame, folder: str, n: int = 50) -> Callable[[], DataFrame]:
     """Start a stream that keeps the last ``n`` events of the newest run under ``folder``; the
-    returned function waits for it and reads the feed. At most ``n`` rows are carried from one
-    batch to the next.
+    returned function waits for it and reads the feed, empty when no batch ran. What is carried
+    from one batch to the next is the newest run, which may have no timed event yet, and at most
+    ``n`` rows.
 
     events: run_id, started_at, ts, event_id, ...
     """
     spark = events.sparkSession
     schema = events.schema
+    runs = events.select("run_id", "started_at").schema
+    written: list[int] = []
 
     def merge(batch: DataFrame, number: int) -> None:
-        rows = batch
+        rows, starts = batch, batch.select("run_id", "started_at")
         if number > 0:
             rows = rows.unionByName(spark.read.schema(schema).parquet(f"{folder}/feed/{number - 1}"))
-        newest = rows.orderBy(F.col("started_at").desc(), F.col("run_id")).limit(1).select("run_id")
+            starts = starts.unionByName(spark.read.schema(runs).parquet(f"{folder}/newest/{number - 1}"))
+        (starts.orderBy(F.col("started_at").desc(), F.col("run_id")).limit(1)
+         .write.mode("overwrite").parquet(f"{folder}/newest/{number}"))
+        newest = spark.read.schema(runs).parquet(f"{folder}/newest/{number}").select("run_id")
         feed = (rows.filter("ts IS NOT NULL").join(F.broadcast(newest), "run_id", "left_semi")
                 .orderBy(F.col("ts").desc(), F.col("event_id").desc()).limit(n))
         feed.coalesce(1).write.mode("overwrite").parquet(f"{folder}/feed/{number}")
+        written.append(number)
 
     q = (events.writeStream.foreachBatch(merge).option("checkpointLocation", f"{folder}/progress")
          .trigger(availableNow=True).start())
 
     def read() -> DataFrame:
         q.awaitTermination()
-        last = q.lastProgress["batchId"]
-        return spark.read.schema(schema).parquet(f"{folder}/feed/{last}")
+        if not written:
+            return spark.createDataFrame([], schema)
+        return spark.read.schema(schema).parquet(f"{folder}/feed/{written[-1]}")
 
     return read
 
 
+# Rows that a later batch may still precede wait in the state, in parallel lists.
+WAITING = "ts array<double>, event_id array<long>, what array<string>"
+
+
+def _waiting(batches: Iterator[pd.DataFrame], held: tuple, what: str) -> list[tuple[float, int, str]]:
+    """The held rows and the new ones of a key in (ts, event_id) order."""
+    rows = list(zip(*held))
+    for b in batches:
+        rows += zip(b["ts"].tolist(), b["event_id"].tolist(), b[what].tolist())
+    return sorted(rows, key=lambda r: r[:2])
+
+
+def _hold(rows: list[tuple[float, int, str]]) -> tuple[list, list, list]:
+    return tuple(map(list, zip(*rows))) if rows else ([], [], [])
+
+
 RETRY_SCHEMA = "id long, status string, attempts int, heal_count int"
 RETRY_STATE = "status string, attempts int, heal_count int"
 
@@ -124,19 +148,28 @@ def _retry_step(status: str, attempts: int, heals: int, outcome: str) -> tuple[s
     return "done", attempts, heals
 
 
-def retry_state(outcomes: DataFrame) -> DataFrame:
-    """State of every item after its outcomes in (ts, event_id) order; use update mode.
-    outcomes: id, ts, event_id, outcome (done, error or heal)"""
+def retry_state(outcomes: DataFrame, at: str = "at", late: str = "1 minute") -> DataFrame:
+    """State of every item after its outcomes in (ts, event_id) order, whatever batches they come
+    in; use update mode. An outcome is final once the watermark has passed it. Until then it waits,
+    and the state given out counts it in the place it has so far.
+    outcomes: id, at (timestamp), ts (the same in seconds), event_id, outcome (done, error or heal)"""
     def fold(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now = state.get if state.exists else ("pending", 0, 0)
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        for outcome in rows["outcome"]:
+        *now, ts, ids, what = state.get if state.exists else ("pending", 0, 0, [], [], [])
+        mark = state.getCurrentWatermarkMs()
+        rows = _waiting(batches, (ts, ids, what), "outcome")
+        passed = sum(int(r[0] * 1000) <= mark for r in rows)
+        for _, _, outcome in rows[:passed]:
+            now = _retry_step(*now, outcome)
+        rows = rows[passed:]
+        state.update((*now, *_hold(rows)))
+        if rows:
+            state.setTimeoutTimestamp(int(rows[0][0] * 1000))
+        for _, _, outcome in rows:
             now = _retry_step(*now, outcome)
-        state.update(now)
         yield pd.DataFrame([(key[0], *now)], columns=["id", "status", "attempts", "heal_count"])
 
-    return outcomes.groupBy("id").applyInPandasWithState(
-        fold, RETRY_SCHEMA, RETRY_STATE, "update", GroupStateTimeout.NoTimeout)
+    return outcomes.withWatermark(at, late).groupBy("id").applyInPandasWithState(
+        fold, RETRY_SCHEMA, f"{RETRY_STATE}, {WAITING}", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 STUCK_SCHEMA = "id long, since double"
@@ -144,40 +177,34 @@ STUCK_SCHEMA = "id long, since double"
 
 def stuck_items(updates: DataFrame, at: str = "at", lease: int = v.LEASE_SECONDS, late: str = "1 minute") -> DataFrame:
     """One alert per item that stays in progress for ``lease`` seconds without an update; use
-    append mode. updates: id, at (timestamp), ts (the same in seconds), event_id, status"""
+    append mode. Updates count in (ts, event_id) order once the watermark has passed them, so the
+    alerts do not depend on the batches that they came in.
+    updates: id, at (timestamp), ts (the same in seconds), event_id, status"""
     def watch(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            since = state.get[0]
-            state.remove()
-            yield pd.DataFrame([(key[0], since)], columns=["id", "since"])
-            return
+        since, ts, ids, what = state.get if state.exists else (None, [], [], [])
+        mark = state.getCurrentWatermarkMs()
+        rows = _waiting(batches, (ts, ids, what), "status")
+        passed = sum(int(r[0] * 1000) <= mark for r in rows)
         alerts = []
-        last = (state.get[0], "in_progress") if state.exists else None
-        for ts, status in _in_order(batches):
-            if last and last[1] == "in_progress" and ts - last[0] > lease:
-                alerts.append((key[0], last[0]))
-            last = (ts, status)
-        if last and last[1] == "in_progress":
-            due = int((last[0] + lease) * 1000)
-            if due > state.getCurrentWatermarkMs():
-                state.update((last[0],))
-                state.setTimeoutTimestamp(due)
-            else:
-                if state.exists:
-                    state.remove()
-                alerts.append((key[0], last[0]))
-        elif state.exists:
-            state.remove()
+        for at_ts, _, status in rows[:passed]:
+            if since is not None and at_ts - since > lease:
+                alerts.append((key[0], since))
+            since = at_ts if status == "in_progress" else None
+        rows = rows[passed:]
+        if since is not None and int((since + lease) * 1000) <= mark:
+            alerts.append((key[0], since))
+            since = None
+        if since is None and not rows:
+            if state.exists:
+                state.remove()
+        else:
+            state.update((since, *_hold(rows)))
+            state.setTimeoutTimestamp(min([int(r[0] * 1000) for r in rows[:1]] + ([] if since is None else [int((since + lease) * 1000)])))
         if alerts:
             yield pd.DataFrame(alerts, columns=["id", "since"])
 
     return updates.withWatermark(at, late).groupBy("id").applyInPandasWithState(
-        watch, STUCK_SCHEMA, "since double", "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def _in_order(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[float, str]]:
-    rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-    return zip(rows["ts"], rows["status"])
+        watch, STUCK_SCHEMA, f"since double, {WAITING}", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def epoch_timestamp(seconds: Column) -> Column:

@@ -114,3 +114,17 @@ def test_upsert_takes_the_last_change_of_each_column(spark):
         "doc long, seq int, x string, has_x boolean, y string, has_y boolean")
     got = sorted(map(tuple, S.merge_upsert(current, changes, order="seq").collect()))
     assert got == [(1, None, "y2"), (2, "c", "d"), (3, "x3", None)]
+
+
+def test_first_closing_decision_wins(spark):
+    reviews = spark.createDataFrame([(1, "d1", "open"), (2, "d2", "done")], "id long, doc string, status string")
+    rows = [(1, 1, "approve", False), (1, 2, "reject", True), (1, 3, "approve", True), (2, 4, "reject", True), (3, 5, "reject", True)]
+    out = S.review_outcomes(spark.createDataFrame(rows, "id long, seq int, action string, valid boolean"), reviews, ["seq"])
+    assert {r.seq: (r.result, r.approval_state) for r in out.collect()} == {
+        1: ("invalid", None), 2: ("rejected", "failed"), 3: ("conflict", None), 4: ("conflict", None), 5: ("not_found", None)}
+
+
+def test_repeated_listing_key_gives_one_approval(spark):
+    approvals = spark.createDataFrame([("k", None), ("l", "kept")], "eo_number string, pdf_url string")
+    listing = spark.createDataFrame([("k", "y"), ("k", "x"), ("l", "z")], "eo_number string, pdf_url string")
+    assert sorted(map(tuple, G.repair_missing_url(approvals, listing).collect())) == [("k", "x"), ("l", "kept")]

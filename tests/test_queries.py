@@ -7,6 +7,7 @@ import pytest
 
 import __spark_entry__ as entry
 from check import plain
+from fitledger.plans import all_queries
 from fitledger.plans.bindings import TABLES
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -21,7 +22,13 @@ def db():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+def test_only_text_operators_go_without_sql():
+    assert set(all_queries.QUERIES) == set(all_queries.ORACLES)
+    assert all(isinstance(sql, str) for sql in entry.oracle_sql().values())
+    assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
 def test_query_equals_sql(spark, db, name):
     df = entry.queries()[name](spark, FOLDER)
     cols = sorted(df.columns)

@@ -14,7 +14,8 @@ def values(spark, texts, fn):
 def test_models(spark):
     cases = {"F150 Pickup 2WD": "F-150", "F150 2.7L 2WD GVWR>6649 LBS": "F-150", "Silverado 1500 2WD": "Silverado",
              "Mustang Convertible": "Mustang", "F-150": "F-150", "F-150 5": "F-150", "Accord (SE)": "Accord",
-             "K1500 Blazer": "C/K 1500 Blazer"}
+             "K1500 Blazer": "C/K 1500 Blazer",
+             "F150\u00a0Pickup 2WD": "F-150", "\u2003Accord\u00a0": "Accord", "Foo HD a\nPickup": "Foo", "A HD x Pickup\nfoo": "A"}
     assert values(spark, list(cases), T.normalize_model) == list(cases.values())
 
 
