@@ -12,7 +12,7 @@ fan-out carries ids and a tier only; wide columns are joined back to the winners
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import match as M
@@ -64,16 +64,6 @@ def candidate_counts(rows: DataFrame, catalog: DataFrame, bound: int = BROADCAST
         "_make", "_first", "_last", "_cum", "_lo", "_hi")
 
 
-def candidate_pairs(rows: DataFrame, catalog: DataFrame, bound: int = BROADCAST_ROW_BOUND) -> DataFrame:
-    """(doc, row_idx, vehicle_id) for every candidate. Meant for rows already narrowed
-    down; to count candidates use candidate_counts, which builds no pairs."""
-    keyed = _year_bounds(rows).select(*ROW_KEY, "_lo", "_hi", make_key(F.col("make")).alias("_make"))
-    cat = catalog.select("vehicle_id", F.col("year").cast("int").alias("_y"),
-                         make_key(F.col("make")).alias("_make"))
-    pairs = dimension_join(keyed, cat, ["_make"], ROW_KEY, fits_broadcast(catalog, bound))
-    return pairs.filter(F.col("_y").between(F.col("_lo"), F.col("_hi"))).select(*ROW_KEY, "vehicle_id")
-
-
 def application_matches(rows: DataFrame, catalog: DataFrame,
                         bound: int = BROADCAST_ROW_BOUND) -> DataFrame:
     """(doc, row_idx, vehicle_id, tier) for every row and vehicle that fit.
@@ -151,21 +141,20 @@ def unresolved_rows(rows: DataFrame, catalog: DataFrame, bound: int = BROADCAST_
                           fits_broadcast(catalog, bound), "left_anti", _fits()).select(*ROW_KEY, *keep)
 
 
-def resolver_requests(unresolved: DataFrame, catalog: DataFrame, limit: int,
+def resolver_requests(unresolved: DataFrame, catalog: DataFrame, part_size: int,
                       bound: int = BROADCAST_ROW_BOUND) -> DataFrame:
-    """doc, row_idx, n_candidates and the sorted ``candidate_ids`` to send to a resolver.
-    Rows with more than ``limit`` candidates are set aside: they keep their count, get no list
-    (null) and are never joined out, so no list is longer than the limit."""
-    # Rows over the limit get a null key and meet no vehicle at all.
-    sent = F.col("n_candidates") <= limit
-    keyed = _year_bounds(unresolved).select(*ROW_KEY, "n_candidates", "_lo", "_hi",
-                                            F.when(sent, make_key(F.col("make"))).alias("_make"))
+    """What to send to a resolver: doc, row_idx, n_candidates, part_no and ``candidate_ids``, at most
+    ``part_size`` sorted ids. Every candidate of a row is in exactly one part, numbered from 0; the
+    decisions about the parts of a row meet again by ``seq`` in ``merge_resolved``."""
+    keyed = _year_bounds(unresolved).select(*ROW_KEY, "n_candidates", "_lo", "_hi", make_key(F.col("make")).alias("_make"))
     cat = catalog.select("vehicle_id", F.col("year").cast("int").alias("_y"),
                          make_key(F.col("make")).alias("_make"))
-    pairs = dimension_join(keyed, cat, ["_make"], ROW_KEY, fits_broadcast(catalog, bound), "left",
-                           F.col("_y").between(F.col("_lo"), F.col("_hi")))
-    return (pairs.groupBy(*ROW_KEY, "n_candidates").agg(F.array_sort(F.collect_list("vehicle_id")).alias("_ids"))
-            .select(*ROW_KEY, "n_candidates", F.when(F.size("_ids") > 0, F.col("_ids")).alias("candidate_ids")))
+    pairs = dimension_join(keyed, cat, ["_make"], ROW_KEY, fits_broadcast(catalog, bound),
+                           when=F.col("_y").between(F.col("_lo"), F.col("_hi")))
+    place = F.row_number().over(Window.partitionBy(*ROW_KEY).orderBy("vehicle_id")) - 1
+    # the grouping refines the window's keys, so both use one shuffle
+    return (pairs.select(*ROW_KEY, "n_candidates", "vehicle_id", F.floor(place / part_size).cast("long").alias("part_no"))
+            .groupBy(*ROW_KEY, "n_candidates", "part_no").agg(F.array_sort(F.collect_list("vehicle_id")).alias("candidate_ids")))
 
 
 def resolver_outcomes(decisions: DataFrame, unresolved: DataFrame, catalog: DataFrame,

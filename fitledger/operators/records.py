@@ -153,7 +153,9 @@ def typed_record(value: str) -> Column:
     rows = f"transform(try_variant_get({value}, '$.fitment', 'array<variant>'), r -> named_struct({row}))"
     fields = [text(value, "eo_number"), *[text(value, f) for f in TEXT_FIELDS], text(value, "category"),
               number(value, "confidence", "DOUBLE"), texts(value, "supersedes"), texts(value, "part_numbers"),
-              f"'fitment', coalesce({rows}, array())"]
+              f"'fitment', coalesce({rows}, array())",
+              f"'sections_confidence', coalesce(try_variant_get({value}, '$.sections_confidence', 'map<string,double>'), CAST(map() AS MAP<STRING, DOUBLE>))",
+              f"'illegible_pages', coalesce(try_variant_get({value}, '$.illegible_pages', 'array<int>'), CAST(array() AS ARRAY<INT>))"]
     return F.expr(f"named_struct({', '.join(fields)})")
 
 

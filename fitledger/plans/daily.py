@@ -14,7 +14,9 @@ from ..operators import matching as M
 from ..operators import quality as Q
 from ..operators import records as R
 
-RECORD_FIELDS = ["eo_number", "confidence", "category", "part_numbers", "fitment"]
+# Fields of a record that a correction may change; ``notes`` of the audited rows are those of the verdict.
+RECORD_FIELDS = ["eo_number", "confidence", "category", "part_numbers", "fitment", "issue_date", "manufacturer",
+                 "device_name", "description", "supersedes", "sections_confidence", "illegible_pages"]
 
 
 def route(records: DataFrame, baseline: DataFrame) -> DataFrame:
@@ -36,19 +38,21 @@ def route(records: DataFrame, baseline: DataFrame) -> DataFrame:
 def audit(routed: DataFrame, verdicts: DataFrame) -> DataFrame:
     """Routed records with ``outcome``, ``final_reason``, ``notes`` and the record as corrected.
 
-    Only records sent for a second look with verdict ``fix`` are taken apart as JSON.
+    Only records sent for a second look with verdict ``fix`` are taken apart as JSON. Every record
+    field that ``routed`` has takes over its correction.
     verdicts: doc, verdict, corrections (JSON text), reasons
     """
+    fields = [f for f in RECORD_FIELDS if f in routed.columns]
     judged = routed.join(verdicts, "doc", "left")
     needs_fix = F.col("reason").isNotNull() & (F.col("verdict") == "fix")
-    value = F.parse_json(F.to_json(F.struct(*RECORD_FIELDS)))
+    value = F.parse_json(F.to_json(F.struct(*fields)))
     fixed = R.apply_corrections(judged.withColumn("value", F.when(needs_fix, value)))
     rec = fixed.withColumn("_r", R.typed_record("value")).withColumn("fix_valid", F.col("valid"))
     rec = rec.withColumn("fix_issues", Q.gate_issues(
         F.col("_r.eo_number"), F.col("_r.fitment"), F.col("_r.part_numbers"), F.col("_r.category")))
     out = Q.resolve_verdicts(rec)
     take = (F.col("verdict") == "fix") & F.col("reason").isNotNull() & F.col("fix_valid")
-    return out.withColumns({f: F.when(take, F.col(f"_r.{f}")).otherwise(F.col(f)) for f in RECORD_FIELDS}).drop(
+    return out.withColumns({f: F.when(take, F.col(f"_r.{f}")).otherwise(F.col(f)) for f in fields}).drop(
         "_r", "value", "merged_json", "faults", "valid", "fix_valid", "fix_issues", "corrections")
 
 

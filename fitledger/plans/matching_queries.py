@@ -117,17 +117,15 @@ def unresolved_rows(t):
 
 
 @query("candidate_cap", f"""
-  SELECT u.doc, u.row_idx, u.n_candidates, CASE WHEN u.n_candidates <= 20 THEN 'sent' ELSE 'set_aside' END AS fate,
-         CASE WHEN u.n_candidates <= 20 THEN string_agg(CAST(c.vehicle_id AS VARCHAR), ',' ORDER BY c.vehicle_id)
-           END AS candidate_ids
-  FROM ({UNRESOLVED}) u JOIN ({CANDIDATES}) c ON u.doc = c.doc AND u.row_idx = c.row_idx
+  SELECT doc, row_idx, n_candidates, part_no, string_agg(CAST(vehicle_id AS VARCHAR), ',' ORDER BY vehicle_id) AS candidate_ids
+  FROM (SELECT u.doc, u.row_idx, u.n_candidates, c.vehicle_id,
+           (row_number() OVER (PARTITION BY u.doc, u.row_idx ORDER BY c.vehicle_id) - 1) // 20 AS part_no
+        FROM ({UNRESOLVED}) u JOIN ({CANDIDATES}) c ON u.doc = c.doc AND u.row_idx = c.row_idx)
   GROUP BY 1, 2, 3, 4""")
 def candidate_cap(t):
     sent = op.resolver_requests(unresolved(t), t.b_catalog, 20)
     ids = F.array_join(F.col("candidate_ids").cast("array<string>"), ",")
-    return sent.select("doc", "row_idx", "n_candidates",
-                       F.when(F.col("candidate_ids").isNull(), "set_aside").otherwise("sent").alias("fate"),
-                       ids.alias("candidate_ids"))
+    return sent.select("doc", "row_idx", "n_candidates", "part_no", ids.alias("candidate_ids"))
 
 
 @query("resolver_filter", f"SELECT doc, row_idx, seq, outcome, CAST(n_valid AS BIGINT) AS n_valid FROM ({OUTCOMES})")

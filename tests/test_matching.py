@@ -65,9 +65,9 @@ def test_matches_equal_brute_force_broadcast_and_salted(spark):
         open_rows = op.unresolved_rows(r, c, bound)
         assert {(x.doc, x.row_idx): x.n_candidates for x in open_rows.collect()} == {
             k: len(ids) for k, ids in candidates.items() if k not in hits}
-        for x in op.resolver_requests(open_rows, c, 15, bound).collect():
-            ids = sorted(candidates[(x.doc, x.row_idx)])
-            assert x.candidate_ids == (ids if len(ids) <= 15 else None)
+        sent = {(x.doc, x.row_idx, x.part_no): x.candidate_ids for x in op.resolver_requests(open_rows, c, 3, bound).collect()}
+        assert sent == {(*k, p): sorted(ids)[3 * p:3 * p + 3] for k, ids in candidates.items() if k not in hits
+                        for p in range((len(ids) + 2) // 3)}
 
 
 def test_first_decision_wins_and_deterministic_stays(spark):

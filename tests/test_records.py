@@ -37,6 +37,13 @@ def test_explicit_null_overwrites_and_revalidates(spark):
     assert out[0].r.category is None and out[0].r.confidence == 0.2
 
 
+def test_typed_record_is_whole(spark):
+    text = json.dumps({**OK, "sections_confidence": {"a": 0.5, "b": 1}, "illegible_pages": [2, 4]})
+    df = R.validate_records(spark.createDataFrame([(text,), (json.dumps(OK),)], "payload string")).withColumn("r", R.typed_record("value"))
+    got = [(r.r.sections_confidence, r.r.illegible_pages) for r in df.collect()]
+    assert got == [({"a": 0.5, "b": 1.0}, [2, 4]), ({}, [])]
+
+
 def row(model, pns, **kw):
     return {"part_numbers": pns, "year_start": 2000, "year_end": 2001, "make": "a", "model": model, "trim_note": None,
             "displacement_l": 5.0, "induction": None, "cylinders": None, **kw}
