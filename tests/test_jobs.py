@@ -7,7 +7,11 @@ from fitledger.operators import ordered as O
 from fitledger.operators import registry as G
 from fitledger.operators import reports as P
 from fitledger.operators import state as S
+from fitledger.plans import daily
+from fitledger.schemas import RECORD
 from fitledger.sources import inference as N
+from fitledger.plans import daily
+from fitledger.schemas import RECORD
 from fitledger.sources import listing as L
 
 
@@ -128,3 +132,16 @@ def test_repeated_listing_key_gives_one_approval(spark):
     approvals = spark.createDataFrame([("k", None), ("l", "kept")], "eo_number string, pdf_url string")
     listing = spark.createDataFrame([("k", "y"), ("k", "x"), ("l", "z")], "eo_number string, pdf_url string")
     assert sorted(map(tuple, G.repair_missing_url(approvals, listing).collect())) == [("k", "x"), ("l", "kept")]
+
+
+def test_fix_changes_every_field(spark):
+    row = {"part_numbers": ["P1"], "year_start": 2000, "year_end": 2001, "make": "Ford", "model": "F-150", "trim_note": None,
+           "displacement_l": 5.0, "induction": None, "cylinders": 8}
+    rec = (1, "D-1", 0.9, "tune", ["P1"], [row], "old", ["D-0"], {"a": 0.5}, "low_confidence")
+    kind = RECORD[RECORD.index("fitment "):RECORD.index(", confidence")]
+    routed = spark.createDataFrame([rec], f"doc long, eo_number string, confidence double, category string, part_numbers array<string>, {kind}, "
+                                          "manufacturer string, supersedes array<string>, sections_confidence map<string,double>, reason string")
+    verdicts = spark.createDataFrame([(1, "fix", '{"manufacturer": "new", "supersedes": ["D-9"], "sections_confidence": {"a": 1}}', ["r"])],
+                                     "doc long, verdict string, corrections string, reasons array<string>")
+    got = daily.audit(routed.withColumns({"issues": F.array().cast("array<string>"), "div": F.lit(0.0), "draw": F.lit(1.0)}), verdicts).head()
+    assert (got.outcome, got.manufacturer, got.supersedes, got.sections_confidence, got.category) == ("accepted", "new", ["D-9"], {"a": 1.0}, "tune")
