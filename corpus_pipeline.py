@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from fitledger.llm import decontaminate, host_quality, jaccard_join, line_dedup, mixing
 from fitledger.llm.common import stored, table
 
+# Near copies: five words a shingle, Jaccard similarity 0.8 or more.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -48,7 +50,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near copies the document with the smallest id stays, nulls last."""
-    found = jaccard_join.jaccard_components(keyed(docs)).select(F.col("doc_id").alias("k"), "component_id").distinct()
+    found = jaccard_join.jaccard_components(keyed(docs), NEAR_WORDS, NEAR_PERCENT).select(F.col("doc_id").alias("k"), "component_id").distinct()
     ids = docs.select(row_key().alias("row_key"), "doc_id").distinct()
     rank = F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")
     first = ids.join(found, F.col("row_key") == F.col("k")).groupBy("component_id").agg(F.min(rank).alias("m"))

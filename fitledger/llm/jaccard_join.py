@@ -1,7 +1,8 @@
 """N-gram Jaccard join with adaptive multi-match prefixes, and its components.
 
-Two documents link when their shingle sets have a Jaccard similarity of 0.9 or more. Under any
-one order of all shingles, linked sets share at least l of their first (1 - 0.9) n + l
+Two documents link when their shingle sets have a Jaccard similarity of t or more; a ``Rule`` has t and
+the words of a shingle, 0.9 and three unless a caller asks for others. Under any
+one order of all shingles, linked sets share at least l of their first (1 - t) n + l
 shingles. The order here is: common shingles last, then by hash. Each document chooses l by
 what its candidates are expected to cost; a pair needs the smaller l of its two documents.
 
@@ -21,13 +22,14 @@ Steps
 
 Defined results
 * Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased, by 64-bit hash. Null, empty and blank texts have
-  the empty set: n_shingles 0, linked with nothing. Fewer than three words are one shingle.
+  the empty set: n_shingles 0, linked with nothing. Fewer words than a shingle has are one shingle.
 * component_id is the smallest non-null doc_id that links reach. Repeated rows and ids are rows of their own.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -40,26 +42,74 @@ from .bloom import bloom, held
 from .common import stored
 from .wordhash import NOT_BLANK, mix, text_chunks, word_hashes
 
-SHINGLE = 3
 COMMON, WARM = 64, 8
 # Expected candidates beyond which a document lengthens its prefix by one, two and three.
 COSTS = (300, 900, 2700)
 BUCKETS = 128
 SIGNED = np.int64
+# Odd factors of the words of a shingle by place.
+FACTORS = [np.uint64(f) for f in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 
 
-def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
+@dataclass(frozen=True)
+class Rule:
+    """What links: shingles of ``shingle`` words, similarity t = ``percent`` / 100 or more. Linked sets differ by
+    (1 - t) of their union at most, which is (1 - t) / (1 + t) (n_a + n_b), and their sizes by the factor t."""
+    shingle: int = 3
+    percent: int = 90
+
+    def __post_init__(self) -> None:
+        # far members of ``_leaders`` are those further than 2 (1 - t), so t is more than a half
+        if not (1 <= self.shingle <= len(FACTORS) and 50 < self.percent < 100):
+            raise ValueError(f"shingles have 1 to {len(FACTORS)} words, similarities are 51 to 99 percent: {self}")
+
+    @property
+    def less(self) -> int:
+        """100 (1 - t)."""
+        return 100 - self.percent
+
+    @property
+    def more(self) -> int:
+        """100 (1 + t)."""
+        return 100 + self.percent
+
+    @property
+    def band(self) -> float:
+        """Linked sizes differ by a factor of t at most, so they are in one band or in neighbours."""
+        return self.percent / 100 - 0.005
+
+    def prefix_size(self, n):
+        """First shingles of which linked sets share one: n - ceil(t n) + 1."""
+        return n * self.less // 100 + 1
+
+    def head_size(self, n: int) -> int:
+        return min(n, n * 3 * self.less // 200 + 8 + len(COSTS))
+
+    def linked(self, both: int, union: int) -> bool:
+        return 100 * both >= self.percent * union
+
+    def similar(self, a: np.ndarray, b: np.ndarray) -> bool:
+        common = np.intersect1d(a, b, assume_unique=True).size
+        return self.linked(common, len(a) + len(b) - common)
+
+    def sizes_fit(self, a: str, b: str) -> str:
+        return f"100L * least({a}, {b}) >= {self.percent}L * greatest({a}, {b})"
+
+
+CONTRACT = Rule()
+
+
+def shingle_sets(texts: pa.Array, size: int) -> list[np.ndarray]:
     """Sorted distinct shingle hashes (uint64) of each text."""
     words, at = word_hashes(texts, NOT_BLANK)
-    factors = [np.uint64(f) for f in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
-    grams = mix(sum(words[i:len(words) - SHINGLE + 1 + i] * f for i, f in enumerate(factors))) if len(words) >= SHINGLE else words[:0]
+    grams = mix(sum(words[i:len(words) - size + 1 + i] * f for i, f in enumerate(FACTORS[:size]))) if len(words) >= size else words[:0]
     out = []
     for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-        if j - i >= SHINGLE:
-            out.append(np.unique(grams[i:j - SHINGLE + 1]))
+        if j - i >= size:
+            out.append(np.unique(grams[i:j - size + 1]))
         else:
             # one number for the whole sequence; its length keeps short ones apart
-            whole = words[i:j] * np.array(factors[:j - i], np.uint64)
+            whole = words[i:j] * np.array(FACTORS[:j - i], np.uint64)
             out.append(mix(whole.sum(keepdims=True) + np.uint64(j - i)) if j > i else words[:0])
     return out
 
@@ -73,19 +123,6 @@ def histogram(tokens: np.ndarray) -> bytes:
     return np.minimum(np.bincount((tokens & np.uint64(BUCKETS - 1)).astype(SIGNED), minlength=BUCKETS), 255).astype(np.uint8).tobytes()
 
 
-def prefix_size(n):
-    """First shingles of which linked sets share one: n - ceil(0.9 n) + 1."""
-    return n // 10 + 1
-
-
-def head_size(n: int) -> int:
-    return min(n, n * 3 // 20 + 8 + len(COSTS))
-
-
-def similar(a: np.ndarray, b: np.ndarray) -> bool:
-    return 100 * (common := np.intersect1d(a, b, assume_unique=True).size) >= 90 * (len(a) + len(b) - common)
-
-
 def matches_needed(warm: int, n: int) -> int:
     """l of a document whose prefix has ``n`` shingles, ``warm`` of them in more than WARM heads."""
     cost = 2 * (n - warm) + (COMMON + WARM) // 2 * warm
@@ -103,20 +140,20 @@ def _arrow(fn, names: str, types: list):
 LONGS = pa.list_(pa.int64())
 
 
-def heads(docs: DataFrame) -> DataFrame:
+def heads(docs: DataFrame, rule: Rule = CONTRACT) -> DataFrame:
     """doc_id, sig (null for the empty set), n, head and hist of every document."""
     def fn(batches):
         for b in text_chunks(batches):
-            sets = shingle_sets(b.column("text"))
+            sets = shingle_sets(b.column("text"), rule.shingle)
             yield [b.column("doc_id"), [signature(s) if len(s) else None for s in sets], list(map(len, sets)),
-                   [s[:head_size(len(s))].view(SIGNED) for s in sets], list(map(histogram, sets))]
+                   [s[:rule.head_size(len(s))].view(SIGNED) for s in sets], list(map(histogram, sets))]
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
         _arrow(fn, "doc_id sig n head hist", [pa.int64(), pa.int64(), pa.int32(), LONGS, pa.binary()]),
         "doc_id long, sig long, n int, head array<long>, hist binary")
 
 
-def node_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+def node_sets(docs: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
     """(sig, n, tokens) of ``nodes`` (sig, rep), whole sets read from their representatives' texts.
 
     A filter of fixed size over sig xor (rep rotated) picks the texts in the scan, so texts are not
@@ -127,7 +164,7 @@ def node_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
     def fn(batches):
         for b in text_chunks(batches):
-            found = shingle_sets(b.column("text"))
+            found = shingle_sets(b.column("text"), rule.shingle)
             sigs = np.array([signature(s) if len(s) else 0 for s in found], SIGNED).view(np.uint64)
             ids = b.column("doc_id").fill_null(-1).to_numpy(zero_copy_only=False).view(np.uint64)
             h = sigs ^ ((ids << np.uint64(23)) | (ids >> np.uint64(41)))
@@ -147,7 +184,7 @@ ENTRY = "token long, sig long, n int, l int"
 ENTRY_TYPES = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
 
 
-def _plain(common, warm):
+def _plain(common, warm, rule: Rule):
     """Prefix entries of plain documents; a dense one gives a single row without token."""
     def fn(batches):
         for b in batches:
@@ -159,7 +196,7 @@ def _plain(common, warm):
                 free = h[~is_common[at:at + len(h)]]
                 warmth = is_warm[at:at + len(h)][~is_common[at:at + len(h)]]
                 at += len(h)
-                p = prefix_size(n)
+                p = rule.prefix_size(n)
                 if len(free) < p:
                     tokens.append([None])
                     l = 0
@@ -176,7 +213,7 @@ DENSE = "kind int, token long, sig long, n int, l int, rare int"
 DENSE_TYPES = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
 
 
-def _dense(common, local):
+def _dense(common, local, rule: Rule):
     """Entries of dense nodes. kind 1: prefix under the plain order; 2: rare shingles under the dense
     order; 3: common shingles of that prefix, for nodes that reach them."""
     def fn(batches):
@@ -184,7 +221,7 @@ def _dense(common, local):
             out = [[] for _ in range(6)]
             for sig, n, blob in zip(*(b.column(c).to_pylist() for c in ("sig", "n", "tokens")), strict=True):
                 tokens = np.frombuffer(blob, np.uint64)
-                p = prefix_size(n)
+                p = rule.prefix_size(n)
                 is_common, is_local = held(common.value, tokens), held(local.value, tokens)
                 rare = tokens[~is_local]
                 l = 1 if len(rare) < p + 1 else 2
@@ -199,48 +236,51 @@ def _dense(common, local):
     return _arrow(fn, "kind token sig n l rare", DENSE_TYPES)
 
 
-def _pairs(left: DataFrame, right: DataFrame, ordered: bool) -> DataFrame:
+def _pairs(left: DataFrame, right: DataFrame, ordered: bool, rule: Rule) -> DataFrame:
     """Candidates (a, b), a < b, that share as many prefix shingles as the less demanding of the two asks for."""
     a = left.select("token", F.col("sig").alias("a"), F.col("n").alias("n_a"), F.col("l").alias("l_a"))
     b = right.select("token", F.col("sig").alias("b"), F.col("n").alias("n_b"), F.col("l").alias("l_b"))
-    fits = (10 * F.least("n_a", "n_b") >= 9 * F.greatest("n_a", "n_b")) & ((F.col("a") < F.col("b")) if ordered else (F.col("a") != F.col("b")))
+    fits = F.expr(rule.sizes_fit("n_a", "n_b")) & ((F.col("a") < F.col("b")) if ordered else (F.col("a") != F.col("b")))
     pairs = a.join(b, "token").filter(fits).groupBy("a", "b").agg(F.count("*").alias("shared"), F.first(F.least("l_a", "l_b")).alias("need"))
     return pairs.filter("shared >= need").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _check(batches):
-    for b in batches:
-        a, other = b.column("tokens_a").to_pylist(), b.column("tokens_b").to_pylist()
-        ok = pa.array([similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(a, other, strict=True)], pa.bool_())
-        yield [b.column("a").filter(ok), b.column("b").filter(ok)]
+def _check(rule: Rule):
+    def fn(batches):
+        for b in batches:
+            a, other = b.column("tokens_a").to_pylist(), b.column("tokens_b").to_pylist()
+            ok = pa.array([rule.similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(a, other, strict=True)], pa.bool_())
+            yield [b.column("a").filter(ok), b.column("b").filter(ok)]
+    return fn
 
 
-def _possible(batches):
-    for b in batches:
-        a, other = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, BUCKETS).astype(np.int16) for c in ("hist_a", "hist_b"))
-        sizes = b.column("n_a").to_numpy() + b.column("n_b").to_numpy()
-        # linked sets differ by a tenth of their union at most, which is (n_a + n_b) / 19
-        ok = pa.array(19 * np.abs(a - other).sum(1, dtype=SIGNED) <= sizes)
-        yield [b.column("a").filter(ok), b.column("b").filter(ok)]
+def _possible(rule: Rule):
+    def fn(batches):
+        for b in batches:
+            a, other = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, BUCKETS).astype(np.int16) for c in ("hist_a", "hist_b"))
+            sizes = b.column("n_a").to_numpy().astype(SIGNED) + b.column("n_b").to_numpy()
+            ok = pa.array(rule.more * np.abs(a - other).sum(1, dtype=SIGNED) <= rule.less * sizes)
+            yield [b.column("a").filter(ok), b.column("b").filter(ok)]
+    return fn
 
 
-def possible(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+def possible(pairs: DataFrame, reps: DataFrame, rule: Rule) -> DataFrame:
     """The pairs (a, b) whose histograms allow a link."""
     a = reps.select(F.col("sig").alias("a"), F.col("hist").alias("hist_a"), F.col("n").alias("n_a"))
     b = reps.select(F.col("sig").alias("b"), F.col("hist").alias("hist_b"), F.col("n").alias("n_b"))
     return pairs.join(a, "a").join(b, "b").select("a", "b", "hist_a", "hist_b", "n_a", "n_b").mapInArrow(
-        _arrow(_possible, "a b", [pa.int64(), pa.int64()]), "a long, b long")
+        _arrow(_possible(rule), "a b", [pa.int64(), pa.int64()]), "a long, b long")
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     """The pairs (a, b) whose whole sets are similar."""
     a = sets.select(F.col("sig").alias("a"), F.col("tokens").alias("tokens_a"))
     b = sets.select(F.col("sig").alias("b"), F.col("tokens").alias("tokens_b"))
     return pairs.join(a, "a").join(b, "b").select("a", "b", "tokens_a", "tokens_b").mapInArrow(
-        _arrow(_check, "a b", [pa.int64(), pa.int64()]), "a long, b long")
+        _arrow(_check(rule), "a b", [pa.int64(), pa.int64()]), "a long, b long")
 
 
-def _against_leader(local):
+def _against_leader(local, rule: Rule):
     """Each member beside one leader: linked or not, far or not, its weight, and the prefixes of the
     difference of their common shingles (see ``_leaders``)."""
     def fn(batches):
@@ -251,13 +291,13 @@ def _against_leader(local):
                 leader, own = np.frombuffer(blob_c, np.uint64), np.frombuffer(blob, np.uint64)
                 both = np.intersect1d(leader, own, assume_unique=True).size
                 union = len(leader) + len(own) - both
-                linked = 100 * both >= 90 * union
+                linked = rule.linked(both, union)
                 centre, mine = leader[held(local.value, leader)], own[held(local.value, own)]
                 differ, r = np.setxor1d(centre, mine, assume_unique=True), len(own) - len(mine)
-                spare = 19 * (len(differ) + r - (len(leader) - len(centre))) + len(leader) - len(own)
-                as_partner = max(0, len(differ) - max(0, spare // 38))
-                as_grey = 0 if linked else max(0, min(len(differ), len(own) // 9 - r + 1))
-                row = (c, sig, linked, 100 * both < 80 * union, 19 * (len(differ) + r) - len(own),
+                spare = rule.more * (len(differ) + r - (len(leader) - len(centre))) + rule.less * (len(leader) - len(own))
+                as_partner = max(0, len(differ) - max(0, spare // (2 * rule.more)))
+                as_grey = 0 if linked else max(0, min(len(differ), rule.less * len(own) // rule.percent - r + 1))
+                row = (c, sig, linked, 100 * both < (100 - 2 * rule.less) * union, rule.more * (len(differ) + r) - rule.less * len(own),
                        differ[:as_partner].view(SIGNED), differ[:as_grey].view(SIGNED))
                 for column, value in zip(out, row, strict=True):
                     column.append(value)
@@ -267,47 +307,45 @@ def _against_leader(local):
 
 
 AGAINST = "c long, sig long, linked boolean, far boolean, weight long, partner array<long>, grey array<long>"
-# Linked sizes differ by a factor of 0.9 at most, so they are in one band or in neighbours.
-BAND = 0.895
 
 
-def _fitting(entries: DataFrame) -> DataFrame:
+def _fitting(entries: DataFrame, rule: Rule) -> DataFrame:
     """Entries that can still link inside their block: some partner's size and rare shingles allow it."""
     block = entries.groupBy("block").agg(F.min("rare").alias("r_min"), F.max("n").alias("n_max"), F.max("far").alias("any_far"),
-                                         F.min(19 * F.col("rare") - F.col("n")).alias("lightest"), F.count("*").alias("m"))
+                                         F.min(rule.more * F.col("rare") - rule.less * F.col("n")).alias("lightest"), F.count("*").alias("m"))
     block = block.filter((F.col("m") > 1) & F.col("any_far") & (F.col("lightest") <= 0)).withColumnRenamed("block", "f_block")
     return entries.join(block, F.col("block") == F.col("f_block")).filter(
-        19 * (F.col("rare") + F.col("r_min")) <= F.col("n") + F.col("n_max")).select(*entries.columns)
+        rule.more * (F.col("rare") + F.col("r_min")) <= rule.less * (F.col("n") + F.col("n_max"))).select(*entries.columns)
 
 
-def _leaders(entries: DataFrame, sets: DataFrame, reps: DataFrame, local) -> list[DataFrame]:
+def _leaders(entries: DataFrame, sets: DataFrame, reps: DataFrame, local, rule: Rule) -> list[DataFrame]:
     """Links between nodes that share none but common shingles of their prefixes.
 
     ``entries`` (token, sig, n, rare) are the common shingles of those prefixes. Whoever links shares one and is of like
     size, so all links lie inside blocks of equal token and neighbouring size bands. With r the number of rare shingles,
-    linked nodes, which share no rare one here, differ by r_x + r_y at least, and by t = (n_x + n_y) / 19 at most. So one of the two is
-    *light*, 19 r <= n, and nodes too heavy for every partner in their block leave it. Blocks of at most COMMON nodes are paired up.
+    linked nodes, which share no rare one here, differ by r_x + r_y at least, and by T = q (n_x + n_y) at most, q = (1 - t) / (1 + t). So one of the two is
+    *light*, r <= q n, and nodes too heavy for every partner in their block leave it. Blocks of at most COMMON nodes are paired up.
     A larger one has leaders, the light nodes with the fewest rare shingles: one in the first round and twice as many in
     every further one. Every member is compared with the leaders only. Jaccard distance d is a metric, so
-    * members within 0.1 of a leader are linked through it, and no pair of theirs is left for another round;
-    * a member further than 0.2 (far) cannot link with those. The next round sees who is linked to no leader, as long
+    * members within 1 - t of a leader are linked through it, and no pair of theirs is left for another round;
+    * a member further than 2 (1 - t) (far) cannot link with those. The next round sees who is linked to no leader, as long
       as a block has far members: two nodes that are near one leader are settled in its round;
     * what is left are pairs with a y that is near but not linked (grey). With E the difference to the leader's common
-      shingles, D = |E| + r, such a pair differs by D_x + D_y - 2 |E_x and E_y| <= t, t at most n_y / 9. As y is not linked,
-      D_y + r_c > (n_y + n_c) / 19, so |E_x and E_y| > (D_x - r_c + (n_c - n_x) / 19) / 2 and at least D_y - t:
+      shingles, D = |E| + r, such a pair differs by D_x + D_y - 2 |E_x and E_y| <= T, T at most n_y (1 - t) / t. As y is not linked,
+      D_y + r_c > q (n_y + n_c), so |E_x and E_y| > (D_x - r_c + q (n_c - n_x)) / 2 and at least D_y - T:
       sorted alike, prefixes of E of that length must share a shingle, and candidates come from an equi-join on those.
       Copies that only replace words have |E| = r or less: their prefix is short or empty;
-    * two E may have nothing in common only if D_x + D_y <= t. Such nodes are linked, and so is each of them with
-      the node of smallest weight 19 D - n: links to that one node stand for all of these.
+    * two E may have nothing in common only if D_x + D_y <= T. Such nodes are linked, and so is each of them with
+      the node of smallest weight D - q n: links to that one node stand for all of these.
     """
     links = []
-    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(-float(np.log(BAND))))
+    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(-float(np.log(rule.band))))
     blocks = F.array(F.xxhash64("token", band), F.xxhash64("token", band + 1))
-    entries = entries.select(F.explode(blocks).alias("block"), "sig", "n", "rare", F.lit(True).alias("far"))
-    entries, leaders = stored(_fitting(entries.distinct()), "block-nodes"), 1
+    entries = entries.select(F.explode(blocks).alias("block"), "sig", F.col("n").cast("long").alias("n"), F.col("rare").cast("long").alias("rare"), F.lit(True).alias("far"))
+    entries, leaders = stored(_fitting(entries.distinct(), rule), "block-nodes"), 1
     while True:
         # leaving makes others too heavy for what stays
-        entries = _fitting(entries)
+        entries = _fitting(entries, rule)
         size = entries.groupBy("block").agg(F.count("*").alias("k")).withColumnRenamed("block", "s_block")
         joined = stored(entries.join(size, F.col("block") == F.col("s_block")).drop("s_block").filter("k > 1"), "block-members")
         if joined.isEmpty():
@@ -315,15 +353,16 @@ def _leaders(entries: DataFrame, sets: DataFrame, reps: DataFrame, local) -> lis
         few, many = joined.filter(F.col("k") <= COMMON), joined.filter(F.col("k") > COMMON)
         a = few.select("block", F.col("sig").alias("a"), F.col("n").alias("n_a"), F.col("rare").alias("r_a"))
         b = few.select("block", F.col("sig").alias("b"), F.col("n").alias("n_b"), F.col("rare").alias("r_b"))
-        mates = a.join(b, "block").filter("a < b and 10 * least(n_a, n_b) >= 9 * greatest(n_a, n_b) and 19 * (r_a + r_b) <= n_a + n_b")
+        mates = a.join(b, "block").filter(
+            f"a < b and {rule.sizes_fit('n_a', 'n_b')} and {rule.more} * (r_a + r_b) <= {rule.less} * (n_a + n_b)")
         pairs = mates.select("a", "b")
         rank = F.row_number().over(W.partitionBy("block").orderBy("rare", "sig"))
-        first = many.filter("19 * rare <= n").withColumn("i", rank).filter(F.col("i") <= leaders)
+        first = many.filter(f"{rule.more} * rare <= {rule.less} * n").withColumn("i", rank).filter(F.col("i") <= leaders)
         first = first.select(F.col("block").alias("l_block"), F.col("sig").alias("c"))
         members = many.join(first, F.col("block") == F.col("l_block")).select("block", "c", "sig", "n", "rare")
         leader = sets.select(F.col("sig").alias("c"), F.col("tokens").alias("tokens_c"))
         seen = stored(members.select("c", "sig").distinct().join(sets.select("sig", "tokens"), "sig").join(leader, "c")
-                      .select("c", "sig", "tokens_c", "tokens").mapInArrow(_against_leader(local), AGAINST), "against-leader")
+                      .select("c", "sig", "tokens_c", "tokens").mapInArrow(_against_leader(local, rule), AGAINST), "against-leader")
         near = seen.filter(~F.col("far"))
         least = near.groupBy("c").agg(F.min(F.struct("weight", "sig")).alias("m"))
         inner = near.join(least, "c").filter(F.col("weight") + F.col("m.weight") <= 0)
@@ -332,7 +371,7 @@ def _leaders(entries: DataFrame, sets: DataFrame, reps: DataFrame, local) -> lis
         pairs = pairs.unionByName(x.join(y, ["c", "e"]).filter("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
         links += [seen.filter("linked").select(F.col("c").alias("a"), F.col("sig").alias("b")),
                   inner.select(F.col("m.sig").alias("a"), F.col("sig").alias("b")),
-                  stored(verified(possible(pairs.distinct(), reps), sets), "block-links")]
+                  stored(verified(possible(pairs.distinct(), reps, rule), sets, rule), "block-links")]
         # a leader is linked to itself
         state = members.join(seen.select("c", "sig", "linked", "far"), ["c", "sig"]).groupBy("block", "sig").agg(
             F.first("n").alias("n"), F.first("rare").alias("rare"), F.max("far").alias("far"), F.max("linked").alias("linked"))
@@ -357,7 +396,7 @@ def components(edges: DataFrame) -> DataFrame:
                 edges.select(F.col("a").alias("node"), F.col("a").alias("root"))).distinct()
 
 
-def links(docs: DataFrame, head: DataFrame) -> DataFrame:
+def links(docs: DataFrame, head: DataFrame, rule: Rule = CONTRACT) -> DataFrame:
     """Edges (a, b) between signatures that connect what is linked; ``head`` is the stored table of ``heads``."""
     sc = docs.sparkSession.sparkContext
     full = head.filter(F.col("sig").isNotNull())
@@ -365,31 +404,32 @@ def links(docs: DataFrame, head: DataFrame) -> DataFrame:
     counts = stored(_counted(full.select(F.explode("head").alias("token")), WARM), "head-counts")
     common = sc.broadcast(bloom(counts.filter(F.col("df") > COMMON), "token"))
     warm = sc.broadcast(bloom(counts, "token"))
-    entries = full.select("sig", "n", "head").mapInArrow(_plain(common, warm), ENTRY)
+    entries = full.select("sig", "n", "head").mapInArrow(_plain(common, warm, rule), ENTRY)
     # copies repeat entries; a list has COMMON rows at most, so one shuffle by token serves all that follows
     plain = entries.filter(F.col("token").isNotNull()).repartition("token").dropDuplicates(["token", "sig"])
     dense = stored(entries.filter(F.col("token").isNull()).select("sig").distinct().join(reps.select("sig", "rep"), "sig"), "dense")
-    dense_sets = node_sets(docs, dense)
+    dense_sets = node_sets(docs, dense, rule)
     tokens = dense_sets.mapInArrow(_arrow(lambda bs: ([np.frombuffer(b"".join(b.column("tokens").to_pylist()), SIGNED)] for b in bs),
                                           "token", [pa.int64()]), "token long")
     local = sc.broadcast(bloom(_counted(tokens, COMMON), "token"))
-    rows = stored(dense_sets.mapInArrow(_dense(common, local), DENSE), "dense-entries")
+    rows = stored(dense_sets.mapInArrow(_dense(common, local, rule), DENSE), "dense-entries")
     rare = rows.filter("kind = 2")
-    pairs = (_pairs(plain, plain, True).unionByName(_pairs(plain, rows.filter("kind = 1"), False)).unionByName(_pairs(rare, rare, True)))
-    pairs = stored(possible(stored(pairs.distinct(), "pairs"), reps), "possible")
+    pairs = (_pairs(plain, plain, True, rule).unionByName(_pairs(plain, rows.filter("kind = 1"), False, rule)).unionByName(_pairs(rare, rare, True, rule)))
+    pairs = stored(possible(stored(pairs.distinct(), "pairs"), reps, rule), "possible")
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct().join(reps.select("sig", "rep"), "sig")
-    edges = [verified(pairs, node_sets(docs, stored(nodes, "nodes")))]
-    edges += _leaders(rows.filter("kind = 3").select("token", "sig", "n", "rare"), dense_sets, reps, local)
+    edges = [verified(pairs, node_sets(docs, stored(nodes, "nodes"), rule), rule)]
+    edges += _leaders(rows.filter("kind = 3").select("token", "sig", "n", "rare"), dense_sets, reps, local, rule)
     out = edges[0]
     for e in edges[1:]:
         out = out.unionByName(e)
     return out
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id."""
-    head = stored(heads(docs), "heads")
-    roots = components(links(docs, head))
+def jaccard_components(docs: DataFrame, shingle: int = CONTRACT.shingle, percent: int = CONTRACT.percent) -> DataFrame:
+    """Per document: doc_id, n_shingles, component_id. Sets of ``shingle`` words a shingle link from ``percent`` hundredths of similarity."""
+    rule = Rule(shingle, percent)
+    head = stored(heads(docs, rule), "heads")
+    roots = components(links(docs, head, rule))
     classes = head.filter(F.col("sig").isNotNull()).groupBy("sig").agg(F.min("doc_id").alias("first"), F.count("*").alias("k"))
     known = classes.join(roots, F.col("sig") == F.col("node"), "left").filter((F.col("k") > 1) | F.col("root").isNotNull()).select(
         F.col("sig"), "first", F.coalesce("root", "sig").alias("root"))

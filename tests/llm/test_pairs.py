@@ -118,6 +118,56 @@ def test_components_chain(spark):
     assert got == {**{i: 0 for i in range(n + 1)}, 100: 100, 101: 100}
 
 
+# ---- near copies by five words and 0.8
+
+
+def brute_near(rows, shingle=5, percent=80):
+    """Component of each row number, by the rule of the pipeline's stage."""
+    sets = []
+    for _, t in rows:
+        w = words(t)
+        sets.append({tuple(w[i:i + shingle]) for i in range(len(w) - shingle + 1)} if len(w) >= shingle else {tuple(w)} if w else set())
+    root = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if sets[a] and sets[b] and root[a] != root[b] and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
+                low, high = sorted((root[a], root[b]))
+                root = [low if x == high else x for x in root]
+    return root
+
+
+@pytest.mark.parametrize(("seed", "shingle", "percent"), [(1, 5, 80), (2, 5, 80), (3, 4, 85)])
+def test_jaccard_rule_brute_force(spark, seed, shingle, percent):
+    rnd = random.Random(seed)
+    vocabulary = [f"w{i}" for i in range(400)]
+    bases = [[rnd.choice(vocabulary) for _ in range(rnd.choice([40, 90, 140]))] for _ in range(4)]
+    texts = []
+    for k, base in enumerate(bases):
+        texts += family(rnd, base, (200, 140, 90, 3)[k], 6)
+    texts += [" ".join(bases[1][: len(bases[1]) - k]) for k in range(0, 30)] * 2
+    texts += [" ".join(bases[0][:30] + [rnd.choice(vocabulary) for _ in range(60)]) for _ in range(80)]
+    texts += ["", None, "  ", "one", "ONE", "one two", "two one", "a b c d", "A\tb\nc d", "a b c d e"]
+    rnd.shuffle(texts)
+    rows = [(1000 + i, t) for i, t in enumerate(texts)]
+    got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(wide(spark, rows), shingle, percent).collect()}
+    assert got == {1000 + i: 1000 + k for i, k in enumerate(brute_near(rows, shingle, percent))}
+
+
+def test_near_stage_takes_appended_cut_and_replaced_copies(spark):
+    rnd = random.Random(12)
+    text = lambda n: [f"w{rnd.randrange(5000)}" for _ in range(n)]
+    rows = []
+    for k in range(12):
+        base = text(200)
+        changed = [x if i % 50 != 25 else f"new{k}" for i, x in enumerate(base)]  # 2 % of the words, one by one
+        copies = (base, base + text(40), base[:170], changed, base + text(70))  # the last one is below 0.8
+        rows += [(10 * k + n, " ".join(w)) for n, w in enumerate(copies)]
+    got = corpus_pipeline.near_stage(spark, docs(spark, rows), "").collect()
+    want = {rows[i][0] for i, k in enumerate(brute_near(rows)) if i == k}
+    assert {r.doc_id for r in got} == want == {10 * k + n for k in range(12) for n in (0, 4)}
+
+
 # ---- decontamination
 
 
