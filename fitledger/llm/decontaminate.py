@@ -5,15 +5,19 @@ others, so a passage is found although words in it were replaced. Seeds of the b
 a Bloom filter of fixed size, which is all that the scan of the documents gets. Words around the
 seeds that pass it are cut out once per stretch of a document, and their seeds are joined with
 the benchmark's by hash. Each (stretch, item, offset) that this finds is verified word by word:
-the best run along the offset that loses four for a differing word and gains one for an equal
-one must hold enough equal words.
+four fifths of the item's words stand in place along the offset, or the best run along it that loses
+four for a differing word and gains one for an equal one holds enough equal words.
+
+The seeds miss no such pair. Of n words with n / 5 or fewer replaced, and in a run with 12 equal words, four in a
+row are equal (the first mask), but for a few placements in 6, 7, 10, 11 and 15 words; the second mask finds those. Between two
+seeds of a passage that counts are 77 words at most, and 44 before the first or after the last one: less than ``REACH``.
 
 Defined results
 * Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` with A-Z lower-cased. Null and empty texts have none.
-* An item shorter than a mask is looked up as one whole window of its length; one shorter than
-  ``LEAST_ITEM`` words says nothing about where it came from and matches nothing.
-* A pair counts if the run has ``LEAST_RUN`` equal words, or four fifths of the item if that is less.
-* One row per (doc_id, item_id), the best run; repeated rows give the same pairs. Null ids are values like others.
+* An item shorter than ``LEAST_ITEM`` words says nothing about where it came from and matches nothing.
+* A pair counts if four fifths of the item's words stand in place at one offset, or if the run has ``LEAST_RUN`` equal words.
+* One row per (doc_id, item_id), the offset with the most equal words: those in place from the first to the last one, or
+  the run's if fewer than four fifths stand in place; repeated rows give the same pairs. Null ids are values like others.
 """
 
 from __future__ import annotations
@@ -31,11 +35,11 @@ from .common import chunks, stored
 from .wordhash import ALNUM, mix, text_chunks, word_hashes
 
 # Fixed masks; 1 looks at the word, 0 ignores it.
-MASKS = ("11101101", "110110111", "1100110100111", "10110001011001")
+MASKS = ("1111", "110011")
 LEAST_ITEM = 6
 LEAST_RUN = 12
 # Words kept on both sides of a hit; hits closer than this belong to one stretch.
-REACH = 64
+REACH = 80
 # Words hashed at once, so that the arrays stay in the processor's cache.
 BLOCK = 32_768
 
@@ -56,12 +60,6 @@ def seed_hashes(tokens: np.ndarray, mask: str) -> np.ndarray:
     return mix(h)
 
 
-def masks_for(lengths: set[int]) -> list[str]:
-    """The fixed masks and one whole window for each length that is too short for some of them."""
-    longest = max(map(len, MASKS))
-    return [*MASKS, *("1" * n for n in sorted(lengths) if LEAST_ITEM <= n < longest)]
-
-
 def benchmark_items(benchmark: DataFrame) -> DataFrame:
     """item_key, item_id and hashed words of every item with enough of them."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,20 +74,18 @@ def benchmark_items(benchmark: DataFrame) -> DataFrame:
             .mapInArrow(run, "item_key long, item_id long, item_tokens array<long>"))
 
 
-def item_seeds(items: DataFrame, masks: list[str]) -> DataFrame:
+def item_seeds(items: DataFrame) -> DataFrame:
     """(hash, item_key, item_pos) of every seed of every item."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches, 500):
             keys, pos, found = [], [], []
             for key, tokens in zip(b.column("item_key").to_pylist(), b.column("item_tokens").to_pylist(), strict=True):
                 tokens = np.array(tokens, np.int64).view(np.uint64)
-                for mask in masks:
-                    # a whole window is for items of just its length
-                    if "0" in mask or len(mask) == len(tokens):
-                        h = seed_hashes(tokens, mask)
-                        keys += [key] * len(h)
-                        pos.append(np.arange(len(h)))
-                        found.append(h)
+                for mask in MASKS:
+                    h = seed_hashes(tokens, mask)
+                    keys += [key] * len(h)
+                    pos.append(np.arange(len(h)))
+                    found.append(h)
             h = np.concatenate([np.empty(0, np.uint64), *found])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(h.view(np.int64)), pa.array(keys, pa.int64()), pa.array(np.concatenate([np.empty(0, np.int64), *pos]).astype(np.int32))],
@@ -102,17 +98,17 @@ STRETCH = "stretch long, doc_id long, begin int, tokens array<long>, hits array<
 HITS = pa.list_(pa.struct([("pos", pa.int32()), ("hash", pa.int64())]))
 
 
-def stretches(docs: DataFrame, masks: list[str], bits: np.ndarray) -> DataFrame:
+def stretches(docs: DataFrame, bits: np.ndarray) -> DataFrame:
     """Parts of documents around seeds that pass the filter, with the words there and the seeds."""
     shared = docs.sparkSession.sparkContext.broadcast(bits)
-    span = max(map(len, masks))
+    span = max(map(len, MASKS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_chunks(batches):
             tokens, at = word_hashes(b.column("text"), ALNUM)
             own = np.repeat(np.arange(b.num_rows), np.diff(at))  # row of each word
             pos, found = [], []
-            for mask in masks:
+            for mask in MASKS:
                 for start in range(0, len(tokens), BLOCK):
                     h = seed_hashes(tokens[start:start + BLOCK + len(mask) - 1], mask)
                     some = np.flatnonzero(held(shared.value, h))
@@ -153,11 +149,19 @@ def best_run(item: np.ndarray, doc: np.ndarray, offset: int) -> tuple[int, int,
     gain = np.cumsum(np.where(same, 1, -4))
     before = np.append(0, gain[:-1])
     least = np.minimum.accumulate(before)
-    end = int((gain - least).argmax())
-    start = int(before[:end + 1].argmin())
+    score = gain - least
+    # of runs with one score the longest has the most equal words
+    start, end = max(((int(before[:e + 1].argmin()), e) for e in np.flatnonzero(score == score.max()).tolist()), key=lambda x: x[1] - x[0])
     return int(same[start:end + 1].sum()), lo + start, lo + end
 
 
+def in_place(item: np.ndarray, doc: np.ndarray, offset: int) -> tuple[int, int, int]:
+    """(equal words, first and last equal word of the item) of all words with item word i beside document word i + offset."""
+    lo, hi = max(0, -offset), min(len(item), len(doc) - offset)
+    same = lo + np.flatnonzero(item[lo:hi] == doc[lo + offset:hi + offset]) if hi > lo else np.empty(0, np.int64)
+    return (len(same), int(same[0]), int(same[-1])) if len(same) else (0, 0, 0)
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "item_id", "n_match", "n_run", "item_words", "doc_start", "item_start"]
     types = [pa.int64(), pa.int64(), *[pa.int32()] * 5]
@@ -165,8 +169,11 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for r in b.to_pylist():
             item, doc = np.array(r["item_tokens"]), np.array(r["tokens"])
-            n, first, last = best_run(item, doc, r["shift"])
-            if n >= min(LEAST_RUN, -(-4 * len(item) // 5)):
+            n, first, last = in_place(item, doc, r["shift"])
+            whole = 5 * n >= 4 * len(item)
+            if not whole:
+                n, first, last = best_run(item, doc, r["shift"])
+            if whole or n >= LEAST_RUN:
                 rows.append((r["doc_id"], r["item_id"], n, last - first + 1, len(item), r["begin"] + first + r["shift"], first))
         columns = list(zip(*rows, strict=True)) or [()] * 7
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
@@ -176,11 +183,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Per pair: doc_id, item_id, n_match (equal words), n_run (words of the run), item_words, doc_start, item_start
     (words from 0) and share (equal words of the item's)."""
     items = stored(benchmark_items(benchmark), "items")
-    # lengths below the longest mask: a handful at most
-    short = {r.n for r in items.select(F.size("item_tokens").alias("n")).filter(F.col("n") < max(map(len, MASKS))).distinct().collect()}
-    masks = masks_for(short)
-    seeds = stored(item_seeds(items, masks), "item-seeds")
-    found = stored(stretches(docs, masks, bloom(seeds.select("hash").distinct(), "hash")), "stretches")
+    seeds = stored(item_seeds(items), "item-seeds")
+    found = stored(stretches(docs, bloom(seeds.select("hash").distinct(), "hash")), "stretches")
     hits = found.select("stretch", F.explode("hits").alias("h")).select("stretch", F.col("h.pos").alias("pos"), F.col("h.hash").alias("hash"))
     pairs = hits.join(seeds, "hash").select(
         "stretch", "item_key", (F.col("pos") - F.col("item_pos")).alias("shift")).distinct()

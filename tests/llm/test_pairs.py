@@ -1,5 +1,6 @@
 """Jaccard join, decontamination and the pipeline against brute force."""
 
+import itertools
 import random
 import re
 
@@ -240,6 +241,53 @@ def test_decontamination_hot_item_and_empty(spark):
     assert decontaminate.contaminated(wide(spark, rows), benchmark.limit(0)).collect() == []
 
 
+def test_decontamination_finds_every_placement_of_replaced_words(spark):
+    items = {n: [f"n{n}w{i}" for i in range(n)] for n in range(6, 31)}
+    rows, want = [], set()
+    for n, w in items.items():
+        for k in range(1, min(3, n // 5) + 1):
+            for places in itertools.combinations(range(n), k):
+                changed = [f"other{i}" if i in places else x for i, x in enumerate(w)]
+                want.add((len(rows), n, n - k))
+                rows.append((len(rows), " ".join(["before", "it", *changed, "after", "it"])))
+    benchmark = spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id long, text string")
+    got = decontaminate.contaminated(wide(spark, rows), benchmark).collect()
+    assert {(r.doc_id, r.item_id, r.n_match) for r in got} == want
+
+
+def counts(item, doc):
+    """Four fifths of the item in place at one offset, or a best run with LEAST_RUN equal words."""
+    for o in range(-len(item) + 1, len(doc)):
+        same = [doc[k + o] == x for k, x in enumerate(item) if 0 <= k + o < len(doc)]
+        if 5 * sum(same) >= 4 * len(item):
+            return True
+        if sum(same) >= decontaminate.LEAST_RUN:
+            sums = list(itertools.accumulate((1 if x else -4 for x in same), initial=0))
+            runs = [(sums[j] - sums[i], sum(same[i:j])) for i in range(len(sums)) for j in range(i + 1, len(sums))]
+            if max(runs)[1] >= decontaminate.LEAST_RUN:
+                return True
+    return False
+
+
+def test_decontamination_four_fifths_in_place(spark):
+    rnd = random.Random(8)
+    items, rows = [], []
+    # nine words at either end, and every fourth of the words between them replaced
+    for n in [6, 7, 10, 11, 15, 15, 21, 30, 45, 86, 86]:
+        items.append((len(items), [f"i{len(items)}w{k}" for k in range(n)]))
+    for i, w in items:
+        for share in (0.1, 0.2, 0.25, 0.3):
+            for _ in range(6):
+                places = set(rnd.sample(range(len(w)), round(share * len(w))))
+                rows.append((len(rows), " ".join([*["x"] * rnd.randint(0, 3), *(f"o{k}" if k in places else x for k, x in enumerate(w)), "y"])))
+        rows.append((len(rows), " ".join(f"o{k}" if 9 <= k < len(w) - 9 and (k - 9) % 4 == 0 else x for k, x in enumerate(w))))
+        rows.append((len(rows), " ".join(f"o{k}" if k % 5 == 4 else x for k, x in enumerate(w))))
+    want = {(d, i) for d, text in rows for i, w in items if counts(w, alnum(text))}
+    benchmark = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    got = [(r.doc_id, r.item_id) for r in decontaminate.contaminated(wide(spark, rows), benchmark).collect()]
+    assert sorted(got) == sorted(want)
+
+
 # ---- pipeline
 
 
