@@ -5,7 +5,8 @@ partitioned by hash, document and position and sorted the same way, so equal lin
 together and a very common line is spread over many partitions. Each partition is then
 streamed once: a run of equal hashes is counted in documents as it passes and its rows come
 out as dropped. Runs that touch the edge of a partition may go on in the next one; a first
-pass counts those (two rows per partition at most) and their totals decide them.
+pass counts those (two rows per partition at most) and their totals decide them; a document
+that goes on over a partition's edge counts once.
 Documents get a compressed bitmap of kept lines; texts take no part in any of this.
 
 Defined results
@@ -77,31 +78,44 @@ def _runs(c: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(change), other
 
 
+EDGES = "hi long, lo long, n_docs long, begin array<long>, end array<long>"
+
+
 def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Keys of the first and last run of a partition with the documents they have in it."""
+    """First and last run of a partition: key, documents in it, and its first and last row (no_id, doc_id, text_hash, pos)."""
     first = last = None
-    previous = None
     for batch in batches:
         if not batch.num_rows:
             continue
         c = _columns(batch)
         starts, other = _runs(c)
         docs = np.add.reduceat(other.astype(np.int64), starts)
-        for at, n in {0: docs[0], len(starts) - 1: docs[-1]}.items():
+        ends = np.append(starts[1:], batch.num_rows) - 1
+        for at in sorted({0, len(starts) - 1}):
+            begin, end = ([int(c[k][i]) for k in ORDER[2:]] for i in (starts[at], ends[at]))
             key = (int(c["hi"][starts[at]]), int(c["lo"][starts[at]]))
-            if at == 0 and last is not None and key == last[0]:
-                same = previous == tuple(int(c[k][0]) for k in ("no_id", "doc_id", "text_hash"))
-                last = (key, last[1] + int(n) - same)
-                if first[0] == key:
-                    first = last
+            if at == 0 and last is not None and key == last["key"]:
+                last["n"] += int(docs[0]) - (last["end"][:3] == begin[:3])
+                last["end"] = end
             else:
-                last = (key, int(n))
+                last = {"key": key, "n": int(docs[at]), "begin": begin, "end": end}
                 first = first or last
-        previous = tuple(int(c[k][-1]) for k in ("no_id", "doc_id", "text_hash"))
-    found = dict(x for x in (first, last) if x)
+    runs = [] if first is None else [first] if first is last else [first, last]
     yield pa.RecordBatch.from_arrays(
-        [pa.array([k[i] for k in found], pa.int64()) for i in (0, 1)] + [pa.array(list(found.values()), pa.int64())],
-        names=["hi", "lo", "n_docs"])
+        [pa.array([x["key"][i] for x in runs], pa.int64()) for i in (0, 1)] + [pa.array([x["n"] for x in runs], pa.int64())]
+        + [pa.array([x[k] for x in runs], pa.list_(pa.int64())) for k in ("begin", "end")],
+        names=["hi", "lo", "n_docs", "begin", "end"])
+
+
+def _edge_totals(runs: list) -> dict[tuple[int, int], int]:
+    """Documents of each key of ``runs``. A document that goes on in the next partition counts once."""
+    totals: dict[tuple[int, int], int] = {}
+    ends: dict[tuple[int, int], list[int]] = {}
+    for r in sorted(runs, key=lambda r: (r.hi, r.lo, r.begin)):
+        key = (r.hi, r.lo)
+        totals[key] = totals.get(key, 0) + r.n_docs - (key in ends and ends[key] == r.begin[:3])
+        ends[key] = r.end[:3]
+    return totals
 
 
 def _stream(min_docs: int, keep_first: bool, edges: dict[tuple[int, int], tuple[int, tuple]]):
@@ -153,9 +167,8 @@ def dropped_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_
                    .mapInArrow(_emit(min_chars), LINES), "lines")
     # kept by partition, because both passes must see the same edges
     ranged = lines.repartitionByRange(*ORDER).sortWithinPartitions(*ORDER).checkpoint()
-    counted = ranged.mapInArrow(_edges, "hi long, lo long, n_docs long").groupBy("hi", "lo").agg(F.sum("n_docs").alias("n_docs"))
-    # at most two keys per partition, however long the table is
-    edges = {(r.hi, r.lo): [r.n_docs, None] for r in counted.collect()}
+    # at most two rows per partition, however long the table is
+    edges = {key: [n, None] for key, n in _edge_totals(ranged.mapInArrow(_edges, EDGES).collect()).items()}
     if keep_first and edges:
         heads = (lines.join(F.broadcast(spark.createDataFrame(list(edges), "hi long, lo long")), ["hi", "lo"])
                  .groupBy("hi", "lo").agg(F.min(F.struct(*ORDER[2:])).alias("head")))

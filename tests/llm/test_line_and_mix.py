@@ -71,6 +71,23 @@ def test_lines_hot_key_over_partitions(spark):
     assert all(kept[f"own {i}"] == 1 for i in range(600)) and all(kept[f"pair {i}"] == 2 for i in range(300))
 
 
+def test_lines_documents_over_partition_edges_count_once(spark):
+    rows = [(i, "\n".join([f"own {i}", *["nine documents"] * 300]), "s") for i in range(9)]
+    rows += [(50, "\n".join(["one document"] * 4000), "s"), (None, "\n".join(["no id"] * 2000), "s")]
+    rows += [(100 + i, "\n".join(["ten documents"] * 200), "s") for i in range(10)]
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for parts in ("1", "7", "40"):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            assert run_lines(spark, rows, 10) == expected_lines(rows, 10, 1)
+            kept_first = line_dedup.dropped_lines(docs(spark, rows), 10, keep_first=True).count()
+            assert kept_first == 10 * 200 - 1
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_lines_min_chars_and_long_text(spark):
     rows = [(i, "ab\nabc\n" + "z" * 200_000, "s") for i in range(3)]
     assert run_lines(spark, rows, 3, 3) == expected_lines(rows, 3, 3)
