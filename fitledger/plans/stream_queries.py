@@ -70,7 +70,7 @@ OUTCOME = "CASE WHEN action IN ('failed_both_rungs', 'discover_failed', 'escalat
 def stream_retry_state(t):
     outcomes = events_stream(t).filter("doc IS NOT NULL AND ts IS NOT NULL").select(
         F.col("doc").alias("id"), T.epoch_timestamp(F.col("ts")).alias("at"), "ts", "event_id", F.expr(OUTCOME).alias("outcome"))
-    return T.drain_updates(T.retry_state(outcomes), ["id"], "retry")
+    return T.drain_updates(T.retry_state(outcomes, late=None), ["id"], "retry")
 
 
 @query("stream_stuck_items", """

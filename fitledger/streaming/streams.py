@@ -148,28 +148,34 @@ def _retry_step(status: str, attempts: int, heals: int, outcome: str) -> tuple[s
     return "done", attempts, heals
 
 
-def retry_state(outcomes: DataFrame, at: str = "at", late: str = "1 minute") -> DataFrame:
-    """State of every item after its outcomes in (ts, event_id) order, whatever batches they come
-    in; use update mode. An outcome is final once the watermark has passed it. Until then it waits,
-    and the state given out counts it in the place it has so far.
+def retry_state(outcomes: DataFrame, at: str = "at", late: str | None = "1 minute") -> DataFrame:
+    """State of every item after its outcomes in (ts, event_id) order; use update mode.
+
+    With ``late`` None every outcome counts, whatever batches they come in: all outcomes of an item stay in its
+    state. With a delay the state is small: an outcome is final once the watermark, that of all items, has passed it.
+    Until then it waits, and the state given out counts it in the place it has so far. An outcome that comes after the
+    watermark has passed it is dropped by Spark and does not count; ``numRowsDroppedByWatermark`` of the query's progress counts
+    those. So a backlog whose files are not in time order needs None.
     outcomes: id, at (timestamp), ts (the same in seconds), event_id, outcome (done, error or heal)"""
     def fold(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         *now, ts, ids, what = state.get if state.exists else ("pending", 0, 0, [], [], [])
-        mark = state.getCurrentWatermarkMs()
+        mark = float("-inf") if late is None else state.getCurrentWatermarkMs()
         rows = _waiting(batches, (ts, ids, what), "outcome")
         passed = sum(int(r[0] * 1000) <= mark for r in rows)
         for _, _, outcome in rows[:passed]:
             now = _retry_step(*now, outcome)
         rows = rows[passed:]
         state.update((*now, *_hold(rows)))
-        if rows:
+        if rows and late is not None:
             state.setTimeoutTimestamp(int(rows[0][0] * 1000))
         for _, _, outcome in rows:
             now = _retry_step(*now, outcome)
         yield pd.DataFrame([(key[0], *now)], columns=["id", "status", "attempts", "heal_count"])
 
-    return outcomes.withWatermark(at, late).groupBy("id").applyInPandasWithState(
-        fold, RETRY_SCHEMA, f"{RETRY_STATE}, {WAITING}", "update", GroupStateTimeout.EventTimeTimeout)
+    # without a timeout Spark drops no row
+    timeout = GroupStateTimeout.NoTimeout if late is None else GroupStateTimeout.EventTimeTimeout
+    return (outcomes if late is None else outcomes.withWatermark(at, late)).groupBy("id").applyInPandasWithState(
+        fold, RETRY_SCHEMA, f"{RETRY_STATE}, {WAITING}", "update", timeout)
 
 
 STUCK_SCHEMA = "id long, since double"

@@ -39,6 +39,28 @@ def test_retry_state_keeps_what_the_watermark_passed(spark, tmp_path):
     assert [tuple(r) for r in got] == [(1, "failed", 3, 0), (2, "done", 0, 0)]
 
 
+# The last file is older than the watermark of the others.
+BACKLOG = [[(1, 1000.0, 4, "error"), (2, 1000.0, 5, "done")], [(2, 5000.0, 6, "error")], [(2, 6000.0, 7, "heal")],
+           [(1, 100.0, 1, "error"), (1, 101.0, 2, "error"), (3, 50.0, 3, "error")]]
+
+
+@pytest.mark.parametrize("order", [(0, 1, 2, 3), (3, 2, 1, 0), (1, 3, 0, 2)])
+def test_retry_state_counts_a_backlog_in_any_order(spark, tmp_path, order):
+    rows = stream(spark, tmp_path, [BACKLOG[n] for n in order])
+    rows = rows.select("id", F.timestamp_seconds("ts").alias("at"), "ts", "event_id", F.col("what").alias("outcome"))
+    got = sorted(T.drain_updates(T.retry_state(rows, late=None), ["id"], "retry").collect())
+    assert [tuple(r) for r in got] == [(1, "failed", 3, 0), (2, "pending", 1, 0), (3, "pending", 1, 0)]
+
+
+def test_retry_state_with_a_delay_tells_what_it_drops(spark, tmp_path):
+    rows = stream(spark, tmp_path / "in", BACKLOG)
+    rows = rows.select("id", F.timestamp_seconds("ts").alias("at"), "ts", "event_id", F.col("what").alias("outcome"))
+    q = (T.retry_state(rows).writeStream.outputMode("update").foreachBatch(lambda batch, n: batch.collect())
+         .option("checkpointLocation", str(tmp_path / "progress")).trigger(availableNow=True).start())
+    q.awaitTermination()
+    assert sum(op.numRowsDroppedByWatermark for p in q.recentProgress for op in p.stateOperators) == 3
+
+
 WORK = [(1, 1000.0, 2, "in_progress"), (1, 990.0, 1, "done")]
 CLOCK = [(9, 5000.0, 9, "done")]
 
