@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, host_quality, jaccard_join, language_id, license_scan, line_dedup, mixing, token_counts, toxicity, warc
+from . import decontaminate, fill_middle, host_quality, jaccard_join, language_id, license_scan, line_dedup, mixing, token_counts, toxicity, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": lambda spark, sf: language_id.language_digest(table(spark, sf, "documents")),
     "op9_decontaminate": lambda spark, sf: decontaminate.contaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark")),
     "op10_line_dedup": lambda spark, sf: line_dedup.line_digest(table(spark, sf, "documents"), min_docs=10, min_chars=1),
+    "op11_fill_middle": lambda spark, sf: fill_middle.fill_middle_digest(table(spark, sf, "documents")),
 }
 
 ORACLES: dict[str, str] = {
@@ -27,4 +28,5 @@ ORACLES: dict[str, str] = {
     "op4_mixing": mixing.MIX_SQL,
     "op7_host_quality": host_quality.QUALITY_SQL,
     "op10_line_dedup": line_dedup.LINE_SQL,
+    "op11_fill_middle": fill_middle.FILL_SQL,
 }
