@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import centroids, decontaminate, fill_middle, host_quality, jaccard_join, language_id, license_scan, line_dedup, mixing, token_counts, toxicity, warc
+from . import ans_ids, centroids, decontaminate, fill_middle, host_quality, jaccard_join, language_id, license_scan, line_dedup, mixing, token_counts, toxicity, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontaminate": lambda spark, sf: decontaminate.contaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark")),
     "op10_line_dedup": lambda spark, sf: line_dedup.line_digest(table(spark, sf, "documents"), min_docs=10, min_chars=1),
     "op11_fill_middle": lambda spark, sf: fill_middle.fill_middle_digest(table(spark, sf, "documents")),
+    "op12_token_ids": lambda spark, sf: ans_ids.ids_digest(table(spark, sf, "documents")),
     "op13_centroids": lambda spark, sf: centroids.cluster_digest(table(spark, sf, "embeddings")),
 }
 
