@@ -118,7 +118,7 @@ def best_matches(matches: DataFrame) -> DataFrame:
 def match_records(best: DataFrame, rows: DataFrame, approvals: DataFrame,
                   method: str = v.METHOD_DETERMINISTIC) -> DataFrame:
     """Denormalised records: the row's part numbers, or the document's when it has none. A ``method``
-    that ``best`` brings along is kept.
+    and a ``rationale`` that ``best`` brings along are kept.
 
     approvals: doc, part_numbers, category, device_name, manufacturer
     """
@@ -129,7 +129,7 @@ def match_records(best: DataFrame, rows: DataFrame, approvals: DataFrame,
             .select("doc", "vehicle_id", "tier", (F.col("method") if "method" in best.columns else F.lit(method).alias("method")),
                     F.when(F.size("_row_pns") > 0, F.col("_row_pns"))
                     .otherwise(F.col("_doc_pns")).alias("part_numbers"),
-                    "category", "device_name", "manufacturer"))
+                    "category", "device_name", "manufacturer", *(c for c in ("rationale",) if c in best.columns)))
 
 
 def unresolved_rows(rows: DataFrame, catalog: DataFrame, bound: int = BROADCAST_ROW_BOUND) -> DataFrame:
@@ -141,6 +141,14 @@ def unresolved_rows(rows: DataFrame, catalog: DataFrame, bound: int = BROADCAST_
                           fits_broadcast(catalog, bound), "left_anti", _fits()).select(*ROW_KEY, *keep)
 
 
+def unresolved_after(rows: DataFrame, catalog: DataFrame, matches: DataFrame, bound: int = BROADCAST_ROW_BOUND) -> DataFrame:
+    """As ``unresolved_rows``, from matches that are there already: rows meet the catalog once, and
+    what is joined here are row keys."""
+    open_rows = rows.join(matches.select(*ROW_KEY).distinct(), ROW_KEY, "left_anti")
+    counted = candidate_counts(open_rows, catalog, bound)
+    return counted.filter(F.col("n_candidates") > 0).select(*ROW_KEY, "make", "year_start", "year_end", "n_candidates")
+
+
 def resolver_requests(unresolved: DataFrame, catalog: DataFrame, part_size: int,
                       bound: int = BROADCAST_ROW_BOUND) -> DataFrame:
     """What to send to a resolver: doc, row_idx, n_candidates, part_no and ``candidate_ids``, at most
@@ -201,16 +209,17 @@ def resolver_reviews(outcomes: DataFrame) -> DataFrame:
 
 def merge_resolved(best: DataFrame, outcomes: DataFrame) -> DataFrame:
     """Deterministic matches always stay; of accepted decisions the first one in ``seq``
-    order adds a vehicle that is still missing, at tier generic."""
+    order adds a vehicle that is still missing, at tier generic and with its rationale."""
     added = (outcomes.filter(F.col("outcome") == "accepted")
-             .select("doc", "row_idx", "seq", F.explode("valid_ids").alias("vehicle_id"))
-             .groupBy("doc", "vehicle_id").agg(F.min(F.struct("seq", "row_idx")).alias("_first")))
+             .select("doc", "row_idx", "seq", "rationale", F.explode("valid_ids").alias("vehicle_id"))
+             .groupBy("doc", "vehicle_id").agg(F.min(F.struct("seq", "row_idx", "rationale")).alias("_first")))
     # Both sides are grouped by (doc, vehicle_id), so this join needs no further shuffle.
     both = best.select("doc", "vehicle_id", "tier", "row_idx").join(added, ["doc", "vehicle_id"], "full_outer")
     return both.select(
         "doc", "vehicle_id", F.coalesce("tier", F.lit("generic")).alias("tier"),
         F.coalesce("row_idx", "_first.row_idx").alias("row_idx"),
-        F.when(F.col("tier").isNotNull(), v.METHOD_DETERMINISTIC).otherwise(v.METHOD_RESOLVED).alias("method"))
+        F.when(F.col("tier").isNotNull(), v.METHOD_DETERMINISTIC).otherwise(v.METHOD_RESOLVED).alias("method"),
+        F.when(F.col("tier").isNull(), F.nullif(F.col("_first.rationale"), F.lit(""))).alias("rationale"))
 
 
 def match_counts(approvals: DataFrame, best: DataFrame) -> DataFrame:

@@ -145,9 +145,13 @@ def merge_upsert(current: DataFrame, changes: DataFrame, key: str = "doc", order
     """Table after a partial upsert. changes: key, and per column c a flag ``has_c`` next to
     ``c``; a column whose flag is not true keeps its value, a null with the flag overwrites.
     Where keys repeat, ``order`` names the column that tells which change came last: each column
-    takes the last change that flags it."""
+    takes the last change that flags it. Without ``order`` a repeated key is an error."""
     cols = [c for c in current.columns if c != key]
-    if order:
+    if order is None:
+        # grouped by the key of the join below, so this needs no shuffle of its own
+        one = F.when(F.count("*") > 1, F.raise_error(F.lit("a key of the changes repeats; name their order"))).otherwise(F.lit(True))
+        changes = changes.groupBy(key).agg(*[F.any_value(c).alias(c) for c in changes.columns if c != key], one.alias("_one")).filter("_one").drop("_one")
+    else:
         changes = changes.groupBy(key).agg(*[
             x for c in cols for x in (F.max_by(c, F.when(F.col("has_" + c), F.col(order))).alias(c), F.max("has_" + c).alias("has_" + c))])
     new = changes.select(F.col(key).alias("_k"), *[

@@ -230,6 +230,16 @@ SHARED_VIEWS = {
                CASE WHEN length(text) % 2 = 0 THEN 'NA' END AS induction,
                CAST(4 + length(text) % 3 AS INT) AS cylinders
         FROM documents""",
+    # What a daily run works on: approvals that wait, each with a record, and the record's rows numbered as they stand in it.
+    "b_run_records": """
+        SELECT doc, eo_number AS doc_key, CASE WHEN doc % 17 = 0 THEN concat('X-', CAST(doc AS STRING)) ELSE eo_number END AS eo_number,
+               manufacturer, device_name, category, CAST(55 + doc % 45 AS DOUBLE) / 100 AS confidence,
+               CAST(doc * 7919 % 1000 AS DOUBLE) / 1000 AS draw, first_seen
+        FROM b_approvals WHERE state IN ('discovered', 'matching')""",
+    "b_run_rows": """
+        SELECT r.doc, r.row_idx AS rid, row_number() OVER (PARTITION BY r.doc ORDER BY r.row_idx) - 1 AS row_idx,
+               r.make, r.model, r.year_start, r.year_end, r.displacement_l, r.induction, r.cylinders, r.part_number
+        FROM b_app_rows r JOIN b_run_records n ON n.doc = r.doc""",
     # Most documents replace the one forty places before them: chains of many lengths.
     "b_edges": """
         SELECT doc_id AS doc, CASE WHEN doc_id % 6 > 0 AND doc_id >= 40 THEN doc_id - 40 END AS prev

@@ -1,18 +1,24 @@
-"""The daily run as one batch over all records: audit, match and the rows to write.
+"""The daily run as one batch over all records: audit, match and write the tables.
 
 No step handles one record at a time. The records are expected as extracted; a caller's model
 may have produced them between sources.inference.request_lines and read_responses.
+
+``audited`` and what matching finds are written once under the run's folder and read by all outputs. The
+tables of ``DailyTables`` are changed by key, so a run touches the buckets of its documents and of the approvals they
+supersede, and leaves all other files alone. A run can be repeated: all its changes are by key.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import vocab as v
-from ..operators import matching as M
 from ..operators import quality as Q
 from ..operators import records as R
+from ..sources.tables import BUCKETS, KeyedTable, append_run, read_runs
+from .matching_run import EVENT, REVIEW, Matched, event, match_documents
 
 # Fields of a record that a correction may change; ``notes`` of the audited rows are those of the verdict.
 RECORD_FIELDS = ["eo_number", "confidence", "category", "part_numbers", "fitment", "issue_date", "manufacturer",
@@ -56,26 +62,138 @@ def audit(routed: DataFrame, verdicts: DataFrame) -> DataFrame:
         "_r", "value", "merged_json", "faults", "valid", "fix_valid", "fix_issues", "corrections")
 
 
-def application_rows(records: DataFrame) -> DataFrame:
-    """Application rows of records, one per row, with their position."""
-    return records.select("doc", F.posexplode("fitment").alias("row_idx", "_r")).select(
-        "doc", F.col("row_idx").cast("long").alias("row_idx"), "_r.*")
+APPROVALS = ("doc BIGINT, eo_number STRING, state STRING, first_seen DOUBLE, device_name STRING, manufacturer STRING, category STRING, "
+             "part_numbers ARRAY<STRING>, supersedes ARRAY<STRING>, superseded_by BIGINT, confidence DOUBLE, audited_at DOUBLE, match_count BIGINT")
+MATCHES = ("doc BIGINT, vehicle_id BIGINT, tier STRING, method STRING, part_numbers ARRAY<STRING>, category STRING, "
+           "device_name STRING, manufacturer STRING, rationale STRING")
+EXTRACTIONS = "doc BIGINT, version INT, payload STRING, created_at DOUBLE"
+REVIEWS = f"id STRING, {REVIEW}, status STRING, created_at DOUBLE, resolved_at DOUBLE"
+
+
+class DailyTables:
+    """The tables that runs change, under one folder that driver and executors share."""
+
+    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS):
+        self.spark, self.root = spark, root.rstrip("/")
+        self.approvals = KeyedTable(spark, f"{self.root}/approvals", APPROVALS, buckets=buckets)
+        self.matches = KeyedTable(spark, f"{self.root}/matches", MATCHES, buckets=buckets)
+        self.extractions = KeyedTable(spark, f"{self.root}/extractions", EXTRACTIONS, buckets=buckets)
+        self.reviews = KeyedTable(spark, f"{self.root}/reviews", REVIEWS, buckets=buckets)
+
+    def create(self, **rows: DataFrame) -> None:
+        """First rows of the tables; columns that are not given are null, tables that are not given are empty."""
+        for name in ("approvals", "matches", "extractions", "reviews"):
+            table = getattr(self, name)
+            empty = self.spark.createDataFrame([], table.schema)
+            table.create(empty.unionByName(rows[name], allowMissingColumns=True) if name in rows else empty)
+
+    def keep(self, run_id: str) -> Callable[[DataFrame, str], DataFrame]:
+        """Writes a table of a run and reads it back."""
+        def write(df: DataFrame, name: str) -> DataFrame:
+            path = f"{self.root}/runs/{run_id}/{name}"
+            df.write.mode("overwrite").parquet(path)
+            return self.spark.read.schema(df.schema).parquet(path)
+        return write
+
+    def add_events(self, events: DataFrame, run_id: str) -> None:
+        append_run(events.withColumn("run_id", F.lit(run_id)), f"{self.root}/events")
+
+    def events(self) -> DataFrame:
+        return read_runs(self.spark, f"{self.root}/events", EVENT)
+
+    def add_reviews(self, reviews: DataFrame, docs: DataFrame, run_id: str, now: float) -> None:
+        """Opens reviews of a run's ``docs``. Their ids are made of run and source, so a repeated run does not open them twice."""
+        new = reviews.select(F.concat_ws("-", F.lit(run_id), "doc", "source").alias("id"), *reviews.columns, F.lit("open").alias("status"),
+                             F.lit(now).alias("created_at"), F.lit(None).cast("double").alias("resolved_at"))
+        buckets = self.reviews.touched(docs)
+        old = self.reviews.read(buckets).join(docs.select("doc"), "doc", "left_semi").join(new.select("id"), "id", "left_anti")
+        self.reviews.replace(docs, old.unionByName(new))
+
+    def store_matches(self, done: Matched) -> None:
+        """Every document that was matched loses its old matches, also when it has no new ones."""
+        self.matches.replace(done.totals, done.matches.withColumn("vehicle_id", F.col("vehicle_id").cast("bigint")))
+
+
+def audited_records(records: DataFrame, baseline: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """Identity, repeated rows, rules, routing and second opinions in one pass over the records.
 
+    records: doc, doc_key (the number the document was asked for by), draw and the record fields. ``stored`` is the record as it
+    goes into the extraction: corrections of records that were not accepted stay out of it.
+    """
+    fixed = Q.with_deduped_rows(Q.fix_identity(records))
+    fields = [f for f in RECORD_FIELDS if f in fixed.columns]
+    before = route(fixed, baseline).withColumn("_before", F.to_json(F.struct(*fields)))
+    out = audit(before, verdicts)
+    after = F.when(F.col("outcome") == "accepted", F.to_json(F.struct(*fields))).otherwise(F.col("_before"))
+    return out.withColumn("stored", after).drop("_before")
+
+
+def audit_events(audited: DataFrame) -> DataFrame:
+    """Events of the audit, several a record, without a shuffle."""
+    agent, accepted = "auditor", F.col("outcome") == "accepted"
+    found = F.array_compact(F.array(
+        F.when(F.col("key_corrected"), event(agent, "eo_number_corrected_from_identity", model_read=F.col("key_read"))),
+        F.when(F.col("removed") > 0, event(agent, "deduped_rows", removed=F.col("removed"))),
+        F.when(F.col("reason").isNotNull(), event(agent, "critiquing")),
+        F.when(accepted, event(agent, "accepted")).otherwise(event(agent, "escalated", reason=F.col("final_reason")))))
+    return audited.select("doc", F.explode(found).alias("e")).select("doc", "e.*")
+
+
+def superseded(accepted: DataFrame, tables: DailyTables) -> DataFrame:
+    """(doc, heir) of known approvals that accepted ones name as predecessors; of several heirs the greatest one counts."""
+    named = accepted.select(F.explode("supersedes").alias("_old"), F.col("doc").alias("_new"))
+    heirs = named.groupBy(F.col("_old").cast("bigint").alias("doc")).agg(F.max("_new").alias("heir")).filter("doc IS NOT NULL")
+    known = tables.approvals.read(tables.approvals.touched(heirs)).select("doc")
+    return heirs.join(known, "doc", "left_semi")
+
+
+def approval_changes(audited: DataFrame, totals: DataFrame, heirs: DataFrame, now: float) -> DataFrame:
+    """One row per approval that changes, with a flag for every column that does."""
+    accepted = F.col("outcome") == "accepted"
+    taken = ["device_name", "manufacturer", "category", "part_numbers", "supersedes", "confidence"]
+    own = audited.join(totals.select("doc", "match_count"), "doc", "left").select(
+        "doc", accepted.alias("_accepted"), *taken, "match_count").join(heirs, "doc", "full_outer")
+    old = F.col("heir").isNotNull()
+    state = F.when(old, "superseded").when(F.col("_accepted"), "complete").otherwise("needs_review")
+    done = F.coalesce("_accepted", F.lit(False))
+    return own.select("doc", *taken, "match_count", state.alias("state"), F.lit(now).alias("audited_at"), F.col("heir").alias("superseded_by"),
+                      *(done.alias(f"has_{c}") for c in [*taken, "match_count", "audited_at"]),
+                      F.lit(True).alias("has_state"), old.alias("has_superseded_by"))
 
-def process(records: DataFrame, baseline: DataFrame, catalog: DataFrame, verdicts: DataFrame) -> dict[str, DataFrame]:
-    """Tables a run writes: ``audited`` records, ``reviews``, ``matches`` of accepted records,
-    ``approvals`` (state and match count) and ``events``."""
-    deduped = Q.with_deduped_rows(records)
-    audited = audit(route(deduped, baseline), verdicts)
+
+def run_batch(tables: DailyTables, records: DataFrame, baseline: DataFrame, catalog: DataFrame, verdicts: DataFrame,
+              decisions: DataFrame, invalid: DataFrame, run_id: str, now: float) -> None:
+    """One daily run: records to audited records, matches, reviews, approvals and events.
+
+    decisions and invalid are a resolver's answers, as in ``match_documents``. An accepted record's approval is complete and an
+    escalated one's needs review; an approval that an accepted one names is superseded, whatever became of it in
+    this run, so the outcome does not depend on the order of the records.
+    """
+    keep = tables.keep(run_id)
+    audited = keep(audited_records(records, baseline, verdicts), "audited")
     accepted = audited.filter(F.col("outcome") == "accepted")
-    rows = application_rows(accepted)
-    best = M.best_matches(M.application_matches(rows, catalog))
-    counts = M.match_counts(accepted, best)
-    approvals = audited.select("doc", "outcome").join(counts, "doc", "left").select(
-        "doc", F.when(F.col("outcome") == "accepted", "complete").otherwise("needs_review").alias("state"), "match_count")
-    reviews = audited.filter(F.col("outcome") == "escalated").select(
-        "doc", F.col("final_reason").alias("reason"), F.col("notes").alias("agent_notes"), F.lit("open").alias("status"))
-    events = deduped.filter(F.col("removed") > 0).select(
-        "doc", F.lit("auditor").alias("agent"), F.lit("deduped_rows").alias("action"), "removed")
-    return {"audited": audited, "reviews": reviews, "matches": best.withColumn("method", F.lit(v.METHOD_DETERMINISTIC)),
-            "approvals": approvals, "events": events}
+    escalated = audited.filter(F.col("outcome") == "escalated")
+    done = match_documents(accepted.select("doc", "part_numbers", "category", "device_name", "manufacturer", "fitment"), catalog, decisions, invalid, keep)
+    totals = keep(done.totals, "totals")
+    heirs = keep(superseded(accepted, tables), "superseded")
+
+    fields = [f for f in RECORD_FIELDS if f in audited.columns]
+    opened = escalated.select("doc", F.lit("audit").alias("source"), F.col("final_reason").alias("reason"), F.col("notes").alias("agent_notes"),
+                              F.to_json(F.struct(*fields)).alias("payload"))
+    tables.store_matches(Matched(done.matches, totals, done.reviews, done.events))
+    tables.add_reviews(opened.unionByName(done.reviews), audited, run_id, now)
+    latest = audited.select("doc", F.col("stored").alias("payload"))
+    numbered = tables.extractions.read(tables.extractions.touched(audited)).join(audited.select("doc"), "doc", "left_semi")
+    tables.extractions.replace(audited, updated_extractions(numbered, latest, now))
+    tables.approvals.upsert(approval_changes(audited, totals, heirs, now))
+    tables.add_events(audit_events(audited).unionByName(done.events), run_id)
+
+
+def updated_extractions(versions: DataFrame, latest: DataFrame, now: float) -> DataFrame:
+    """Stored versions with the payload of the last one replaced; a document without any gets its first."""
+    last = versions.groupBy("doc").agg(F.max("version").alias("_last"))
+    given = latest.join(last, "doc", "left")
+    old = versions.join(last, "doc").filter(F.col("version") < F.col("_last")).drop("_last")
+    new = given.join(versions.select("doc", F.col("version").alias("_last"), "created_at"), ["doc", "_last"], "left").select(
+        "doc", F.coalesce("_last", F.lit(1)).alias("version"), "payload", F.coalesce("created_at", F.lit(now)).alias("created_at"))
+    return old.unionByName(new)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import match as M
 from ..operators import matching as op
+from ..session import reliable
 from .registry import query
 
 # SQL shared by the checks below: the plain form of candidates, matches and best match.
@@ -147,16 +148,19 @@ def resolver_review(t):
 
 @query("resolver_merge", f"""
   WITH best AS ({BEST}), extra AS (
-    SELECT doc, vehicle_id, row_idx, row_number() OVER (PARTITION BY doc, vehicle_id ORDER BY seq, row_idx) AS rn
-    FROM (SELECT doc, row_idx, seq, first_id AS vehicle_id FROM ({OUTCOMES}) WHERE outcome = 'accepted' AND first_id IS NOT NULL
+    SELECT doc, vehicle_id, row_idx, rationale, row_number() OVER (PARTITION BY doc, vehicle_id ORDER BY seq, row_idx, rationale) AS rn
+    FROM (SELECT doc, row_idx, seq, first_id AS vehicle_id, rationale FROM ({OUTCOMES}) WHERE outcome = 'accepted' AND first_id IS NOT NULL
           UNION ALL
-          SELECT doc, row_idx, seq, second_id FROM ({OUTCOMES}) WHERE outcome = 'accepted' AND second_id IS NOT NULL))
-  SELECT doc, vehicle_id, tier, row_idx, 'deterministic' AS method FROM best
+          SELECT doc, row_idx, seq, second_id, rationale FROM ({OUTCOMES}) WHERE outcome = 'accepted' AND second_id IS NOT NULL))
+  SELECT doc, vehicle_id, tier, row_idx, 'deterministic' AS method, NULL AS rationale FROM best
   UNION ALL
-  SELECT e.doc, e.vehicle_id, 'generic', e.row_idx, 'gemini_resolved' FROM extra e
+  SELECT e.doc, e.vehicle_id, 'generic', e.row_idx, 'gemini_resolved', e.rationale FROM extra e
   WHERE rn = 1 AND NOT EXISTS (SELECT 1 FROM best b WHERE b.doc = e.doc AND b.vehicle_id = e.vehicle_id)""")
 def resolver_merge(t):
-    return op.merge_resolved(op.best_matches(matches(t)), outcomes(t))
+    # the matches answer two questions, so rows meet the catalog once and the result is kept
+    hits = reliable(matches(t))
+    left = op.unresolved_after(app_rows(t), t.b_catalog, hits)
+    return op.merge_resolved(op.best_matches(hits), op.resolver_outcomes(decisions(t), left, t.b_catalog))
 
 
 @query("model_prefix_match", """
