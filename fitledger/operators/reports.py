@@ -62,7 +62,7 @@ def cost_projection(calls: DataFrame, documents: int = v.CORPUS_DOCUMENTS) -> Da
     return avg.withColumn("projected_usd", F.lit(documents) * token_cost(F.col("avg_in"), F.col("avg_out")))
 
 
-def event_timeline(events: DataFrame, keys: list[str], order: list[str], chunk: Column) -> DataFrame:
+def event_timeline(events: DataFrame, keys: list[str], order: list[str], chunk: Column | None = None) -> DataFrame:
     """events with ``elapsed``: seconds since the last event of the same timeline whose time is
     known; null for the first one and for events without a time. Times do not decrease along
     ``order``. A very long timeline is worked on in chunks, not in one task."""

@@ -167,10 +167,10 @@ def replace_by_key(existing: DataFrame, processed: DataFrame, new: DataFrame, ke
     return existing.join(processed.select(key).distinct(), key, "left_anti").unionByName(new)
 
 
-def number_versions(extractions: DataFrame, key: str = "doc", span: int = 30 * 86400) -> DataFrame:
-    """extractions with ``version``: 1, 2, ... per key in order of creation. Counted by spans of
-    ``span`` seconds, so that a key with very many versions is not one task's work."""
-    return running_count(extractions, [key], ["created_at", "id"], F.floor(F.col("created_at") / span), "version")
+def number_versions(extractions: DataFrame, key: str = "doc") -> DataFrame:
+    """extractions with ``version``: 1, 2, ... per key in order of creation. Counted by range partitions, so that
+    a key with very many versions is not one task's work."""
+    return running_count(extractions, [key], ["created_at", "id"], None, "version")
 
 
 def constrained_topk(approvals: DataFrame, registry: DataFrame, n: int, key: str = "doc") -> DataFrame:

@@ -12,7 +12,7 @@ from ..functions import vocab as v
 from ..operators import matching as M
 
 EVENT = ("doc BIGINT, agent STRING, action STRING, reason STRING, model_read STRING, removed INT, `count` BIGINT, "
-         "gemini_resolved BIGINT, fitment_index BIGINT")
+         "gemini_resolved BIGINT, fitment_index BIGINT, confidence DOUBLE")
 REVIEW = "doc BIGINT, source STRING, reason STRING, agent_notes STRING, payload STRING"
 
 
@@ -34,7 +34,8 @@ def application_rows(records: DataFrame) -> DataFrame:
 
 def event(agent: str, action: str, **fields: Column) -> Column:
     """One event as a struct with all fields of EVENT but ``doc``."""
-    kinds = {"reason": "string", "model_read": "string", "removed": "int", "count": "bigint", "gemini_resolved": "bigint", "fitment_index": "bigint"}
+    kinds = {"reason": "string", "model_read": "string", "removed": "int", "count": "bigint", "gemini_resolved": "bigint", "fitment_index": "bigint",
+             "confidence": "double"}
     values = [fields.get(name, F.lit(None)).cast(kind).alias(name) for name, kind in kinds.items()]
     return F.struct(F.lit(agent).alias("agent"), F.lit(action).alias("action"), *values)
 

@@ -180,7 +180,7 @@ SPLIT_SQL = f"""
 @query("ingest_split", SPLIT_SQL)
 def ingest_split(t):
     lines, items, stored = ingest_inputs(t)
-    out = I.ingest_split(lines, items, stored, 0.5, F.floor(F.col("seq") / 2000))
+    out = I.ingest_split(lines, items, stored, 0.5)
     return out.select("seq", "eo_number", "item_id", F.col("usd").cast("double").alias("usd"), "outcome")
 
 
@@ -371,8 +371,7 @@ def latest_extraction(t):
      ROWS UNBOUNDED PRECEDING) AS spent FROM b_items) WHERE spent <= 200000""")
 def budget_prefix(t):
     items = t.b_items.withColumn("cost", F.floor(F.col("cost_usd") * 1000))
-    month = F.floor(F.col("created_at") / (30 * 86400))
-    return O.budget_prefix(items, ["run_id"], ["created_at", "id"], "cost", 200_000, month).select(
+    return O.budget_prefix(items, ["run_id"], ["created_at", "id"], "cost", 200_000).select(
         "id", "run_id", F.col("spent").cast("double").alias("spent"))
 
 

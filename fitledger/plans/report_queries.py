@@ -86,7 +86,7 @@ def cost_projection(t):
     round(ts - max(ts) OVER (PARTITION BY run_id, doc ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 5) AS elapsed FROM b_events""")
 def event_timeline(t):
     events = P.with_unknown(t.b_events)
-    out = P.event_timeline(events, ["run_id", "doc"], ["event_id"], F.floor(F.col("event_id") / 2000))
+    out = P.event_timeline(events, ["run_id", "doc"], ["event_id"])
     return out.select("event_id", "run_id", "doc", F.round("elapsed", 5).alias("elapsed"))
 
 

@@ -41,10 +41,3 @@ RUNS = ("id STRING, trigger STRING, status STRING, started_at DOUBLE, finished_a
 RUN_EVENTS = ("run_id STRING, ts DOUBLE, agent STRING, action STRING, eo STRING, rung INT, ladder_step INT, "
               "confidence DOUBLE, count INT, gemini_resolved INT, reason STRING, error STRING, "
               "removed INT, model_read STRING, fitment_index INT")
-
-RESPONSE_LINE = (
-    "request STRUCT<contents: ARRAY<STRUCT<role: STRING, parts: ARRAY<STRUCT<text: STRING, "
-    "fileData: STRUCT<fileUri: STRING, mimeType: STRING>>>>>>, "
-    "response STRUCT<candidates: ARRAY<STRUCT<content: STRUCT<parts: ARRAY<STRUCT<text: STRING>>>, "
-    "finishReason: STRING>>, usageMetadata: STRUCT<promptTokenCount: BIGINT, candidatesTokenCount: BIGINT>>"
-)

@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.records import record_faults, typed_record
-from ..schemas import RESPONSE_LINE
 
 
 def request_lines(items: DataFrame, approvals: DataFrame, prompt: str, response_schema: str = "{}",
@@ -40,33 +39,37 @@ def key_from_uri(uri: Column) -> Column:
     return F.upper(F.regexp_replace(name, r"\.pdf$", ""))
 
 
-def read_responses(lines: DataFrame, line: str = "line") -> DataFrame:
-    """lines with ``eo_number``, ``finish_reason``, ``usable``, ``record``, ``tok_in`` and
-    ``tok_out``. Unusable: no response, a finish other than STOP, or text that is no valid
-    record; such lines go back to the queue. A line without any document address is dropped."""
-    j = F.from_json(F.col(line), RESPONSE_LINE)
-    parsed = lines.withColumn("_j", j)
-    parts = F.get(F.col("_j.request.contents"), F.lit(0))["parts"]
-    with_uri = F.filter(parts, lambda p: F.coalesce(p["fileData"]["fileUri"], F.lit("")) != "")
-    candidate = F.get(F.col("_j.response.candidates"), F.lit(0))
-    text = F.get(candidate["content"]["parts"], F.lit(0))["text"]
+def read_lines(lines: DataFrame, line: str = "line") -> DataFrame:
+    """Every line, parsed once, with ``reject``, ``eo_number``, ``finish_reason``, ``usable``, ``record``, ``tok_in`` and ``tok_out``.
+
+    reject: ``blank``, or ``unreadable`` for text that is not JSON or names no document; null otherwise. Unusable: no response, a
+    finish other than STOP, or text that is no valid record; such lines go back to the queue."""
+    def get(path: str, kind: str) -> Column:
+        return F.try_variant_get("_v", path, kind)
+
+    parsed = lines.withColumn("_v", F.try_parse_json(F.col(line)))
+    uris = F.transform(get("$.request.contents[0].parts", "array<variant>"), lambda p: F.try_variant_get(p, "$.fileData.fileUri", "string"))
+    finish = get("$.response.candidates[0].finishReason", "variant")
     parsed = parsed.withColumns({
-        "_uri": F.get(with_uri, F.lit(0))["fileData"]["fileUri"],
-        "_value": F.try_parse_json(text),
+        "_uri": F.get(F.filter(uris, lambda u: F.coalesce(u, F.lit("")) != ""), F.lit(0)),
+        "_answered": F.schema_of_variant(get("$.response", "variant")).startswith("OBJECT"),
+        "_value": F.try_parse_json(get("$.response.candidates[0].content.parts[0].text", "string")),
         # A finish reason that is absent counts as STOP; one that is null does not.
-        "_finish": F.when(
-            F.try_variant_get(F.try_parse_json(F.col(line)), "$.response.candidates[0].finishReason",
-                              "variant").isNull(), "STOP").otherwise(candidate["finishReason"]),
-        "tok_in": F.coalesce("_j.response.usageMetadata.promptTokenCount", F.lit(0).cast("long")),
-        "tok_out": F.coalesce("_j.response.usageMetadata.candidatesTokenCount", F.lit(0).cast("long")),
+        "finish_reason": F.when(finish.isNull(), "STOP").otherwise(get("$.response.candidates[0].finishReason", "string")),
+        "tok_in": F.coalesce(get("$.response.usageMetadata.promptTokenCount", "bigint"), F.lit(0).cast("long")),
+        "tok_out": F.coalesce(get("$.response.usageMetadata.candidatesTokenCount", "bigint"), F.lit(0).cast("long")),
     })
-    usable = (F.col("_j.response").isNotNull() & F.coalesce(F.col("_finish") == "STOP", F.lit(False))
+    usable = (F.col("_uri").isNotNull() & F.col("_answered") & (F.col("finish_reason") == "STOP")
               & F.col("_value").isNotNull() & (F.size(record_faults("_value")) == 0))
-    return (parsed.filter(F.col("_uri").isNotNull())
-            .withColumns({"eo_number": key_from_uri(F.col("_uri")), "finish_reason": F.col("_finish"),
-                          "usable": usable})
+    reject = F.when(F.col("_uri").isNull(), F.when(F.btrim(F.coalesce(line, F.lit("")), F.lit(" \t\r\n")) == "", "blank").otherwise("unreadable"))
+    return (parsed.withColumns({"reject": reject, "eo_number": key_from_uri(F.col("_uri")), "usable": F.coalesce(usable, F.lit(False))})
             .withColumn("record", F.when(F.col("usable"), typed_record("_value")))
-            .drop("_j", "_uri", "_value", "_finish"))
+            .drop("_v", "_uri", "_value", "_answered"))
+
+
+def read_responses(lines: DataFrame, line: str = "line") -> DataFrame:
+    """The lines that can be read, as in ``read_lines``."""
+    return read_lines(lines, line).filter(F.col("reject").isNull()).drop("reject")
 
 
 def with_inference(requests: DataFrame, infer: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]],
