@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
+from ..session import reliable
 
 
 def discover_new(listing: DataFrame, known: DataFrame, key: str = "eo_number") -> DataFrame:
@@ -46,28 +47,29 @@ def lineage(starts: DataFrame, edges: DataFrame, approvals: DataFrame, depth: in
     least depth.
 
     edges: direction, src, dst. Gives start, direction, node, depth, exists, state, capped.
-    All starts and both directions walk together, one equi-join per hop. A hop keeps each
-    (start, node) once, so many paths to a node do not multiply; the start itself is never
-    reported, and a cycle ends at ``depth``. ``capped`` marks walks whose last hop found new
+    All starts and both directions walk together. Edges are kept once and read once a hop; a hop keeps only
+    nodes that its walk has not seen, so branches that meet again do not multiply and a cycle ends where it
+    closes. Every hop is kept in the shared checkpoint folder, so the plan does not grow with the depth, and the walk stops with the
+    first hop that finds nothing. The start itself is never reported. ``capped`` marks walks whose last hop found new
     nodes, so their chain may go on.
     """
     ways = ["start", "direction", "node"]
-    hop = edges.join(starts, edges["src"] == starts[key]).select(
-        F.col("src").alias("start"), "direction", F.col("dst").alias("node"))
-    hops = []
+    step = reliable(edges.select("direction", F.col("src").alias("node"), "dst").distinct())
+    front = starts.select(F.col(key).alias("start")).distinct().join(step.withColumnRenamed("node", "start"), "start").select(
+        "start", "direction", F.col("dst").alias("node"))
+    seen = None
     for d in range(1, depth + 1):
-        if d > 1:
-            step = edges.withColumnRenamed("src", "node")
-            hop = hop.join(step, ["direction", "node"]).select("start", "direction", F.col("dst").alias("node"))
-        hop = hop.filter(F.col("start") != F.col("node")).select(*ways).distinct()
-        hops.append(hop.withColumn("depth", F.lit(d)))
-    found = hops[0]
-    for h in hops[1:]:
-        found = found.unionByName(h)
-    nearest = found.groupBy(*ways).agg(F.min("depth").alias("depth"))
-    ends = nearest.groupBy("start", "direction").agg((F.max("depth") == depth).alias("capped"))
+        new = front.filter(F.col("start") != F.col("node")).distinct()
+        if seen is not None:
+            new = new.join(seen.select(*ways), ways, "left_anti")
+        hop = reliable(new.withColumn("depth", F.lit(d)))
+        if d > 1 and hop.isEmpty():
+            break
+        seen = hop if seen is None else seen.unionByName(hop)
+        front = hop.join(step, ["direction", "node"]).select("start", "direction", F.col("dst").alias("node"))
+    ends = seen.groupBy("start", "direction").agg((F.max("depth") == depth).alias("capped"))
     known = approvals.select(F.col(key).alias("node"), "state", F.lit(True).alias("_known"))
-    return (nearest.join(ends, ["start", "direction"]).join(known, "node", "left")
+    return (seen.join(ends, ["start", "direction"]).join(known, "node", "left")
             .select(*ways, "depth", F.coalesce("_known", F.lit(False)).alias("exists"), "state", "capped"))
 
 

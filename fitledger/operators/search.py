@@ -94,37 +94,31 @@ def facets(catalog: DataFrame) -> DataFrame:
     return catalog.select(F.inline(rows)).filter(F.col("value").isNotNull()).distinct()
 
 
+CASCADE = ["year", "make", "model", "trim"]
+
+
 def cascade_rows(catalog: DataFrame) -> DataFrame:
     """Rows of the year, make, model, trim, engine cascade. Levels 0 to 3 list distinct
-    options; level 4 lists every engine with its label and vehicle. Vehicles without year,
-    make, model or id are left out, a missing trim is shown as Base."""
+    options; level 4 lists every engine with its label, vehicle and facts (litres, induction, cylinders). Vehicles without year,
+    make, model or id are left out, a missing trim is shown as Base. One rollup gives all levels."""
     full = catalog.filter(F.col("year").isNotNull() & _filled("make").isNotNull()
                           & _filled("model").isNotNull() & F.col("vehicle_id").isNotNull())
-    path = [F.col("year"), F.col("make"), F.col("model"), L.trim_label(F.col("trim"))]
-    names = ["year", "make", "model", "trim"]
-    levels = F.array(*[
-        F.struct(F.lit(i).alias("level"), *[
-            (p if j <= i else F.lit(None).cast("int" if j == 0 else "string")).alias(n)
-            for j, (n, p) in enumerate(zip(names, path))]) for i in range(4)])
-    options = full.select(F.inline(levels)).distinct().withColumns(
-        {"vehicle_id": F.lit(None).cast("long"), "label": F.lit(None).cast("string")})
-    engines = full.select(F.lit(4).alias("level"), *[p.alias(n) for n, p in zip(names, path)], "vehicle_id",
-                          L.engine_label(F.col("displacement_l"), F.col("cylinders"), F.col("induction")).alias("label"))
-    return options.unionByName(engines)
+    engine = F.struct("vehicle_id", L.engine_label(F.col("displacement_l"), F.col("cylinders"), F.col("induction")).alias("label"),
+                      F.col("displacement_l").alias("litres"), "induction", "cylinders")
+    named = full.select("year", "make", "model", L.trim_label(F.col("trim")).alias("trim"), engine.alias("engine"))
+    # the grouping id has one bit for each column rolled up: 0 is an engine, 15 a year, 31 the whole catalog
+    rolled = named.rollup(*CASCADE, "engine").agg(F.grouping_id().alias("_rolled")).filter("_rolled < 31")
+    level = (4 - F.log2(F.col("_rolled") + 1)).cast("int")
+    return rolled.select(level.alias("level"), *CASCADE, "engine.*")
 
 
 def cascade_lists(catalog: DataFrame) -> DataFrame:
-    """The cascade as one sorted option list per parent, the shape of the published snapshot.
+    """The cascade as one sorted option list per parent, the shape of the published snapshot: options are
+    (value, vehicle_id, litres, induction, cylinders), of which levels 0 to 3 have the value only.
     Lists are as long as one parent has options."""
-    rows = cascade_rows(catalog)
-    value = F.when(F.col("level") == 0, F.col("year").cast("string")).when(F.col("level") == 1, F.col("make")).when(
-        F.col("level") == 2, F.col("model")).when(F.col("level") == 3, F.col("trim")).otherwise(F.col("label"))
-    parent = F.when(F.col("level") == 0, F.array()).when(F.col("level") == 1, F.array(F.col("year").cast("string"))).when(
-        F.col("level") == 2, F.array(F.col("year").cast("string"), "make")).when(
-        F.col("level") == 3, F.array(F.col("year").cast("string"), "make", "model")).otherwise(
-        F.array(F.col("year").cast("string"), "make", "model", "trim"))
-    option = F.struct(value.alias("value"), "vehicle_id")
-    return rows.select("level", parent.alias("parent"), option.alias("_o")).groupBy("level", "parent").agg(
+    path = F.array(F.col("year").cast("string"), "make", "model", "trim", "label")
+    option = F.struct(F.get(path, F.col("level")).alias("value"), "vehicle_id", "litres", "induction", "cylinders")
+    return cascade_rows(catalog).select("level", F.slice(path, F.lit(1), F.col("level")).alias("parent"), option.alias("_o")).groupBy("level", "parent").agg(
         F.array_sort(F.collect_list("_o")).alias("options"))
 
 

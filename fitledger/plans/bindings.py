@@ -240,10 +240,12 @@ SHARED_VIEWS = {
         SELECT r.doc, r.row_idx AS rid, row_number() OVER (PARTITION BY r.doc ORDER BY r.row_idx) - 1 AS row_idx,
                r.make, r.model, r.year_start, r.year_end, r.displacement_l, r.induction, r.cylinders, r.part_number
         FROM b_app_rows r JOIN b_run_records n ON n.doc = r.doc""",
-    # Most documents replace the one forty places before them: chains of many lengths.
+    # Most documents replace the one forty places before them: chains of many lengths. Some replace another one too, so that ways
+    # part and meet again, and some pairs replace each other.
     "b_edges": """
-        SELECT doc_id AS doc, CASE WHEN doc_id % 6 > 0 AND doc_id >= 40 THEN doc_id - 40 END AS prev
-        FROM documents""",
+        SELECT doc_id AS doc, CASE WHEN doc_id % 6 > 0 AND doc_id >= 40 THEN doc_id - 40 END AS prev FROM documents
+        UNION ALL SELECT doc_id, doc_id - 80 FROM documents WHERE doc_id % 10 = 3 AND doc_id >= 80
+        UNION ALL SELECT doc_id, doc_id + 40 FROM documents WHERE doc_id % 97 = 5""",
 }
 
 _SPARK_ONLY = {

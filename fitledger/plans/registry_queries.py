@@ -213,13 +213,14 @@ def supersede_mark(t):
 
 @query("lineage", """
   WITH RECURSIVE walk AS (
-    SELECT doc AS start, prev AS node, 1 AS depth, 'back' AS direction FROM b_edges WHERE prev IS NOT NULL
-    UNION ALL SELECT prev, doc, 1, 'forward' FROM b_edges WHERE prev IS NOT NULL
-    UNION ALL SELECT w.start, CASE w.direction WHEN 'back' THEN e.prev ELSE e.doc END, w.depth + 1, w.direction
+    SELECT doc AS start, prev AS node, 1 AS depth, 'back' AS direction FROM b_edges WHERE prev IS NOT NULL AND doc IN (SELECT doc_id FROM documents)
+    UNION SELECT prev, doc, 1, 'forward' FROM b_edges WHERE prev IN (SELECT doc_id FROM documents)
+    UNION SELECT w.start, CASE w.direction WHEN 'back' THEN e.prev ELSE e.doc END, w.depth + 1, w.direction
       FROM walk w JOIN b_edges e ON (w.direction = 'back' AND e.doc = w.node AND e.prev IS NOT NULL) OR (w.direction = 'forward' AND e.prev = w.node)
-      WHERE w.depth < 5)
+      WHERE w.depth < 5 AND w.node <> w.start),
+  near AS (SELECT start, node, direction, min(depth) AS depth FROM walk WHERE node <> start GROUP BY 1, 2, 3)
   SELECT w.start, w.node, w.depth, w.direction, l.doc_id IS NOT NULL AS exists, max(w.depth) OVER (PARTITION BY w.start, w.direction) = 5 AS capped
-  FROM walk w LEFT JOIN labels l ON l.doc_id = w.node""")
+  FROM near w LEFT JOIN labels l ON l.doc_id = w.node""")
 def lineage(t):
     edges = t.b_edges.filter("prev IS NOT NULL").select(F.inline(F.array(
         F.struct(F.lit("back").alias("direction"), F.col("doc").alias("src"), F.col("prev").alias("dst")),

@@ -124,17 +124,24 @@ def facets(t):
   UNION ALL SELECT 4, year, make, model, trim, vehicle_id, concat_ws(' ', CASE WHEN displacement_l <> 0 THEN l || 'L' END, cylinders || '-cyl',
     CASE induction WHEN 'NA' THEN 'N/A' WHEN 'TURBO' THEN 'Turbo' WHEN 'SC' THEN 'Supercharged' END) FROM c""")
 def cascade(t):
-    return H.cascade_rows(t.b_catalog)
+    return H.cascade_rows(t.b_catalog).drop("litres", "induction", "cylinders")
 
 
 @query("cascade_lists", """
   SELECT 1 AS level, CAST(year AS VARCHAR) AS parent, string_agg(DISTINCT make, '|' ORDER BY make) AS options FROM b_catalog GROUP BY year
   UNION ALL SELECT 2, concat(year, '/', make), string_agg(DISTINCT model, '|' ORDER BY model) FROM b_catalog GROUP BY year, make
   UNION ALL SELECT 3, concat(year, '/', make, '/', model), string_agg(DISTINCT trim, '|' ORDER BY trim) FROM b_catalog GROUP BY year, make, model
-  UNION ALL SELECT 0, '', string_agg(DISTINCT CAST(year AS VARCHAR), '|' ORDER BY CAST(year AS VARCHAR)) FROM b_catalog""")
+  UNION ALL SELECT 0, '', string_agg(DISTINCT CAST(year AS VARCHAR), '|' ORDER BY CAST(year AS VARCHAR)) FROM b_catalog
+  UNION ALL SELECT 4, concat_ws('/', year, make, model, trim), string_agg(concat_ws('~', label, vehicle_id, displacement_l, coalesce(induction, '-'), cylinders), '|' ORDER BY label, vehicle_id)
+  FROM (SELECT *, concat_ws(' ', CASE WHEN displacement_l <> 0 THEN regexp_replace(CAST(displacement_l AS VARCHAR), '\\.0$', '') || 'L' END, cylinders || '-cyl',
+    CASE induction WHEN 'NA' THEN 'N/A' WHEN 'TURBO' THEN 'Turbo' WHEN 'SC' THEN 'Supercharged' END) AS label FROM b_catalog) GROUP BY year, make, model, trim""")
 def cascade_lists(t):
-    return H.cascade_lists(t.b_catalog).filter("level < 4").select(
-        "level", F.array_join("parent", "/").alias("parent"), F.array_join(F.transform("options", lambda o: o["value"]), "|").alias("options"))
+    def text(o):
+        facts = F.concat_ws("~", o["value"], o["vehicle_id"], o["litres"], F.coalesce(o["induction"], F.lit("-")), o["cylinders"])
+        return F.when(o["vehicle_id"].isNull(), o["value"]).otherwise(facts)
+
+    return H.cascade_lists(t.b_catalog).select(
+        "level", F.array_join("parent", "/").alias("parent"), F.array_join(F.transform("options", text), "|").alias("options"))
 
 
 @query("facet_filter", """

@@ -57,6 +57,10 @@ def stream_feed(t):
 OUTCOME = "CASE WHEN action IN ('failed_both_rungs', 'discover_failed', 'escalated') THEN 'error' WHEN action = 'requeued_transient' THEN 'heal' ELSE 'done' END"
 
 
+def outcomes_of(events):
+    return events.filter("doc IS NOT NULL AND ts IS NOT NULL").select(F.col("doc").alias("id"), "ts", "event_id", F.expr(OUTCOME).alias("outcome"))
+
+
 @query("stream_retry_state", f"""
   WITH RECURSIVE o AS (SELECT doc AS id, {OUTCOME} AS outcome, row_number() OVER (PARTITION BY doc ORDER BY ts, event_id) AS p
       FROM b_events WHERE doc IS NOT NULL AND ts IS NOT NULL),
@@ -68,9 +72,7 @@ OUTCOME = "CASE WHEN action IN ('failed_both_rungs', 'discover_failed', 'escalat
     FROM f JOIN o ON o.id = f.id AND o.p = f.p + 1)
   SELECT id, status, attempts, heals AS heal_count FROM f QUALIFY row_number() OVER (PARTITION BY id ORDER BY p DESC) = 1""")
 def stream_retry_state(t):
-    outcomes = events_stream(t).filter("doc IS NOT NULL AND ts IS NOT NULL").select(
-        F.col("doc").alias("id"), T.epoch_timestamp(F.col("ts")).alias("at"), "ts", "event_id", F.expr(OUTCOME).alias("outcome"))
-    return T.drain_updates(T.retry_state(outcomes, late=None), ["id"], "retry")
+    return T.retry_table(outcomes_of(events_stream(t)), outcomes_of(t.b_events))
 
 
 @query("stream_stuck_items", """
@@ -83,3 +85,26 @@ def stream_stuck_items(t):
         F.col("doc").alias("id"), T.epoch_timestamp(F.col("ts")).alias("at"), "ts", "event_id",
         F.expr("CASE WHEN action IN ('reading', 'extracted', 'resolving') THEN 'in_progress' ELSE 'done' END").alias("status"))
     return T.drain(T.stuck_items(updates, lease=36_000), "stuck").select("id", F.round("since", 3).alias("since"))
+
+
+def timed_events(t):
+    return events_stream(t).filter("doc IS NOT NULL AND ts IS NOT NULL").withColumn("at", T.epoch_timestamp(F.col("ts")))
+
+
+@query("stream_discoveries_within", """
+  SELECT DISTINCT doc FROM b_events WHERE doc IS NOT NULL AND ts IS NOT NULL AND doc NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey < 4)""")
+def stream_discoveries_within(t):
+    known = t.customer.filter("c_nationkey < 4").select(F.col("c_custkey").alias("doc"))
+    return T.drain(T.discoveries_within(timed_events(t).select("doc", "at"), known, "at", "400 days", "doc").select("doc"), "within")
+
+
+@query("stream_activity", """
+  WITH e AS (SELECT run_id, doc, ts, action, count(*) OVER (PARTITION BY run_id, doc) AS n_events,
+      row_number() OVER (PARTITION BY run_id, doc ORDER BY ts DESC, event_id DESC) AS rn, max(ts) OVER (PARTITION BY run_id) AS newest
+    FROM b_events WHERE doc IS NOT NULL AND ts IS NOT NULL)
+  SELECT run_id, doc, action, n_events, round(newest - ts, 3) AS idle FROM e WHERE rn = 1""")
+def stream_activity(t):
+    # a run is a day, so its span is the run
+    activity = T.run_activity(timed_events(t).select("run_id", "doc", "at", "ts", "event_id", "action"), "1 day")
+    last = T.drain_updates(activity, ["run_id", "doc"], "activity")
+    return T.idle_ages(last).select("run_id", "doc", "action", "n_events", F.round("idle", 3).alias("idle"))

@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions import vocab as v
 from ..session import checkpoint_dir
@@ -33,9 +33,9 @@ def drain(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
-def drain_updates(stream: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """Run an update stream and give the last state of every key. Each batch is written under
-    its number, so a batch that is run again replaces itself."""
+def drain_batches(stream: DataFrame, name: str) -> DataFrame:
+    """Run an update stream and read back all it gave, with the number of the ``batch``. Each batch is
+    written under its number, so a batch that is run again replaces itself."""
     spark = stream.sparkSession
     folder = work_folder(spark, name)
 
@@ -45,9 +45,14 @@ def drain_updates(stream: DataFrame, keys: list[str], name: str) -> DataFrame:
     q = (stream.writeStream.outputMode("update").foreachBatch(keep)
          .option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start())
     q.awaitTermination()
-    rows = spark.read.option("basePath", f"{folder}/out").schema(
+    return spark.read.option("basePath", f"{folder}/out").schema(
         f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in stream.schema)}, batch INT"
     ).parquet(f"{folder}/out")
+
+
+def drain_updates(stream: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Run an update stream and give the last state of every key."""
+    rows = drain_batches(stream, name)
     rest = [c for c in stream.columns if c not in keys]
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_s")).select(*keys, "_s.*")
 
@@ -120,27 +125,14 @@ def live_feed(events: DataFrame, folder: str, n: int = 50) -> Callable[[], DataF
     return read
 
 
-# Rows that a later batch may still precede wait in the state, in parallel lists.
-WAITING = "ts array<double>, event_id array<long>, what array<string>"
-
-
-def _waiting(batches: Iterator[pd.DataFrame], held: tuple, what: str) -> list[tuple[float, int, str]]:
-    """The held rows and the new ones of a key in (ts, event_id) order."""
-    rows = list(zip(*held))
-    for b in batches:
-        rows += zip(b["ts"].tolist(), b["event_id"].tolist(), b[what].tolist())
-    return sorted(rows, key=lambda r: r[:2])
-
-
-def _hold(rows: list[tuple[float, int, str]]) -> tuple[list, list, list]:
-    return tuple(map(list, zip(*rows))) if rows else ([], [], [])
+# An item after some outcomes, and an outcome that waits for others that may still come before it.
+RETRY_STATE = "status string, attempts int, heal_count int, folded_ts double, folded_id long, newest double"
+WAITING = "ts double, event_id long, outcome string"
+RETRY_ROWS = f"kind string, id long, status string, attempts int, heal_count int, {WAITING}"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-RETRY_SCHEMA = "id long, status string, attempts int, heal_count int"
-RETRY_STATE = "status string, attempts int, heal_count int"
-
-
-def _retry_step(status: str, attempts: int, heals: int, outcome: str) -> tuple[str, int, int]:
+def retry_step(status: str, attempts: int, heals: int, outcome: str) -> tuple[str, int, int]:
     if outcome == "heal":
         return ("pending", 0, heals + 1) if status == "failed" and heals < v.HEAL_LIMIT else (status, attempts, heals)
     if outcome == "error":
@@ -148,69 +140,110 @@ def _retry_step(status: str, attempts: int, heals: int, outcome: str) -> tuple[s
     return "done", attempts, heals
 
 
-def retry_state(outcomes: DataFrame, at: str = "at", late: str | None = "1 minute") -> DataFrame:
-    """State of every item after its outcomes in (ts, event_id) order; use update mode.
+class RetryFold(StatefulProcessor):
+    """Folds the outcomes of an item in (ts, event_id) order. What is older than the item's newest outcome by ``late`` seconds is final
+    and lives on in three numbers; what is younger waits in a list."""
+
+    def __init__(self, late: float):
+        self.late = late
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.now = handle.getValueState("now", RETRY_STATE)
+        self.waiting = handle.getListState("waiting", WAITING)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        new = [r for b in rows for r in zip(b["ts"].tolist(), b["event_id"].tolist(), b["outcome"].tolist())]
+        *now, folded_ts, folded_id, newest = self.now.get() if self.now.exists() else ("pending", 0, 0, float("-inf"), -1, float("-inf"))
+        passed = (folded_ts, folded_id)
+        held = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
+        rest = sorted(held + [r for r in new if r[:2] > passed])
+        newest = max([newest, *(r[0] for r in rest)])
+        final = sum(r[0] <= newest - self.late for r in rest)
+        for ts, event_id, outcome in rest[:final]:
+            now, passed = retry_step(*now, outcome), (ts, event_id)
+        self.now.update((*now, *passed, newest))
+        if rest[final:]:
+            self.waiting.put(rest[final:])
+        elif held:
+            self.waiting.clear()
+        for *_, outcome in rest[final:]:
+            now = retry_step(*now, outcome)
+        out = [("state", key[0], *now, None, None, None)]
+        out += [("late", key[0], None, None, None, *r) for r in new if r[:2] <= (folded_ts, folded_id)]
+        frame = pd.DataFrame(out, columns=[c.split()[0] for c in RETRY_ROWS.split(", ")])
+        yield frame.astype({"attempts": "Int32", "heal_count": "Int32", "event_id": "Int64"})
+
+    def close(self) -> None:
+        pass
+
+
+def retry_states(outcomes: DataFrame, late: float = 60.0) -> DataFrame:
+    """Outcomes (id, ts in seconds, event_id, outcome: done, error or heal) to rows of RETRY_ROWS; use update mode.
+
+    kind ``state``: an item after all its outcomes so far, those that wait counted in the place they have so far. kind ``late``: an outcome
+    older than what is final for its item; it comes out as a row of its own and is not dropped. The state of an item is
+    its numbers and the outcomes of its last ``late`` seconds, however long its history is. Every item has a clock of its own, so a backlog
+    whose files follow no common order makes an outcome late only if its own item has gone on. No other state store keeps lists,
+    so the session's is set to RocksDB."""
+    outcomes.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    return outcomes.select("id", "ts", "event_id", "outcome").groupBy("id").transformWithStateInPandas(RetryFold(late), RETRY_ROWS, "Update", "None")
+
+
+def fold_outcomes(outcomes: DataFrame) -> DataFrame:
+    """id, status, attempts and heal_count after all outcomes of a table, in (ts, event_id) order."""
+    def step(acc: Column, e: Column) -> Column:
+        healed = (e["outcome"] == "heal") & (acc["status"] == "failed") & (acc["heal_count"] < v.HEAL_LIMIT)
+        tries = acc["attempts"] + 1
+        status = (F.when(healed, "pending").when(e["outcome"] == "heal", acc["status"])
+                  .when(e["outcome"] == "error", F.when(tries >= v.MAX_ATTEMPTS, "failed").otherwise("pending")).otherwise("done"))
+        attempts = F.when(healed, 0).when(e["outcome"] == "error", tries).otherwise(acc["attempts"])
+        return F.struct(status.alias("status"), attempts.cast("int").alias("attempts"),
+                        (acc["heal_count"] + F.when(healed, 1).otherwise(0)).cast("int").alias("heal_count"))
+
+    start = F.struct(F.lit("pending").alias("status"), F.lit(0).alias("attempts"), F.lit(0).alias("heal_count"))
+    rows = F.array_sort(F.collect_list(F.struct("ts", "event_id", "outcome")))
+    return outcomes.groupBy("id").agg(F.aggregate(rows, start, step).alias("s")).select("id", "s.*")
+
+
+def retry_table(stream: DataFrame, history: DataFrame, late: float = 60.0, name: str = "retry") -> DataFrame:
+    """Run ``retry_states`` over all that is there and give the state of every item. Items with late outcomes are folded anew from
+    ``history``, the table behind the stream; only their rows are read for that. So the result is the same for any files in any order."""
+    rows = drain_batches(retry_states(stream, late), name)
+    order = F.col("batch")
+    states = rows.filter("kind = 'state'").groupBy("id").agg(F.max_by(F.struct("status", "attempts", "heal_count"), order).alias("s")).select("id", "s.*")
+    behind = rows.filter("kind = 'late'").select("id").distinct()
+    again = fold_outcomes(history.select("id", "ts", "event_id", "outcome").join(behind, "id", "left_semi"))
+    return states.join(behind, "id", "left_anti").unionByName(again)
+
+
+def stuck_items(updates: DataFrame, at: str = "at", lease: int = v.LEASE_SECONDS, late: str = "1 minute") -> DataFrame:
+    """One alert per item that stays in progress for ``lease`` seconds without an update; use append mode.
 
-    With ``late`` None every outcome counts, whatever batches they come in: all outcomes of an item stay in its
-    state. With a delay the state is small: an outcome is final once the watermark, that of all items, has passed it.
-    Until then it waits, and the state given out counts it in the place it has so far. An outcome that comes after the
-    watermark has passed it is dropped by Spark and does not count; ``numRowsDroppedByWatermark`` of the query's progress counts
-    those. So a backlog whose files are not in time order needs None.
-    outcomes: id, at (timestamp), ts (the same in seconds), event_id, outcome (done, error or heal)"""
-    def fold(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        *now, ts, ids, what = state.get if state.exists else ("pending", 0, 0, [], [], [])
-        mark = float("-inf") if late is None else state.getCurrentWatermarkMs()
-        rows = _waiting(batches, (ts, ids, what), "outcome")
-        passed = sum(int(r[0] * 1000) <= mark for r in rows)
-        for _, _, outcome in rows[:passed]:
-            now = _retry_step(*now, outcome)
-        rows = rows[passed:]
-        state.update((*now, *_hold(rows)))
-        if rows and late is not None:
-            state.setTimeoutTimestamp(int(rows[0][0] * 1000))
-        for _, _, outcome in rows:
-            now = _retry_step(*now, outcome)
-        yield pd.DataFrame([(key[0], *now)], columns=["id", "status", "attempts", "heal_count"])
+    Updates of an item that follow each other within the lease are one session; when the watermark has passed its end and the last
+    update in (ts, event_id) order says in progress, the item is stuck since then. The sessions are Spark's own state: one row
+    per open session, closed by event time, whatever batches the updates came in.
+    updates: id, at (timestamp), ts (the same in seconds), event_id, status"""
+    return (updates.withWatermark(at, late)
+            .groupBy("id", F.session_window(F.col(at), f"{lease} seconds 1 microsecond"))
+            .agg(F.max_by(F.struct("status", "ts"), F.struct("ts", "event_id")).alias("last"))
+            .filter("last.status = 'in_progress'").select("id", F.col("last.ts").alias("since")))
 
-    # without a timeout Spark drops no row
-    timeout = GroupStateTimeout.NoTimeout if late is None else GroupStateTimeout.EventTimeTimeout
-    return (outcomes if late is None else outcomes.withWatermark(at, late)).groupBy("id").applyInPandasWithState(
-        fold, RETRY_SCHEMA, f"{RETRY_STATE}, {WAITING}", "update", timeout)
 
+def run_activity(events: DataFrame, span: str = "1 day", late: str = "1 minute", at: str = "at") -> DataFrame:
+    """Last event of every approval of a run, within spans of event time: run_id, doc, span start, ts, action, n_events.
 
-STUCK_SCHEMA = "id long, since double"
+    Use update mode for what happens now, append mode for spans that are over. A span leaves the state when the watermark has passed it,
+    so the state holds the approvals of the open spans only. ``idle_ages`` tells how long each has been still."""
+    last = F.max_by(F.struct("ts", "action"), F.struct("ts", "event_id"))
+    return (events.withWatermark(at, late).groupBy("run_id", "doc", F.window(F.col(at), span).alias("w"))
+            .agg(last.alias("last"), F.count("*").alias("n_events"))
+            .select("run_id", "doc", F.col("w.start").alias("span"), "last.ts", "last.action", "n_events"))
 
 
-def stuck_items(updates: DataFrame, at: str = "at", lease: int = v.LEASE_SECONDS, late: str = "1 minute") -> DataFrame:
-    """One alert per item that stays in progress for ``lease`` seconds without an update; use
-    append mode. Updates count in (ts, event_id) order once the watermark has passed them, so the
-    alerts do not depend on the batches that they came in.
-    updates: id, at (timestamp), ts (the same in seconds), event_id, status"""
-    def watch(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        since, ts, ids, what = state.get if state.exists else (None, [], [], [])
-        mark = state.getCurrentWatermarkMs()
-        rows = _waiting(batches, (ts, ids, what), "status")
-        passed = sum(int(r[0] * 1000) <= mark for r in rows)
-        alerts = []
-        for at_ts, _, status in rows[:passed]:
-            if since is not None and at_ts - since > lease:
-                alerts.append((key[0], since))
-            since = at_ts if status == "in_progress" else None
-        rows = rows[passed:]
-        if since is not None and int((since + lease) * 1000) <= mark:
-            alerts.append((key[0], since))
-            since = None
-        if since is None and not rows:
-            if state.exists:
-                state.remove()
-        else:
-            state.update((since, *_hold(rows)))
-            state.setTimeoutTimestamp(min([int(r[0] * 1000) for r in rows[:1]] + ([] if since is None else [int((since + lease) * 1000)])))
-        if alerts:
-            yield pd.DataFrame(alerts, columns=["id", "since"])
-
-    return updates.withWatermark(at, late).groupBy("id").applyInPandasWithState(
-        watch, STUCK_SCHEMA, f"since double, {WAITING}", "append", GroupStateTimeout.EventTimeTimeout)
+def idle_ages(activity: DataFrame) -> DataFrame:
+    """activity with ``idle``: seconds since the approval's last event, at the time of its run's last one."""
+    newest = activity.groupBy("run_id").agg(F.max("ts").alias("_newest"))
+    return activity.join(newest, "run_id").withColumn("idle", F.col("_newest") - F.col("ts")).drop("_newest")
 
 
 def epoch_timestamp(seconds: Column) -> Column:
