@@ -45,8 +45,29 @@ def text_chunks(batches: Iterator[pa.RecordBatch], text: str = "text", size: int
             start = stop
 
 
-def word_hashes(texts: pa.Array, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of all texts, and the place of each text's first one (and the end)."""
+# Scripts that are written without blanks, as ranges of code points.
+NO_BLANKS = [(0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF)]
+
+
+def alone(data: np.ndarray) -> np.ndarray:
+    """Places of bytes where a character of a script without blanks begins, and where the one after it does."""
+    lead = np.flatnonzero(data >= 0xE0)
+    if not len(lead):
+        return lead
+    long = data[lead] >= 0xF0
+    padded = np.concatenate([data, np.zeros(3, np.uint8)]).astype(np.int64)
+    a, b, c, d = (padded[lead + i] for i in range(4))
+    point = np.where(long, (a & 7) << 18 | (b & 63) << 12 | (c & 63) << 6 | (d & 63), (a & 15) << 12 | (b & 63) << 6 | (c & 63))
+    found = np.zeros(len(lead), bool)
+    for first, last in NO_BLANKS:
+        found |= (point >= first) & (point <= last)
+    ends = lead[found] + np.where(long[found], 4, 3)
+    return np.concatenate([lead[found], ends[ends < len(data)]])
+
+
+def word_hashes(texts: pa.Array, is_word: np.ndarray, split: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts, and the place of each text's first one (and the end). With ``split`` every
+    character of a script without blanks is a word."""
     texts = pc.fill_null(texts, "").cast(pa.large_string())
     at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
     data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[at[0]:at[-1]]
@@ -58,6 +79,9 @@ def word_hashes(texts: pa.Array, is_word: np.ndarray) -> tuple[np.ndarray, np.nd
     begins[1:] &= ~inside[:-1]
     heads = at[:-1][at[:-1] < len(data)]
     begins[heads] = inside[heads]  # a text begins a word of its own
+    if split:
+        cuts = alone(data)
+        begins[cuts] = inside[cuts]
     starts = np.flatnonzero(begins)
     if not len(starts):
         return np.empty(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
