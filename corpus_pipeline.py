@@ -61,8 +61,9 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no passage of the benchmark."""
-    found = decontaminate.contaminated(keyed(docs), table(spark, sf_dir, "benchmark"))
+    """Documents that hold no passage of the benchmark. Items of a few words say little about where they came
+    from, and take no document out."""
+    found = decontaminate.contaminated(keyed(docs), table(spark, sf_dir, "benchmark")).filter(~F.col("short"))
     return without(docs, found.select(F.col("doc_id").alias("row_key")))
 
 
