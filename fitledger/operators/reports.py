@@ -85,11 +85,24 @@ def recent_runs(runs: DataFrame, n: int) -> DataFrame:
     return runs.orderBy(F.col("started_at").desc(), F.col("id")).limit(n)
 
 
-def run_events(events: DataFrame, limit: int = 500) -> DataFrame:
-    """First ``limit`` timed events of every run and whether the run has more. The rank limit
-    cuts rows inside each task before the shuffle."""
+def run_events(events: DataFrame, limit: int = 500, after: DataFrame | None = None) -> DataFrame:
+    """First ``limit`` timed events of every run, and whether the run has more. The rank limit cuts rows inside each task
+    before the shuffle.
+
+    after: run_id, ts and event_id of the last event that was shown of a run; its events behind that one are given. Runs that it
+    does not name start at their beginning. ``next_cursors`` of a page is the ``after`` of the next one, so every event is
+    reached."""
     timed = events.filter(F.col("ts").isNotNull())
+    if after is not None:
+        seen = after.select("run_id", F.struct("ts", "event_id").alias("_seen"))
+        timed = timed.join(seen, "run_id", "left").filter(F.col("_seen").isNull() | (F.struct("ts", "event_id") > F.col("_seen"))).drop("_seen")
     w = Window.partitionBy("run_id").orderBy("ts", "event_id")
     page = timed.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= limit)
     sizes = timed.groupBy("run_id").agg((F.count("*") > limit).alias("truncated"))
     return page.join(sizes, "run_id")
+
+
+def next_cursors(page: DataFrame) -> DataFrame:
+    """run_id, ts and event_id behind which the next page of each run that has one begins."""
+    last = F.max(F.struct("ts", "event_id")).alias("x")
+    return page.filter("truncated").groupBy("run_id").agg(last).select("run_id", "x.*")

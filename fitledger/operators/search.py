@@ -126,16 +126,33 @@ def write_cascade(catalog: DataFrame, folder: str) -> None:
     cascade_lists(catalog).write.mode("overwrite").json(folder)
 
 
-def part_search(matches: DataFrame, number: str, size: int = PAGE) -> DataFrame:
-    """Approvals with a match that lists the part number, in key order; all matches are
-    scanned. The fields come from the match with the least vehicle id, ``truncated`` says
-    whether there are more approvals than shown."""
-    grouped = part_number_rows(matches, number).groupBy("doc").agg(
-        F.min_by(F.struct("manufacturer", "device_name"), F.struct("vehicle_id", "device_name", "manufacturer")).alias("m"))
-    page = grouped.orderBy("doc").limit(size + 1)
-    ranked = page.withColumns({"truncated": F.count("*").over(_one()) > size,
-                               "_rn": F.row_number().over(_one().orderBy("doc"))})
-    return ranked.filter(F.col("_rn") <= size).select("doc", "m.manufacturer", "m.device_name", "truncated")
+def page_with_cursor(rows: DataFrame, order: list[str], size: int) -> DataFrame:
+    """The first ``size`` rows in order, each with ``next_<column>`` of the order: where the next page begins behind, null on the
+    last page. Only ``size`` + 1 rows are compared."""
+    page = rows.orderBy(*order).limit(size + 1)
+    ranked = page.withColumns({"_more": F.count("*").over(_one()) > size, "_rn": F.row_number().over(_one().orderBy(*order))}).filter(F.col("_rn") <= size)
+    last = F.max(F.struct(*order)).over(_one())
+    return ranked.withColumns({f"next_{c}": F.when(F.col("_more"), last[c]) for c in order}).drop("_more", "_rn")
+
+
+def part_search(matches: DataFrame, number: str, size: int = PAGE, after: int | None = None) -> DataFrame:
+    """Approvals with a match that lists the part number, in key order behind the approval ``after``; all matches are
+    scanned (``sources.part_index`` opens one bucket). The fields come from the match with the least vehicle id, ``truncated`` says
+    whether there are more approvals than shown, and ``next_doc`` what to ask with for them."""
+    rows = part_index_rows(part_number_rows(matches, number).withColumn("part_numbers", F.array(F.lit(number))))
+    rows = rows if after is None else rows.filter(F.col("doc") > after)
+    page = page_with_cursor(rows.select("doc", "manufacturer", "device_name"), ["doc"], size)
+    return page.withColumn("truncated", F.col("next_doc").isNotNull()).select("doc", "manufacturer", "device_name", "truncated", "next_doc")
+
+
+def part_index_rows(matches: DataFrame) -> DataFrame:
+    """One row per part number and approval: the fields of the match with the least vehicle id, and how many vehicles. Minimums and
+    counts combine before the shuffle."""
+    listed = matches.select(F.explode(F.array_distinct("part_numbers")).alias("part_number"), "doc", "vehicle_id", "manufacturer", "device_name")
+    grouped = listed.groupBy("part_number", "doc").agg(
+        F.min_by(F.struct("manufacturer", "device_name"), F.struct("vehicle_id", "device_name", "manufacturer")).alias("m"),
+        F.count_distinct("vehicle_id").alias("n_vehicles"))
+    return grouped.select("part_number", "doc", "m.manufacturer", "m.device_name", "n_vehicles")
 
 
 def part_index(matches: DataFrame) -> DataFrame:

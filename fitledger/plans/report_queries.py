@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vocab as v
 from ..operators import reports as P
 from ..operators import search as H
 from ..operators import state as S
+from ..sources.part_index import PartIndex
+from ..streaming.streams import work_folder
 from . import registry_queries as RQ
 from .registry import query
 
@@ -200,11 +205,57 @@ def part_number_search(t):
 
 @query("part_search", """
   WITH g AS (SELECT doc, arg_min((manufacturer, device_name), (vehicle_id, device_name, manufacturer)) AS m FROM b_matches WHERE pn1 = '7-K' OR pn2 = '7-K' GROUP BY 1)
-  SELECT doc, m[1] AS manufacturer, m[2] AS device_name, (SELECT count(*) FROM g) > 50 AS truncated FROM g ORDER BY doc LIMIT 50""")
+  SELECT doc, m[1] AS manufacturer, m[2] AS device_name, (SELECT count(*) FROM g) > 50 AS truncated,
+    CASE WHEN (SELECT count(*) FROM g) > 50 THEN (SELECT max(doc) FROM (SELECT doc FROM g ORDER BY doc LIMIT 50)) END AS next_doc FROM g ORDER BY doc LIMIT 50""")
 def part_search(t):
     return H.part_search(matches(t), "7-K")
 
 
+_indexed: dict[tuple[str, str], PartIndex] = {}
+
+
+def written_index(t) -> PartIndex:
+    """The index of all matches on shared storage; one per session and folder."""
+    key = (t.spark.sparkContext.applicationId, t.sf_dir)
+    if key not in _indexed:
+        index = PartIndex(t.spark, work_folder(t.spark, "parts"), buckets=16)
+        index.build(matches(t))
+        _indexed[key] = index
+    return _indexed[key]
+
+
+@query("part_lookup", """
+  WITH g AS (SELECT n.number, doc, arg_min((manufacturer, device_name), (vehicle_id, device_name, manufacturer)) AS m, count(DISTINCT vehicle_id) AS n_vehicles,
+      row_number() OVER (PARTITION BY n.number ORDER BY doc) AS p, count(*) OVER (PARTITION BY n.number) AS total
+    FROM b_matches JOIN (SELECT unnest(['S1', '7-K']) AS number) n ON pn1 = n.number OR pn2 = n.number GROUP BY 1, 2),
+  x AS (SELECT *, (p - 1) // 50 AS page, max(doc) OVER (PARTITION BY number, (p - 1) // 50) AS last FROM g WHERE p <= 100)
+  SELECT number AS part_number, page::INTEGER AS page, doc, m[1] AS manufacturer, m[2] AS device_name, n_vehicles, CASE WHEN total > (page + 1) * 50 THEN last END AS next_after FROM x""")
+def part_lookup(t):
+    """Two pages of a number that stands on every approval, and of one that stands on some."""
+    index, out = written_index(t), []
+    for number in ("S1", "7-K"):
+        after = None
+        for page in range(2):
+            rows = index.lookup(number, after, 50)
+            out.append(rows.withColumn("page", F.lit(page)))
+            cursor = rows.select("next_after").first()
+            after = cursor.next_after if cursor else None
+            if after is None:
+                break
+    return reduce(DataFrame.unionByName, out).select("part_number", "page", "doc", "manufacturer", "device_name", "n_vehicles", "next_after")
+
+
+@query("run_event_pages", """
+  SELECT run_id, event_id, CAST(1 + (p - 1) // 100 AS INT) AS page FROM (SELECT run_id, event_id, row_number() OVER (PARTITION BY run_id ORDER BY ts, event_id) AS p
+    FROM b_events WHERE ts IS NOT NULL) WHERE p <= 200""")
+def run_event_pages(t):
+    """The first two pages of every run; the second begins behind the cursors of the first."""
+    first = P.run_events(t.b_events, 100)
+    more = P.next_cursors(first)
+    second = P.run_events(t.b_events.join(more.select("run_id"), "run_id", "left_semi"), 100, more)
+    return first.select("run_id", "event_id", F.lit(1).alias("page")).unionByName(second.select("run_id", "event_id", F.lit(2).alias("page")))
+
+
 @query("part_index", """
   SELECT part_number, count(DISTINCT doc) AS n_approvals, count(DISTINCT vehicle_id) AS n_vehicles FROM (
     SELECT pn1 AS part_number, doc, vehicle_id FROM b_matches UNION ALL SELECT pn2, doc, vehicle_id FROM b_matches) GROUP BY 1""")

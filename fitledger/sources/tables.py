@@ -22,8 +22,9 @@ BUCKETS = 64
 
 
 class KeyedTable:
-    def __init__(self, spark: SparkSession, path: str, schema: str, key: str = "doc", buckets: int = BUCKETS):
-        self.spark, self.path, self.key, self.buckets = spark, path, key, buckets
+    def __init__(self, spark: SparkSession, path: str, schema: str, key: str = "doc", buckets: int = BUCKETS, sort: list[str] | None = None):
+        """``sort``: columns by which the rows of a file are ordered, so that readers skip what they do not ask for."""
+        self.spark, self.path, self.key, self.buckets, self.sort = spark, path, key, buckets, sort or []
         self.schema = spark.createDataFrame([], schema).schema
         self.columns = self.schema.fieldNames()
 
@@ -47,8 +48,9 @@ class KeyedTable:
         live = rows.select(*self.columns, F.lit(True).alias("_live"), self.bucket().alias("bucket"))
         marks = self.spark.createDataFrame([(b, False) for b in buckets], "bucket int, _live boolean")
         # rebalance joins small buckets in one task and splits large ones over several
-        (live.unionByName(marks, allowMissingColumns=True).hint("rebalance", "bucket")
-         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self.path))
+        spread = live.unionByName(marks, allowMissingColumns=True).hint("rebalance", "bucket")
+        spread = spread.sortWithinPartitions("bucket", *self.sort) if self.sort else spread
+        spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self.path)
 
     def create(self, rows: DataFrame) -> None:
         self._write(rows, list(range(self.buckets)))
