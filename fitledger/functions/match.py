@@ -14,11 +14,6 @@ def fold(c: Column) -> Column:
     return strip(F.lower(F.coalesce(c, F.lit(""))))
 
 
-def present(c: Column) -> Column:
-    """Null when the value counts as absent (null, zero or empty text)."""
-    return F.when(c.cast("string").isin("", "0", "0.0"), None).otherwise(c)
-
-
 def extends(longer: Column, shorter: Column) -> Column:
     """Folded name ``longer`` is ``shorter``, or goes on with a space, ``-`` or ``/`` after it."""
     after = F.substr(longer, F.length(shorter) + 1, F.lit(1))

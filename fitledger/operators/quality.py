@@ -125,13 +125,6 @@ def fix_identity(records: DataFrame, requested: str = "doc_key") -> DataFrame:
             .withColumn("eo_number", F.col(requested)))
 
 
-def identity_events(fixed: DataFrame) -> DataFrame:
-    return fixed.filter("key_corrected").select(
-        F.lit("auditor").alias("agent"), "eo_number",
-        F.lit("eo_number_corrected_from_identity").alias("action"), F.col("key_read").alias("model_read"))
-
-
-
 def resolve_verdicts(df: DataFrame) -> DataFrame:
     """Outcome of a routed record given a second opinion.
 

@@ -85,10 +85,12 @@ def superseded_by_edges(approvals: DataFrame, key: str = "doc") -> DataFrame:
         F.lit("forward").alias("direction"), F.col(key).alias("src"), F.col("superseded_by").alias("dst"))
 
 
-def repair_missing_url(approvals: DataFrame, listing: DataFrame, key: str = "eo_number") -> DataFrame:
+def repair_missing_url(approvals: DataFrame, listing: DataFrame, key: str = "eo_number", order: list[str] | None = None) -> DataFrame:
     """Fill a missing address from the listing, leave every other address alone. Where a listing
-    repeats a key, its smallest address counts; ``merge_pages`` settles repeats by page order."""
-    found = listing.filter(F.coalesce("pdf_url", F.lit("")) != "").groupBy(key).agg(F.min("pdf_url").alias("_found"))
+    repeats a key, the address that comes last by ``order`` (page and row) counts; without one, its smallest address."""
+    some = listing.filter(F.coalesce("pdf_url", F.lit("")) != "")
+    chosen = F.max_by("pdf_url", F.struct(*order)) if order else F.min("pdf_url")
+    found = some.groupBy(key).agg(chosen.alias("_found"))
     return (approvals.join(found, key, "left")
             .withColumn("pdf_url", F.coalesce(F.nullif("pdf_url", F.lit("")), F.col("_found"), F.col("pdf_url")))
             .drop("_found"))

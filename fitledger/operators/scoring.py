@@ -88,6 +88,13 @@ def record_checks(records: DataFrame) -> DataFrame:
     })
 
 
+def check_rates(checked: DataFrame, checks: list[str]) -> DataFrame:
+    """check, n, passed and rate of each check column, from one pass over the records."""
+    sums = checked.agg(F.count("*").alias("n"), *[F.sum(F.col(c).cast("long")).alias(c) for c in checks])
+    rows = F.array(*[F.struct(F.lit(c).alias("check"), F.coalesce(c, F.lit(0).cast("long")).alias("passed")) for c in checks])
+    return sums.select("n", F.inline(rows)).select("check", "n", "passed", F.try_divide("passed", "n").alias("rate"))
+
+
 def trajectory_check(approvals: DataFrame, events: DataFrame, key: str = "doc") -> DataFrame:
     """ok and a note per approval: final state reached, and an extractor event followed by an
     auditor event followed by a matchmaker event.

@@ -122,10 +122,6 @@ def cascade_lists(catalog: DataFrame) -> DataFrame:
         F.array_sort(F.collect_list("_o")).alias("options"))
 
 
-def write_cascade(catalog: DataFrame, folder: str) -> None:
-    cascade_lists(catalog).write.mode("overwrite").json(folder)
-
-
 def page_with_cursor(rows: DataFrame, order: list[str], size: int) -> DataFrame:
     """The first ``size`` rows in order, each with ``next_<column>`` of the order: where the next page begins behind, null on the
     last page. Only ``size`` + 1 rows are compared."""

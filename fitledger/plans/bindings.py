@@ -88,8 +88,8 @@ SHARED_VIEWS = {
                  WHEN 4 THEN concat(p_name, ' GVWR>', CAST(p_size AS STRING), ' LBS')
                  WHEN 5 THEN concat(p_name, ' 2.7L V6') WHEN 6 THEN concat('K1500 ', p_name, ' 4x4')
                  WHEN 7 THEN concat(p_name, ' ', CAST(p_size AS STRING))
-                 WHEN 8 THEN concat('Civic / ', p_name, ' Coupe') WHEN 9 THEN concat('  ', p_name, '  ')
-                 WHEN 10 THEN concat('Silverado 1500 Hybrid ', p_name) WHEN 11 THEN 'E250 Van'
+                 WHEN 8 THEN concat('Prelude / ', p_name, ' Coupe') WHEN 9 THEN concat('  ', p_name, '  ')
+                 WHEN 10 THEN concat('Tundra 1500 Hybrid ', p_name) WHEN 11 THEN 'E250 Van'
                  WHEN 12 THEN concat(p_name, ' Plug-in Hybrid') ELSE concat('C2500/', p_name) END AS model_text,
                CASE p_partkey % 7 WHEN 0 THEN p_brand WHEN 1 THEN 'VW' WHEN 2 THEN 'Harley  Davidson'
                  WHEN 3 THEN concat(p_brand, '/Pontiac') WHEN 4 THEN 'chevy /  / GMC'
@@ -165,7 +165,7 @@ SHARED_VIEWS = {
                CAST(floor(o_orderkey / 4) % 6 AS INT) AS heal_count,
                epoch_s(o_orderdate) AS created_at,
                epoch_s(o_orderdate) + o_orderkey % 2000 AS lease_expires,
-               CASE floor(o_orderkey / 4) % 9 WHEN 0 THEN '429 RESOURCE_EXHAUSTED. quota'
+               CASE floor(o_orderkey / 4) % 9 WHEN 0 THEN '429 RESOURCE_EXHAUSTED: slow down'
                     WHEN 1 THEN '400 INVALID_ARGUMENT. 1048576 tokens' WHEN 2 THEN '503 UNAVAILABLE'
                     WHEN 3 THEN 'Failed to load document (PDFium: Data format error)'
                     WHEN 4 THEN '400 RESOURCE_EXHAUSTED' WHEN 5 THEN 'DEADLINE_EXCEEDED while calling'

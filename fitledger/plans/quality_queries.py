@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import quality as Q
 from ..operators import records as R
 from ..operators import scoring as S
+from ..sources import golden as G
 from . import daily
 from .registry import query
 
@@ -216,6 +217,27 @@ def record_checks(t):
     return S.record_checks(t.b_records).select("doc", "eo_format", "required_fields")
 
 
+@query("accuracy_report", f"""
+  SELECT 'older' AS source, count(*) AS n, round(avg(scalar), 6) AS scalar, round(avg(pn_f1), 6) AS pn_f1, round(avg(assoc_f1), 6) AS assoc_f1 FROM ({SCORE_SQL})
+  UNION ALL SELECT 'same', count(*), 1.0, 1.0, 1.0 FROM b_records""")
+def accuracy_report(t):
+    """Every record against two sources: the document before, and itself."""
+    scores = G.accuracy_report(t.b_records, {"older": shifted(t), "same": t.b_records})
+    return S.score_summary(scores).select("source", "n", *[F.round(c, 6).alias(c) for c in ("scalar", "pn_f1", "assoc_f1")])
+
+
+@query("check_rates", f"""
+  WITH c AS (SELECT regexp_matches(eo_number, '^[A-Z0-9]{{1,3}}(-[A-Z0-9]{{1,6}}){{1,3}}$') AS f,
+      (manufacturer IS NOT NULL AND category IS NOT NULL AND len(part_numbers) >= 1) AS r FROM b_records)
+  SELECT 'eo_format' AS check, count(*) AS n, CAST(sum(f::INT) AS BIGINT) AS passed, round(avg(f::INT), 6) AS rate FROM c
+  UNION ALL SELECT 'required_fields', count(*), CAST(sum(r::INT) AS BIGINT), round(avg(r::INT), 6) FROM c
+  UNION ALL SELECT 'schema', count(*), count(*) FILTER (faults = ''), round(count(*) FILTER (faults = '') / count(*), 6) FROM ({FAULTS_SQL})""")
+def check_rates(t):
+    rates = S.check_rates(S.record_checks(t.b_records), ["eo_format", "required_fields"])
+    types = S.check_rates(R.validate_records(t.b_record_json).select(F.col("valid").alias("schema")), ["schema"])
+    return rates.unionByName(types).withColumn("rate", F.round("rate", 6))
+
+
 AUDIT_SQL = f"""
   WITH r AS (SELECT r.*, x.category, x.eo_number, CASE r.doc % 4 WHEN 0 THEN 'accept' WHEN 1 THEN 'fix' WHEN 2 THEN 'escalate' ELSE 'maybe' END AS verdict
     FROM ({ROUTE_SQL}) r JOIN b_records x ON x.doc = r.doc),
