@@ -210,8 +210,9 @@ def resolver_reviews(outcomes: DataFrame) -> DataFrame:
 def merge_resolved(best: DataFrame, outcomes: DataFrame) -> DataFrame:
     """Deterministic matches always stay; of accepted decisions the first one in ``seq``
     order adds a vehicle that is still missing, at tier generic and with its rationale."""
+    why = F.col("rationale") if "rationale" in outcomes.columns else F.lit(None).cast("string")
     added = (outcomes.filter(F.col("outcome") == "accepted")
-             .select("doc", "row_idx", "seq", "rationale", F.explode("valid_ids").alias("vehicle_id"))
+             .select("doc", "row_idx", "seq", why.alias("rationale"), F.explode("valid_ids").alias("vehicle_id"))
              .groupBy("doc", "vehicle_id").agg(F.min(F.struct("seq", "row_idx", "rationale")).alias("_first")))
     # Both sides are grouped by (doc, vehicle_id), so this join needs no further shuffle.
     both = best.select("doc", "vehicle_id", "tier", "row_idx").join(added, ["doc", "vehicle_id"], "full_outer")

@@ -72,10 +72,12 @@ def test_matches_equal_brute_force_broadcast_and_salted(spark):
 
 def test_first_decision_wins_and_deterministic_stays(spark):
     best = spark.createDataFrame([(1, 10, "high", 0)], "doc long, vehicle_id long, tier string, row_idx long")
-    out = spark.createDataFrame([(1, 5, 1, "accepted", [10, 11]), (1, 4, 2, "accepted", [11]), (1, 6, 3, "review", [12])],
-                                "doc long, row_idx long, seq long, outcome string, valid_ids array<long>")
+    out = spark.createDataFrame([(1, 5, 1, "accepted", [10, 11], "first"), (1, 4, 2, "accepted", [11], "second"), (1, 6, 3, "review", [12], "unsure")],
+                                "doc long, row_idx long, seq long, outcome string, valid_ids array<long>, rationale string")
     got = {tuple(r) for r in op.merge_resolved(best, out).collect()}
-    assert got == {(1, 10, "high", 0, "deterministic"), (1, 11, "generic", 5, "gemini_resolved")}
+    assert got == {(1, 10, "high", 0, "deterministic", None), (1, 11, "generic", 5, "gemini_resolved", "first")}
+    untold = {tuple(r) for r in op.merge_resolved(best, out.drop("rationale")).collect()}
+    assert untold == {(1, 10, "high", 0, "deterministic", None), (1, 11, "generic", 5, "gemini_resolved", None)}
 
 
 def test_document_parts_fill_in(spark):
