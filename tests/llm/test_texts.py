@@ -3,6 +3,8 @@
 import os
 import re
 import zlib
+from collections import Counter
+from itertools import chain
 
 import duckdb
 import numpy as np
@@ -113,11 +115,57 @@ def test_token_query_and_sample(spark, tokenizer):
     texts = [None, "", "a b c " * 1500, " ".join(PIECES), "x" * 100_000, "repeat", "repeat"]
     rows = [(i, t, "en", "s") for i, t in enumerate(texts)] + [(None, "null id", "en", "s")]
     want = sorted(((i, len((t or "").encode()), whole(tokenizer, t), whole(tokenizer, t) > 2048) for i, t, *_ in rows), key=repr)
-    for sample in (0, 3, 2000):
-        assert sorted(map(tuple, token_counts.token_counts(docs(spark, rows), sample_docs=sample).collect()), key=repr) == want
+    for size in (0, 3, 2000):
+        assert sorted(map(tuple, token_counts.token_counts(docs(spark, rows), frequent_words=size).collect()), key=repr) == want
     assert token_counts.token_counts(docs(spark, [])).collect() == []
 
 
+SCRIPTS = ["naïve “quotes” — dashes… 5 € ™ ≠ →", "Привет, мир! ёж ЙОД", "ΣΟΦΙΑ σοφίας Ά", "日本語のテキスト。", "한국어 각", "עברית ١٢٣ ४५", "ǅ Ǆ ẞ İI ⅷ Ⅷ",
+           "e\u0301 \u212b \u2126 \u200b \u2028x\u3000y", "𝒜 🎉🎊", "\u00ad\u061c\ufeff", "it’s it's"]
+
+
+def test_tokens_of_all_scripts(tokenizer):
+    counts = token_counts.Counts(None, {})
+    assert counts.count(SCRIPTS) == [whole(tokenizer, t) for t in SCRIPTS]
+    # typographic signs and most letters need no library call for the whole text
+    assert all(counts.pre_tokens(SCRIPTS[i]) is not None for i in (0, 1, 3, 4))
+
+
+def test_tokens_of_every_code_point(tokenizer):
+    points = [chr(p) for r in (range(1, 0xD800), range(0xE000, 0x11000), range(0x1D400, 0x1D800), range(0x1F000, 0x20100)) for p in r]
+    texts = [f"a{c}a 1{c}1 !{c}! {c}" for c in points]
+    counts = token_counts.Counts(None, {})
+    wrong = [hex(ord(c)) for c, n, e in zip(points, counts.count(texts), tokenizer.encode_batch(texts, add_special_tokens=False), strict=True) if n != len(e.ids)]
+    assert wrong == []
+
+
+def test_tokens_of_another_file(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    other, texts = Tokenizer.from_file(path), [*SCRIPTS, "It's 1234 Blanks   and\n\nlines", ""]
+    got = token_counts.token_counts(docs(spark, [(i, t, "en", "s") for i, t in enumerate(texts)]), path).collect()
+    assert sorted((r.doc_id, r.n_tokens) for r in got) == [(i, whole(other, t)) for i, t in enumerate(texts)]
+
+
+def test_frequent_words_come_from_all_rows(spark):
+    # sorted by what they hold: a prefix of the table would see one word only
+    rows = [(i, f"w{'abcdefgh'[i // 50]} " * 20 + "x" * 100, "en", "s") for i in range(400)]
+    found = token_counts.frequent_lengths(docs(spark, rows).repartitionByRange(8, "doc_id"), size=8)
+    assert set(found) == {f"w{c}" for c in "abcdefgh"}
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.lists(st.sampled_from("abcdefghijklmnop"), max_size=30), max_size=30))
+def test_heavy_words_bound(texts):
+    counts, true = token_counts.Counts(None, {}), Counter(chain.from_iterable(texts))
+    found = dict(token_counts.heavy_words([[" ".join(t) for t in texts]], counts, table=8, keep=100))
+    total = sum(true.values())
+    # whoever holds more than a fifth of all words is never lost, and no count is too large
+    assert all(n <= true[w] for w, n in found.items()) and all(w in found for w, n in true.items() if 5 * n > total)
+
+
 # ---- quality
 
 
