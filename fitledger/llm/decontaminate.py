@@ -250,16 +250,19 @@ VERIFIED = "doc_id long, item_id long, n_match int, n_run int, item_words int, d
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [x.split()[0] for x in VERIFIED.split(", ")]
     types = [pa.int64(), pa.int64(), *[pa.int32()] * 5]
-    for b in chunks(batches, 500):
+    for b in batches:
         rows = []
-        for r in b.to_pylist():
-            item, doc = np.array(r["item_tokens"]), np.array(r["tokens"])
-            n, first, last = in_place(item, doc, r["shift"])
+        numbers = zip(*(b.column(c).to_pylist() for c in ("doc_id", "item_id", "begin", "shift")), strict=True)
+        # views on the batch: a very long document may stand in it once for each of its candidates
+        words = zip(b.column("item_tokens"), b.column("tokens"), strict=True)
+        for (doc_id, item_id, begin, shift), (own, others) in zip(numbers, words, strict=True):
+            item, doc = own.values.to_numpy(), others.values.to_numpy()
+            n, first, last = in_place(item, doc, shift)
             whole = 5 * n >= 4 * len(item) if len(item) >= LEAST_ITEM else n == len(item)
             if not whole:
-                n, first, last = best_run(item, doc, r["shift"])
+                n, first, last = best_run(item, doc, shift)
             if whole or n >= LEAST_RUN:
-                rows.append((r["doc_id"], r["item_id"], n, last - first + 1, len(item), r["begin"] + first + r["shift"], first))
+                rows.append((doc_id, item_id, n, last - first + 1, len(item), begin + first + shift, first))
         columns = list(zip(*rows, strict=True)) or [()] * 7
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
@@ -279,7 +282,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     pairs = candidates(seeds, hits, items)
     # repeated rows have equal stretches
     once = found.select("stretch", "doc_id", "begin", "tokens").dropDuplicates(["stretch"])
-    checked = (pairs.join(once, "stretch").join(items, "item_key")
+    # documents' words come last, so that they are not shuffled once for each candidate
+    checked = (pairs.join(items, "item_key").join(once, "stretch")
                .select("doc_id", "item_id", "begin", "shift", "tokens", "item_tokens").mapInArrow(_verify, VERIFIED))
     order = F.struct("n_match", -F.col("n_run"), -F.col("doc_start"), -F.col("item_start"))
     best = checked.groupBy("doc_id", "item_id").agg(F.max_by(F.struct("n_match", "n_run", "item_words", "doc_start", "item_start"), order).alias("x"))

@@ -39,13 +39,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .bloom import bloom, held
-from .common import stored
-from .wordhash import NOT_BLANK, mix, text_chunks, word_hashes
+from .common import chunks, stored
+from .wordhash import NOT_BLANK, mix, sized_chunks, text_chunks, word_hashes
 
 COMMON, WARM = 64, 8
 # Expected candidates beyond which a document lengthens its prefix by one, two and three.
 COSTS = (300, 900, 2700)
 BUCKETS = 128
+# Documents whose heads are Python numbers at once.
+HEADS = 1000
 SIGNED = np.int64
 # Odd factors of the words of a shingle by place.
 FACTORS = [np.uint64(f) for f in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
@@ -140,6 +142,11 @@ def _arrow(fn, names: str, types: list):
 LONGS = pa.list_(pa.int64())
 
 
+def _sets(b: pa.RecordBatch, name: str) -> Iterator[np.ndarray]:
+    """The sets of a binary column one after the other, as views on the batch."""
+    return (np.frombuffer(x.as_buffer(), np.uint64) for x in b.column(name))
+
+
 def heads(docs: DataFrame, rule: Rule = CONTRACT) -> DataFrame:
     """doc_id, sig (null for the empty set), n, head and hist of every document."""
     def fn(batches):
@@ -187,7 +194,7 @@ ENTRY_TYPES = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
 def _plain(common, warm, rule: Rule):
     """Prefix entries of plain documents; a dense one gives a single row without token."""
     def fn(batches):
-        for b in batches:
+        for b in chunks(batches, HEADS):
             tokens, sigs, ns, ls = [], [], [], []
             heads_ = [np.array(h, SIGNED).view(np.uint64) for h in b.column("head").to_pylist()]
             flat = np.concatenate([np.empty(0, np.uint64), *heads_])
@@ -217,10 +224,9 @@ def _dense(common, local, rule: Rule):
     """Entries of dense nodes. kind 1: prefix under the plain order; 2: rare shingles under the dense
     order; 3: common shingles of that prefix, for nodes that reach them."""
     def fn(batches):
-        for b in batches:
+        for b in sized_chunks(batches, ("tokens",)):
             out = [[] for _ in range(6)]
-            for sig, n, blob in zip(*(b.column(c).to_pylist() for c in ("sig", "n", "tokens")), strict=True):
-                tokens = np.frombuffer(blob, np.uint64)
+            for sig, n, tokens in zip(b.column("sig").to_pylist(), b.column("n").to_pylist(), _sets(b, "tokens"), strict=True):
                 p = rule.prefix_size(n)
                 is_common, is_local = held(common.value, tokens), held(local.value, tokens)
                 rare = tokens[~is_local]
@@ -248,8 +254,7 @@ def _pairs(left: DataFrame, right: DataFrame, ordered: bool, rule: Rule) -> Data
 def _check(rule: Rule):
     def fn(batches):
         for b in batches:
-            a, other = b.column("tokens_a").to_pylist(), b.column("tokens_b").to_pylist()
-            ok = pa.array([rule.similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(a, other, strict=True)], pa.bool_())
+            ok = pa.array(list(map(rule.similar, _sets(b, "tokens_a"), _sets(b, "tokens_b"))), pa.bool_())
             yield [b.column("a").filter(ok), b.column("b").filter(ok)]
     return fn
 
@@ -284,11 +289,9 @@ def _against_leader(local, rule: Rule):
     """Each member beside one leader: linked or not, far or not, its weight, and the prefixes of the
     difference of their common shingles (see ``_leaders``)."""
     def fn(batches):
-        for b in batches:
+        for b in sized_chunks(batches, ("tokens_c", "tokens")):
             out = [[] for _ in range(7)]
-            columns = [b.column(c).to_pylist() for c in ("c", "sig", "tokens_c", "tokens")]
-            for c, sig, blob_c, blob in zip(*columns, strict=True):
-                leader, own = np.frombuffer(blob_c, np.uint64), np.frombuffer(blob, np.uint64)
+            for c, sig, leader, own in zip(b.column("c").to_pylist(), b.column("sig").to_pylist(), _sets(b, "tokens_c"), _sets(b, "tokens"), strict=True):
                 both = np.intersect1d(leader, own, assume_unique=True).size
                 union = len(leader) + len(own) - both
                 linked = rule.linked(both, union)
@@ -409,7 +412,7 @@ def links(docs: DataFrame, head: DataFrame, rule: Rule = CONTRACT) -> DataFrame:
     plain = entries.filter(F.col("token").isNotNull()).repartition("token").dropDuplicates(["token", "sig"])
     dense = stored(entries.filter(F.col("token").isNull()).select("sig").distinct().join(reps.select("sig", "rep"), "sig"), "dense")
     dense_sets = node_sets(docs, dense, rule)
-    tokens = dense_sets.mapInArrow(_arrow(lambda bs: ([np.frombuffer(b"".join(b.column("tokens").to_pylist()), SIGNED)] for b in bs),
+    tokens = dense_sets.mapInArrow(_arrow(lambda bs: ([np.concatenate([*_sets(b, "tokens")]).view(SIGNED)] for b in sized_chunks(bs, ("tokens",))),
                                           "token", [pa.int64()]), "token long")
     local = sc.broadcast(bloom(_counted(tokens, COMMON), "token"))
     rows = stored(dense_sets.mapInArrow(_dense(common, local, rule), DENSE), "dense-entries")

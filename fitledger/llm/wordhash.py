@@ -33,10 +33,10 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def text_chunks(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of about ``size`` bytes of text, one row at least."""
+def sized_chunks(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...], size: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches with about ``size`` bytes in the named text or binary columns, one row at least."""
     for b in batches:
-        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(text)), 0).to_numpy(zero_copy_only=False))
+        ends = np.cumsum(sum(pc.fill_null(pc.binary_length(b.column(c)), 0).to_numpy(zero_copy_only=False) for c in columns), dtype=np.int64)
         start = 0
         while start < b.num_rows:
             base = ends[start - 1] if start else 0
@@ -45,6 +45,11 @@ def text_chunks(batches: Iterator[pa.RecordBatch], text: str = "text", size: int
             start = stop
 
 
+def text_chunks(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``size`` bytes of text, one row at least."""
+    return sized_chunks(batches, (text,), size)
+
+
 # Scripts that are written without blanks, as ranges of code points.
 NO_BLANKS = [(0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF)]
 
