@@ -9,9 +9,12 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Rows up to which a dimension is broadcast on request. The count is taken with
-# a LIMIT of one row more, so the check reads no more than this many rows.
+# Rows, and bytes of these rows as JSON, up to which a dimension is broadcast on request. The
+# check is taken with a LIMIT of one row more, so it reads no more than this many rows.
 BROADCAST_ROW_BOUND = 500_000
+BROADCAST_BYTE_BOUND = 200_000_000
+# Keys that the sketch of frequent keys counts, and those of them that may be salted.
+TRACKED_KEYS, HOT_KEYS = 8192, 1024
 
 
 def build_session(app: str = "fitledger", master: str | None = None, **conf: str) -> SparkSession:
@@ -47,21 +50,38 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
-def fits_broadcast(df: DataFrame, bound: int = BROADCAST_ROW_BOUND) -> bool:
-    """True when ``df`` has at most ``bound`` rows; reads at most ``bound + 1``."""
-    return df.limit(bound + 1).count() <= bound
+def fits_broadcast(df: DataFrame, bound: int = BROADCAST_ROW_BOUND, byte_bound: int = BROADCAST_BYTE_BOUND) -> bool:
+    """True when ``df`` has at most ``bound`` rows of at most ``byte_bound`` bytes together; reads at
+    most ``bound + 1`` rows. JSON text stands for the size of a row, null fields for eight bytes."""
+    size = F.octet_length(F.to_json(F.struct("*"))) + 8 * len(df.columns)
+    found = df.limit(bound + 1).select(size.cast("long").alias("size")).agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).first()
+    return found["n"] <= bound and (found["bytes"] or 0) <= byte_bound
+
+
+def hot_keys(df: DataFrame, keys: list[str], tasks: int) -> DataFrame:
+    """(key_hash, parts) of the keys that hold more rows than one of ``tasks`` equal tasks, with the
+    number of such tasks they would fill: at most HOT_KEYS rows.
+
+    Counts come from a sketch of fixed size, combined before its shuffle. Their error, some rows in
+    a thousand of all, only moves the number of parts.
+    """
+    sketch = F.expr(f"approx_top_k(xxhash64({', '.join(f'`{k}`' for k in keys)}), {HOT_KEYS}, {TRACKED_KEYS})")
+    found = df.agg(F.count("*").alias("n"), sketch.alias("top")).select("n", F.explode("top").alias("t"))
+    parts = F.ceil(F.col("t.count") * tasks / F.col("n")).cast("int")
+    return found.select(F.col("t.item").alias("key_hash"), parts.alias("parts")).filter(F.col("parts") > 1)
 
 
 def dimension_join(big: DataFrame, small: DataFrame, keys: list[str], salt_on: list[str],
                    small_fits: bool, how: str = "inner", when: Column | None = None,
-                   salts: int = 16) -> DataFrame:
+                   tasks: int | None = None) -> DataFrame:
     """Join a large side to a dimension whose keys may be badly skewed on the large side.
 
     ``small_fits`` is the outcome of ``fits_broadcast``: when true the dimension is
-    broadcast and the large side is not shuffled at all. Otherwise the large side is
-    spread over ``salts`` parts per key by a hash of ``salt_on`` and the dimension is
-    repeated once per part, so one hot key is worked on by ``salts`` tasks. Both forms
-    give the same rows. ``when`` is a further condition over the columns of both sides;
+    broadcast and the large side is not shuffled at all. Otherwise both are shuffled by key. A key
+    with more rows than one of ``tasks`` tasks should have (by default the shuffle's partitions) is cut into as
+    many parts as it would fill, by a hash of ``salt_on``, and only its rows of the dimension are
+    repeated, once per part. Which keys these are is found inside the same query (``hot_keys``). Both
+    forms give the same rows. ``when`` is a further condition over the columns of both sides;
     ``how`` is inner, left, left_semi or left_anti.
     """
     right = small.withColumnsRenamed({k: f"_dim_{k}" for k in keys})
@@ -70,8 +90,14 @@ def dimension_join(big: DataFrame, small: DataFrame, keys: list[str], salt_on: l
     if small_fits:
         right = F.broadcast(right)
     else:
-        big = big.withColumn("_salt", F.pmod(F.xxhash64(*salt_on), F.lit(salts)).cast("int"))
-        right = right.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        tasks = tasks or int(big.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        hot = hot_keys(big, keys, tasks).withColumnsRenamed({"key_hash": "_key_hash", "parts": "_parts"})
+        parts, left_out = F.coalesce(F.col("_parts"), F.lit(1)), ["_key_hash", "_parts"]
+        # at most HOT_KEYS rows, so this broadcast is bounded whatever the input
+        big = (big.join(F.broadcast(hot), F.xxhash64(*keys) == F.col("_key_hash"), "left")
+               .withColumn("_salt", F.pmod(F.xxhash64(*salt_on), parts).cast("int")).drop(*left_out))
+        right = (right.join(F.broadcast(hot), F.xxhash64(*(f"_dim_{k}" for k in keys)) == F.col("_key_hash"), "left")
+                 .withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop(*left_out))
         match.append(F.col("_salt") == F.col("_part"))
         drop += ["_salt", "_part"]
     return big.join(right, reduce(and_, match), how).drop(*drop)
