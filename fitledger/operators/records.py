@@ -202,26 +202,23 @@ def change_set(old: str, new: str, scalars: list[str] | None = None, rows: str =
     return F.when(F.size(changed) > 0, F.map_from_entries(changed))
 
 
-def record_diff(df: DataFrame, base: str = "base", new: str = "rec") -> DataFrame:
-    """Flags and part-number sets between a baseline struct and a record struct.
+def record_diff(records: DataFrame, baseline: DataFrame) -> DataFrame:
+    """Per record: doc, flags and part-number sets against its baseline, and rows on both sides.
 
-    base: device_name, manufacturer, category, part_numbers, fitment_count
-    rec:  device_name, manufacturer, category, part_numbers, fitment
+    records:  doc, device_name, manufacturer, category, part_numbers, fitment
+    baseline: doc, device_name, manufacturer, category, part_numbers, fitment_count
+
+    Rows are counted and part numbers made distinct before the sides meet, so neither row arrays
+    nor repeated part numbers are shuffled.
     """
-    def distinct(c: str) -> Column:
-        return F.array_distinct(F.coalesce(F.col(c), F.array().cast("array<string>")))
-
-    a, b = distinct(f"{base}.part_numbers"), distinct(f"{new}.part_numbers")
-    rows = F.col(f"{new}.fitment")
-    flags = {f"{f}_changed": ~F.col(f"{base}.{f}").eqNullSafe(F.col(f"{new}.{f}"))
-             for f in ("device_name", "manufacturer", "category")}
-    return df.withColumns({
-        **flags,
-        "added": F.array_sort(F.array_except(b, a)),
-        "removed": F.array_sort(F.array_except(a, b)),
-        "kept": F.array_sort(F.array_intersect(b, a)),
-        "base_rows": F.coalesce(F.col(f"{base}.fitment_count"), F.lit(0)),
-        "new_rows": F.coalesce(F.size(rows), F.lit(0)),
-        "new_rows_with_parts": F.coalesce(
-            F.size(F.filter(rows, lambda r: F.coalesce(F.size(r["part_numbers"]), F.lit(0)) > 0)), F.lit(0)),
-    })
+    names = ["device_name", "manufacturer", "category"]
+    parts = F.array_distinct(F.coalesce("part_numbers", F.array().cast("array<string>")))
+    rows = F.col("fitment")
+    new = records.select("doc", *names, parts.alias("_b"), F.coalesce(F.size(rows), F.lit(0)).alias("new_rows"), F.coalesce(F.size(F.filter(
+        rows, lambda r: F.coalesce(F.size(r["part_numbers"]), F.lit(0)) > 0)), F.lit(0)).alias("new_rows_with_parts"))
+    old = baseline.select("doc", *(F.col(f).alias(f"_{f}") for f in names), parts.alias("_a"), F.col("fitment_count").alias("_n"))
+    a, b = F.coalesce("_a", F.array().cast("array<string>")), F.col("_b")
+    return new.join(old, "doc", "left").select(
+        "doc", *((~F.col(f"_{f}").eqNullSafe(F.col(f))).alias(f"{f}_changed") for f in names),
+        F.array_sort(F.array_except(b, a)).alias("added"), F.array_sort(F.array_except(a, b)).alias("removed"),
+        F.array_sort(F.array_intersect(b, a)).alias("kept"), F.coalesce("_n", F.lit(0)).alias("base_rows"), "new_rows", "new_rows_with_parts")

@@ -32,11 +32,12 @@ def route(records: DataFrame, baseline: DataFrame) -> DataFrame:
     """
     base = baseline.select("doc", F.col("part_numbers").alias("_bp"), F.col("fitment_count").alias("_bn"),
                            F.lit(True).alias("_base"))
-    j = records.join(base, "doc", "left")
-    scored = j.withColumns({
+    # rules and row counts come before the join: a reader of the verdict alone has no row array shuffled
+    judged = records.withColumns({
         "issues": Q.gate_issues(F.col("eo_number"), F.col("fitment"), F.col("part_numbers"), F.col("category")),
-        "div": Q.divergence(F.col("part_numbers"), F.size("fitment"), F.col("_bp"), F.col("_bn"),
-                            F.coalesce("_base", F.lit(False)))}).drop("_bp", "_bn", "_base")
+        "_n": F.size("fitment")})
+    scored = judged.join(base, "doc", "left").withColumn("div", Q.divergence(
+        F.col("part_numbers"), F.col("_n"), F.col("_bp"), F.col("_bn"), F.coalesce("_base", F.lit(False)))).drop("_n", "_bp", "_bn", "_base")
     return scored.withColumn("reason", Q.route_reason(
         F.col("issues"), F.col("div"), F.col("confidence"), F.col("draw")))
 

@@ -162,8 +162,7 @@ def change_set(t):
   SELECT p.doc, device_name_changed, manufacturer_changed, category_changed, CAST(new_rows AS INT) AS new_rows, CAST(base_rows AS INT) AS base_rows, CAST(new_rows AS INT) AS new_rows_with_parts, added, removed, kept
   FROM p JOIN d ON p.doc = d.doc""")
 def record_diff(t):
-    j = as_struct(t.b_records, "rec").join(as_struct(shifted(t), "base"), "doc", "left")
-    out = R.record_diff(j)
+    out = R.record_diff(t.b_records, shifted(t).withColumn("fitment_count", F.size("fitment")))
     return out.select("doc", "device_name_changed", "manufacturer_changed", "category_changed", "new_rows", "base_rows",
                       "new_rows_with_parts", *[F.sha2(F.array_join(c, "|"), 256).alias(c) for c in ("added", "removed", "kept")])
 

@@ -1,4 +1,7 @@
+import contextlib
+import io
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,6 +9,7 @@ from pyspark.sql import functions as F
 from fitledger.operators import quality as Q
 from fitledger.operators import records as R
 from fitledger.operators import scoring as S
+from fitledger.plans import daily
 from fitledger.schemas import APPLICATION_ROW
 
 OK = {"eo_number": "D-1", "confidence": 0.9}
@@ -82,3 +86,35 @@ def test_change_set(spark):
     assert json.loads(df.select(F.to_json(R.change_set("o", "n", ["category", "confidence"])).alias("j")).head().j) == {
         "category": None, "fitment": [1, 2]}
     assert df.select(R.change_set("o", "o", ["category", "confidence"]).alias("j")).head().j is None
+
+
+def test_record_diff_without_row_arrays_in_the_shuffle(spark):
+    rows = "array<struct<model:string,part_numbers:array<string>>>"
+    records = spark.createDataFrame([
+        (1, "d", "m", "tune", ["A", "B", "A"], [("x", ["A"]), ("y", None), ("z", [])]), (2, None, None, None, None, None),
+        (3, "d", "m", "tune", ["A"], []), (4, "d", "m", "tune", ["C", "A"], [("x", ["A"])])],
+        f"doc long, device_name string, manufacturer string, category string, part_numbers array<string>, fitment {rows}")
+    baseline = spark.createDataFrame([(1, "d", "n", None, ["C", "B", "B"], 2), (2, None, None, None, [], None), (4, "d", "m", "tune", ["A", "C"], 1)],
+                                     "doc long, device_name string, manufacturer string, category string, part_numbers array<string>, fitment_count int")
+    out = R.record_diff(records, baseline)
+    assert {r.doc: tuple(r)[1:] for r in out.collect()} == {
+        1: (False, True, True, ["A"], ["C"], ["B"], 2, 3, 1), 2: (False, False, False, [], [], [], 0, 0, 0),
+        3: (True, True, True, ["A"], [], [], 0, 0, 0), 4: (False, False, False, [], [], ["A", "C"], 1, 1, 1)}
+
+
+def test_route_reads_rows_before_the_join(spark):
+    row = "struct<model:string,make:string,year_start:int,year_end:int,displacement_l:double,induction:string,cylinders:int,trim_note:string,part_numbers:array<string>>"
+    records = spark.createDataFrame([(1, 0.5, "D-1-1", 0.9, "tune", ["A"], [])],
+                                    f"doc long, draw double, eo_number string, confidence double, category string, part_numbers array<string>, fitment array<{row}>")
+    baseline = spark.createDataFrame([(1, ["A"], 0)], "doc long, part_numbers array<string>, fitment_count int")
+    routed = daily.route(records, baseline)
+    assert {"fitment", "issues", "div", "reason"} <= set(routed.columns) and not {c for c in routed.columns if c.startswith("_")}
+    old, shown = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), io.StringIO()
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        with contextlib.redirect_stdout(shown):
+            routed.select("doc", "div", "reason").explain("formatted")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    shuffled = re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*)\]", shown.getvalue())
+    assert any("_n#" in columns for columns in shuffled) and not any("fitment#" in columns for columns in shuffled)
