@@ -165,3 +165,12 @@ def test_fix_changes_every_field(spark):
                                      "doc long, verdict string, corrections string, reasons array<string>")
     got = daily.audit(routed.withColumns({"issues": F.array().cast("array<string>"), "div": F.lit(0.0), "draw": F.lit(1.0)}), verdicts).head()
     assert (got.outcome, got.manufacturer, got.supersedes, got.sections_confidence, got.category) == ("accepted", "new", ["D-9"], {"a": 1.0}, "tune")
+
+
+def test_long_errors_are_not_broadcast(spark):
+    items = spark.range(20).selectExpr("id", "'pending' AS status", "'extract' AS stage", "CAST(id % 3 AS INT) AS attempts", "'' AS last_error")
+    outcomes = items.filter("id > 3").selectExpr("id", "if(id % 2 = 0, 'error', 'complete') AS outcome", "repeat('boom ', 90) AS error")
+    out = S.attempt_update(items, outcomes)
+    assert "Broadcast" not in out._jdf.queryExecution().sparkPlan().toString()
+    got = {r.id: (r.status, r.attempts, r.last_error) for r in out.collect()}
+    assert got[2] == ("pending", 2, "") and got[8] == ("failed", 3, "boom " * 90) and got[9] == ("done", 0, "") and len(got) == 20
