@@ -87,3 +87,29 @@ def test_document_parts_fill_in(spark):
                                   F.lit("tune").alias("category"), F.lit("d").alias("device_name"), F.lit("m").alias("manufacturer"))
     recs = op.match_records(op.best_matches(op.application_matches(r, c)), r, docs).collect()
     assert recs and {tuple(x.part_numbers) for x in recs} == {("P",), ("D",)}
+
+
+def test_folded_matches_give_the_same_with_repeated_and_null_vehicles(spark):
+    rows, cat = sample(5)
+    cat += [(1000 + i, *x[1:]) for i, x in enumerate(cat)]  # the same attributes under other ids
+    cat += [cat[3], (7, *cat[8][1:]), (None, *cat[9][1:]), (None, *cat[10][1:])]  # a vehicle twice, with other attributes, without an id
+    rows += [(1, None, *rows[9][2:])]
+    r, c = spark.createDataFrame(rows, ROWS), spark.createDataFrame(cat, CATALOG)
+    out = spark.createDataFrame([(d, 5, d, "accepted", [10, 1010, 55], "why") for d in range(12)],
+                                "doc long, row_idx long, seq long, outcome string, valid_ids array<long>, rationale string")
+    plain = op.application_matches(r, c)
+    for bound in (10000, 1):
+        folded = op.application_matches(r, c, bound, folded=True)
+        assert folded.count() < plain.count()
+        best = op.best_matches(folded)
+
+        def same(got, want):
+            assert got.columns == want.columns
+            assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+
+        same(op.expanded(best, c, bound), op.best_matches(plain))
+        merged = op.expanded(op.merge_resolved(best, out, c, bound), c, bound)
+        want = op.merge_resolved(op.best_matches(plain), out)
+        same(merged.select(*want.columns), want)
+        docs = spark.range(14).withColumnRenamed("id", "doc")
+        same(op.match_counts(docs, op.sized(best, c, bound)), op.match_counts(docs, op.best_matches(plain)))
