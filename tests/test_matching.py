@@ -113,3 +113,17 @@ def test_folded_matches_give_the_same_with_repeated_and_null_vehicles(spark):
         same(merged.select(*want.columns), want)
         docs = spark.range(14).withColumnRenamed("id", "doc")
         same(op.match_counts(docs, op.sized(best, c, bound)), op.match_counts(docs, op.best_matches(plain)))
+
+
+def test_rows_of_one_range_share_their_candidates(spark):
+    rows, cat = sample()
+    r, c = spark.createDataFrame(rows + rows[:9], ROWS), spark.createDataFrame(cat, CATALOG)
+    left = op.unresolved_rows(r, c)
+    sent = op.resolver_requests(left, c, 3)
+    asked = {}
+    for x in left.collect():
+        ids = [v[0] for v in cat if (v[2] or "").lower() == x.make.lower() and (x.year_start or 0) <= v[1] <= (x.year_end or 9999)]
+        asked.setdefault((x.doc, x.row_idx), []).extend(ids)
+    got = {(x.doc, x.row_idx, x.part_no): x.candidate_ids for x in sent.collect()}
+    assert got == {(*k, p): sorted(ids)[3 * p:3 * p + 3] for k, ids in asked.items() for p in range((len(ids) + 2) // 3)}
+    assert any(len(ids) > len(set(ids)) for ids in asked.values())
