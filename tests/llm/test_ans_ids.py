@@ -1,6 +1,7 @@
 """Token ids as rANS blocks: against the library, exact round trips, broken files."""
 
 import random
+import re
 import zlib
 
 import numpy as np
@@ -125,6 +126,41 @@ def test_cuts_of_random_texts():
     assert encoder.encode(pa.array([], pa.string())) == [] and encoder.encode(pa.array([None], pa.string()))[0].tolist() == []
 
 
+class Counted:
+    """A tokenizer that counts the texts it is given."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.texts = tokenizer, 0
+
+    def encode_batch_fast(self, texts, **kw):
+        self.texts += len(texts)
+        return self.tokenizer.encode_batch_fast(texts, **kw)
+
+    def __getattr__(self, name):
+        return getattr(self.tokenizer, name)
+
+
+def test_new_pre_tokens_share_texts():
+    rnd = random.Random(3)
+    words = sorted({"".join(rnd.choices("abcdeßé", k=rnd.randint(3, 12))) for _ in range(3000)})
+    encoder = byte_bpe.Encoder(PATH)
+    encoder.tokenizer = Counted(encoder.tokenizer)
+    texts = [" ".join(words), "\n".join(words), "\n\n \t".join(words[:50])]
+    assert [x.tolist() for x in encoder.encode(pa.array(texts))] == library(texts)
+    assert encoder.tokenizer.texts < len(words) / 10
+
+
+def test_joined_pre_tokens_make_no_added_token():
+    """Two pre-tokens that stand apart in the text would be an added token in a text of both."""
+    encoder = byte_bpe.Encoder(PATH)
+    encoder.tokenizer.add_tokens(["ab cd"])
+    encoder.added = re.compile("ab cd")
+    try:
+        assert encoder._coded([b" ab", b" cd", b"xy", b" "]) == [np.array(x, encoder.width).tobytes() for x in library([" ab", " cd", "xy", " "])]
+    finally:
+        byte_bpe.load.cache_clear()
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.integers(1, 3 * A.SEGMENT + 100), st.integers(1, 300), st.integers(0, 2**32))
 def test_coder_round_trip(n, vocabulary, seed):
