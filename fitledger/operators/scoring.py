@@ -1,15 +1,16 @@
 """Accuracy of produced records against expected ones.
 
 Rows are compared exploded, keyed by (record, year, folded model), so the work of a very long
-record spreads over the cluster; only sums per record are brought together.
+record spreads over the cluster; only sums per record are brought together. Lists of part numbers cross as one text each.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.bind import let
 from .quality import distinct_list
 
 
@@ -21,24 +22,49 @@ def set_f1(a: Column, b: Column) -> Column:
         F.size(F.array_intersect(a, b)).cast("double") * 2 / both)
 
 
+SEPARATOR = "\x1f"
+
+
+def _packed(items: Column) -> Column:
+    """A list of texts as one text, which is a fraction of the list's size when it is shuffled. A list stays a list if it is empty
+    or its texts cannot be told apart in one: if it holds nulls, separators or bytes that are no UTF-8."""
+    none = F.array().cast("array<string>")
+
+    def pack(text: Column) -> Column:
+        marks = F.octet_length(text) - F.octet_length(F.replace(text, F.lit(SEPARATOR), F.lit("")))
+        plain = (F.size(items) > 0) & (marks == F.size(items) - 1) & F.is_valid_utf8(text)
+        return F.when(plain, F.struct(text.alias("text"), F.lit(None).cast("array<string>").alias("list"))).otherwise(
+            F.struct(F.lit(None).cast("string").alias("text"), F.coalesce(items, none).alias("list")))
+
+    # a null counts as a separator
+    return let(F.array_join(items, SEPARATOR, SEPARATOR), pack)
+
+
+def _unpacked(packed: str) -> Column:
+    return F.coalesce(F.split(f"{packed}.text", SEPARATOR, -1), F.col(f"{packed}.list"))
+
+
 def _entries(records: DataFrame, key: str, side: str) -> DataFrame:
-    """One entry for the record itself (``_head``) and one per (year_start, folded model); of
-    rows with one key the last one stays. A single pass over the records."""
+    """One entry for the record itself (``head``) and one per (year_start, folded model) in ``_slot``, which also holds the record's
+    key; of rows with one slot the last one stays. A single pass over the records and one shuffle.
+
+    Entries are sorted once behind the shuffle, in the order that the join of two sides needs too: nearly
+    all slots of a record differ, so aggregating them before the shuffle would only sort them once more. ``_hash`` is
+    the slot's; numbers are sorted faster than structs."""
     def entry(head: bool, year: Column, model: Column, pos: Column, pns: Column, about) -> Column:
-        facts = F.struct(pns.alias("pns"), *[c.alias(n) for n, c in about.items()])
-        slot = F.struct(F.lit(head).alias("head"), year.cast("int").alias("year"), model.alias("model"))
-        return F.struct(F.lit(head).alias("_head"), slot.alias("_slot"),
-                        pos.cast("int").alias("_pos"), facts.alias("_f"))
-
-    facts = {"eo_number": F.col("eo_number"), "manufacturer": F.col("manufacturer"), "category": F.col("category"),
-             "n_rows": F.coalesce(F.size("fitment"), F.lit(0))}
-    none = {n: F.lit(None).cast("int" if n == "n_rows" else "string") for n in facts}
-    head = entry(True, F.lit(None), F.lit(""), F.lit(0), F.col("part_numbers"), facts)
+        slot = F.struct(F.col(key).alias("key"), F.lit(head).alias("head"), year.cast("int").alias("year"), model.alias("model"))
+        return F.struct(slot.alias("_slot"), pos.cast("int").alias("_pos"), _packed(pns).alias("pns"), about.alias("about"))
+
+    about = F.struct("eo_number", "manufacturer", "category", F.coalesce(F.size("fitment"), F.lit(0)).alias("n_rows"))
+    kind = records.select(about.alias("a")).schema["a"].dataType
+    head = entry(True, F.lit(None), F.lit(""), F.lit(0), F.col("part_numbers"), about)
     rows = F.transform("fitment", lambda r, i: entry(
-        False, r["year_start"], F.lower(F.coalesce(r["model"], F.lit(""))), i, r["part_numbers"], none))
+        False, r["year_start"], F.lower(F.coalesce(r["model"], F.lit(""))), i, r["part_numbers"], F.lit(None).cast(kind)))
     all_entries = F.when(F.col("fitment").isNull(), F.array(head)).otherwise(F.concat(F.array(head), rows))
-    return (records.select(key, F.inline(all_entries)).groupBy(key, "_head", "_slot")
-            .agg(F.max_by("_f", "_pos").alias(side)))
+    of_slot = Window.partitionBy("_hash", "_slot").orderBy("_pos", "pns", "about")
+    hashed = records.select(F.inline(all_entries)).withColumn("_hash", F.xxhash64("_slot"))
+    return hashed.withColumn("_later", F.lead("_pos").over(of_slot)).filter("_later IS NULL").select(
+        "_hash", "_slot", F.struct("pns", "about").alias(side))
 
 
 def score_records(expected: DataFrame, got: DataFrame, key: str = "doc") -> DataFrame:
@@ -47,17 +73,18 @@ def score_records(expected: DataFrame, got: DataFrame, key: str = "doc") -> Data
     scores zero and has all its raw rows as total."""
     e = _entries(expected, key, "_e")
     g = _entries(got, key, "_g")
-    # The key struct makes null years equal, and both sides are already spread by it.
-    pairs = e.join(g, [key, "_head", "_slot"], "left")
-    head, hit = F.col("_head"), F.col("_g").isNotNull()
-    pairs = pairs.withColumn("_f1", set_f1(F.col("_e.pns"), F.col("_g.pns")))
+    # The slot struct makes null years equal, and both sides are already spread by it. A record without a key meets none.
+    pairs = e.join(g, ["_hash", "_slot"], "left")
+    head, hit = F.col("_slot.head"), F.col("_g").isNotNull() & F.col("_slot.key").isNotNull()
+    f1 = F.when(F.col("_e.pns.text") == F.col("_g.pns.text"), 1.0).otherwise(set_f1(_unpacked("_e.pns"), _unpacked("_g.pns")))
+    pairs = pairs.withColumn("_f1", F.when(hit, f1))
     f1 = F.col("_f1")
-    same = [F.col(f"_e.{c}").eqNullSafe(F.col(f"_g.{c}")).cast("int") for c in ("eo_number", "manufacturer", "category")]
-    s = pairs.groupBy(key).agg(
+    same = [F.col(f"_e.about.{c}").eqNullSafe(F.col(f"_g.about.{c}")).cast("int") for c in ("eo_number", "manufacturer", "category")]
+    s = pairs.groupBy(F.col("_slot.key").alias(key)).agg(
         F.max(F.when(head & hit, True)).alias("_got"),
         F.max(F.when(head & hit, (same[0] + same[1] + same[2]) / 3)).alias("_scalar"),
         F.max(F.when(head & hit, f1)).alias("_pn"),
-        F.max(F.when(head, F.col("_e.n_rows"))).alias("_en"), F.max(F.when(head, F.col("_g.n_rows"))).alias("_gn"),
+        F.max(F.when(head, F.col("_e.about.n_rows"))).alias("_en"), F.max(F.when(head & hit, F.col("_g.about.n_rows"))).alias("_gn"),
         F.sum(F.when(~head, F.when(hit, f1).otherwise(0.0))).alias("_assoc"),
         F.count(F.when(~head & hit, 1)).alias("_matched"), F.count(F.when(~head, 1)).alias("_keys"))
     missing = F.col("_got").isNull()

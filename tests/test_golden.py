@@ -61,3 +61,43 @@ def test_latest_export(spark, tmp_path):
     rows = [("D-1", 1.0, 1, "v1", ("a",)), ("D-1", 2.0, 2, "v2", ("b",)), ("D-2", 1.0, 3, "v1", ("c",))]
     G.write_latest(spark.createDataFrame(rows, "eo_number string, created_at double, id long, prompt_version string, payload struct<x:string>"), str(tmp_path / "out"))
     assert sorted((r.x, r._prompt_version) for r in spark.read.json(str(tmp_path / "out")).collect()) == [("b", "v2"), ("c", "v1")]
+
+
+SCORED = ("doc long, eo_number string, manufacturer string, category string, part_numbers array<string>, "
+          "fitment array<struct<part_numbers:array<string>,year_start:int,model:string>>")
+
+
+def test_lists_that_no_single_text_can_hold(spark):
+    """Nulls, separators, empty texts and empty lists stay apart from each other, whatever form a list is shuffled in."""
+    lists = [None, [], [""], [None], ["", ""], ["a", "b"], ["a\x1fb"], ["a", None, "b"], ["a", "b\x1f"], ["b", "a", "a"], ["a"]]
+    pairs = [(i * 100 + j, a, b) for i, a in enumerate(lists) for j, b in enumerate(lists)]
+    e, g = (spark.createDataFrame([(x[0], "D", None, None, x[side], [(x[side], None, "m")]) for x in pairs], SCORED) for side in (1, 2))
+    want = {}
+    for doc, a, b in pairs:
+        a, b = set(a or []), set(b or [])
+        want[doc] = 1.0 if a == b else 2 * len(a & b) / (len(a) + len(b))
+    got = S.score_records(e, g).collect()
+    assert {r.doc: r.pn_f1 for r in got} == {r.doc: r.assoc_f1 for r in got} == want
+
+
+def test_last_row_of_a_slot_and_records_without_key(spark):
+    rows = [(["x"], 2000, "M"), (["y"], 2000, "m"), (["z"], None, "m"), (["z"], None, None)]
+    e = spark.createDataFrame([(1, "D", None, "c", [], rows), (None, "D", None, "c", [], rows[:1]), (2, "D", None, "c", [], None)], SCORED)
+    g = spark.createDataFrame([(1, "D", None, "d", [], [(["y"], 2000, "m"), (["z"], None, "M"), (["q"], 2001, "m")]),
+                               (None, "D", None, "c", [], rows[:1]), (2, "D", None, "c", [], [])], SCORED)
+    got = {r.doc: r for r in S.score_records(e, g).collect()}
+    assert (got[1].assoc_f1, got[1].matched, got[1].total, got[1].fit_delta) == (2 / 3, 2, 3, -1)
+    assert (got[None].scalar, got[None].assoc_f1, got[None].matched, got[None].total) == (0.0, 0.0, 0, 1)
+    assert (got[2].assoc_f1, got[2].total, got[2].fit_delta) == (1.0, 0, 0)
+
+
+def test_entries_cross_as_texts_and_once_a_table(spark):
+    """Lists are a multiple of their text when shuffled; a table that is compared with itself and another is shuffled once."""
+    rows = [(["p%d" % j for j in range(i % 7)], 2000, "m") for i in range(20)]
+    e = spark.createDataFrame([(i, "D", None, "c", ["a", "b"], rows) for i in range(50)], SCORED)
+    older = e.withColumn("doc", e.doc + 1)
+    plan = S.score_records(e, older)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "max_by" not in plan
+    report = S.score_summary(G.accuracy_report(e, {"older": older, "same": e}))
+    report.collect()
+    assert "ReusedExchange" in report._jdf.queryExecution().executedPlan().toString()
