@@ -213,3 +213,29 @@ def test_validity_of_decisions_is_written_once(spark, tmp_path):
     out = review.judged(decisions, reviews, latest, tables.keep("v1"))
     assert {(r.id, r.seq): r.result for r in out.collect()} == {("a", 1): "invalid", ("a", 2): "approved", ("b", 1): "no_extraction"}
     assert "schema_of_variant" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_changes_are_written_without_a_shuffle_by_bucket(spark, tmp_path):
+    """Rows go from the tasks that made them into the files of their buckets; only sorted tables are dealt out by bucket first."""
+    t = KeyedTable(spark, str(tmp_path / "t"), "doc BIGINT, x STRING", buckets=4)
+    t.create(spark.range(0, 1000, 1, 3).selectExpr("id AS doc", "concat('x', id) AS x"))
+    assert t.read().count() == 1000
+    by_bucket = {}
+    for f in files(str(tmp_path / "t")):
+        if f.endswith(".parquet"):
+            by_bucket[bucket_of(f)] = by_bucket.get(bucket_of(f), 0) + 1
+    assert set(by_bucket) == {0, 1, 2, 3} and set(by_bucket.values()) == {4}  # three tasks, and the row that marks the bucket
+    assert all(".zstd." in f for f in files(str(tmp_path / "t")) if f.endswith(".parquet"))
+
+
+def test_stored_versions_after_an_audit(spark, tmp_path):
+    """The last version takes the payload, earlier ones stay; a version stored twice stays twice, a document without one gets its first."""
+    stored = spark.createDataFrame([(1, 1, "a", 1.0), (1, 2, "b", 2.0), (2, 1, "c", None), (3, 4, "d", 4.0), (3, 4, "e", 5.0), (3, None, "f", 6.0), (8, 7, "g", 7.0)], daily.EXTRACTIONS)
+    t = KeyedTable(spark, str(tmp_path / "t"), daily.EXTRACTIONS, buckets=4)
+    t.create(stored)
+    audited = spark.createDataFrame([(1, "D-1", None), (2, "D-2", '{"eo_number":"old"}'), (3, "D-3", None), (4, "D-4", None)], "doc bigint, eo_number string, before string")
+    known = audited.join(daily.last_versions(t.read()), "doc", "left")
+    t.replace(known.select("doc", "_last"), daily.updated_extractions(known, 9.0), F.coalesce(F.col("version") >= F.col("_last"), F.lit(True)))
+    got = sorted((r.doc, r.version, r.payload, r.created_at) for r in t.read().collect())
+    assert got == [(1, 1, "a", 1.0), (1, 2, '{"eo_number":"D-1"}', 2.0), (2, 1, '{"eo_number":"old"}', 9.0), (3, 4, '{"eo_number":"D-3"}', 4.0),
+                   (3, 4, '{"eo_number":"D-3"}', 5.0), (4, 1, '{"eo_number":"D-4"}', 9.0), (8, 7, "g", 7.0)]
