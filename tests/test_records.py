@@ -118,3 +118,12 @@ def test_route_reads_rows_before_the_join(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
     shuffled = re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*)\]", shown.getvalue())
     assert any("_n#" in columns for columns in shuffled) and not any("fitment#" in columns for columns in shuffled)
+
+
+def test_lists_of_texts_hold_texts_only(spark):
+    given = ['["A"]', "[]", '["A", 1]', '["A", null]', "null", '"A"', '{"a": "b"}', '[["A"]]']
+    rows = [(i, f'{{"eo_number": "D", "confidence": 1, "part_numbers": {x}, "fitment": [{{"part_numbers": {x}}}]}}') for i, x in enumerate(given)]
+    out = R.validate_records(spark.createDataFrame(rows, "i int, payload string"))
+    assert [r.faults for r in out.orderBy("i").collect()] == [[], []] + [["part_numbers", "fitment"]] * 6
+    # a list's items are asked for their kind and for nothing else
+    assert R._texts("x", "k").count("transform") == 0

@@ -79,3 +79,11 @@ def test_model_prefix_rule(spark):
                     M.first_word(M.fold(F.col("a"))).eqNullSafe(M.first_word(M.fold(F.col("b")))).alias("w")).collect()
     assert all(r.ok == r.m for r in got)
     assert all(r.w for r in got if r.m)
+
+
+def test_part_numbers_are_stripped_once(spark):
+    rows = ["A1", "A", " A ", " A1 ", "A1\n", "A B", "A<1", "", None, "x" * 48, "x" * 49, "éé", "é", "a_b", "A1 ", "​1"]
+    out = spark.createDataFrame([(i, x) for i, x in enumerate(rows)], "i int, p string").select("i", T.part_number_ok(F.col("p")).alias("ok"))
+    assert [r.ok for r in out.orderBy("i").collect()] == [True, False, False, True, True, True, False, False, None, True, False, True, False, False, True, True]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("trim(") == 1
