@@ -127,3 +127,35 @@ def test_rows_of_one_range_share_their_candidates(spark):
     got = {(x.doc, x.row_idx, x.part_no): x.candidate_ids for x in sent.collect()}
     assert got == {(*k, p): sorted(ids)[3 * p:3 * p + 3] for k, ids in asked.items() for p in range((len(ids) + 2) // 3)}
     assert any(len(ids) > len(set(ids)) for ids in asked.values())
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_row_looks_its_key_up_once(spark):
+    rows, cat = sample(7)
+    r, c = spark.createDataFrame(rows, ROWS), spark.createDataFrame(cat, CATALOG)
+    joins = [x for x in plan(op.application_matches(r, c)).splitlines() if "BroadcastHashJoin" in x]
+    # a condition in the join would be asked of every vehicle of the key, whatever its year
+    assert len(joins) == 1 and joins[0].rstrip().endswith("Inner, BuildRight, false")
+
+
+def test_matches_by_document_are_the_same_and_not_shuffled(spark):
+    rows, cat = sample(9)
+    rows += [(None, 3, *rows[9][2:]), (4, None, *rows[9][2:]), rows[20]]
+    cat += [(1000 + i, *x[1:]) for i, x in enumerate(cat)] + [(None, *cat[9][1:])]
+    r, c = spark.createDataFrame(rows, ROWS), spark.createDataFrame(cat, CATALOG)
+    docs = spark.range(12).select(F.col("id").alias("doc"), F.array(F.lit("D")).alias("part_numbers"),
+                                  F.lit("tune").alias("category"), F.lit("d").alias("device_name"), F.lit("m").alias("manufacturer"))
+
+    def found(bound, by_doc):
+        best = op.best_matches(op.application_matches(r, c, bound, folded=True, by_doc=by_doc))
+        return best, op.match_records(best, r, docs), op.match_counts(docs, op.sized(best, c, bound))
+
+    for bound in (10000, 1):
+        for got, want in zip(found(bound, True), found(bound, False), strict=True):
+            assert got.columns == want.columns
+            assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect())) != []
+    for df in found(10000, True):
+        assert "class_id" not in "".join(x for x in plan(df).splitlines() if "Exchange hashpartitioning(doc" in x)
