@@ -159,3 +159,30 @@ def test_matches_by_document_are_the_same_and_not_shuffled(spark):
             assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect())) != []
     for df in found(10000, True):
         assert "class_id" not in "".join(x for x in plan(df).splitlines() if "Exchange hashpartitioning(doc" in x)
+
+
+def test_candidates_are_listed_where_their_rows_lie(spark):
+    rows, cat = sample(11)
+    cat += [(None, *cat[9][1:]), cat[4], (500, None, *cat[3][2:])]  # places of vehicles without an id are counted, their ids left out
+    r, c = spark.createDataFrame(rows, ROWS), spark.createDataFrame(cat, CATALOG)
+    left = op.unresolved_rows(r, c)
+    sent = op.resolver_requests(left, c, 3)
+    assert sorted(map(repr, sent.collect())) == sorted(map(repr, op.resolver_requests(left, c, 3, 1).collect())) != []
+    # one sort of candidates is left, for rows that share a key
+    assert plan(op.resolver_requests(left, c, 3)).count("row_number()") == 1
+
+
+def test_merging_reads_the_best_matches_once(spark):
+    rows, cat = sample(5)
+    rows += [(d, None, *rows[9][2:]) for d in (1, 40, 41)]
+    cat += [(None, *cat[9][1:])]
+    r, c = spark.createDataFrame(rows, ROWS), spark.createDataFrame(cat, CATALOG)
+    out = spark.createDataFrame([(d, 5, s, "accepted", [10, 10 + d % 50, 55, 9999], "why" if s else "") for d in (*range(12), 40, 77) for s in (0, 1)],
+                                "doc long, row_idx long, seq long, outcome string, valid_ids array<long>, rationale string")
+    best = op.best_matches(op.application_matches(r, c, folded=True, by_doc=True))
+    merged = op.merge_resolved(best, out, c)
+    want = op.merge_resolved(op.best_matches(op.application_matches(r, c)), out)
+    got = op.expanded(merged, c).select(*want.columns)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect())) != []
+    assert want.filter("row_idx IS NULL").count() > 0
+    assert plan(merged).count("BroadcastHashJoin [_make") == plan(best).count("BroadcastHashJoin [_make") == 1
